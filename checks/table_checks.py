@@ -1,0 +1,365 @@
+"""Delivery, backups, recovery, streaming and leases, on real files."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from checks.log_checks import POSITION, committed_events, events_log
+from checks.registry import check
+from offsetlake import fixtures as fx
+from offsetlake import schemas
+from offsetlake.operators import bounds, dedup, ledger, lease
+from offsetlake.plans import copy
+from offsetlake.plans import recover as recovery
+from offsetlake.sources import backup as backups
+from offsetlake.sources import log as logs
+from offsetlake.sources import storage
+from offsetlake.sources import table as tables
+from offsetlake.streaming import deliver as delivery
+from offsetlake.streaming import follow as following
+
+ROWS = [*POSITION, "k"]
+GOOD = """SELECT topic, part AS "partition", off AS "offset", k FROM good
+          WHERE topic = 'events.input'"""
+
+
+def target(spark, name="table", order_by=()):
+    return delivery.Target(storage.work_dir(spark, name), fx.PAYLOAD, [fx.EVENTS], order_by)
+
+
+def packed(spark, sf):
+    return fx.log(spark, sf).filter(F.col("topic") == fx.EVENTS)
+
+
+def before(log, cut):
+    return log.filter(F.col("timestamp") < F.lit(cut).cast("timestamp"))
+
+
+def since(log, cut):
+    return log.filter(F.col("timestamp") >= F.lit(cut).cast("timestamp"))
+
+
+def run_stream(spark, journal, to, checkpoint=None):
+    stream = logs.read_log(spark, journal, [fx.EVENTS], streaming=True, max_files=2)
+    query = delivery.deliver(stream, [to], checkpoint or storage.work_dir(spark, "checkpoint"))
+    query.awaitTermination()
+
+
+def backed_up(spark, sf):
+    """A table delivered in two parts, with a full backup after the first, an increment after both."""
+    log = packed(spark, sf)
+    source = target(spark)
+    archive = storage.work_dir(spark, "archive")
+    names = [f"b-{uuid.uuid4().hex}" for _ in range(2)]
+    parts = [before(log, "2024-01-10"), since(before(log, "2024-01-20"), "2024-01-10")]
+    parent = None
+    for name, part in zip(names, parts, strict=True):
+        delivery.append_decoded(part, source, name)
+        folded = ledger.fold_ledger(tables.read_ledger(spark, source.path))
+        vector = folded.select("topic", "partition", (F.col("max_offset") + 1).alias("offset"))
+        backups.write_backup(
+            spark, source.path, "records", fx.PAYLOAD, vector, archive, name, parent
+        )
+        parent = name
+    return source, archive, names, vector
+
+
+@check("delivered_rows", GOOD)
+def delivered_rows(spark, sf):
+    """Two parts of the log, the first of them tried twice."""
+    log, to = packed(spark, sf), target(spark)
+    first, second = before(log, "2024-01-15"), since(log, "2024-01-15")
+    delivery.append_decoded(first, to, "e-0")
+    delivery.append_decoded(first, to, "e-0")
+    delivery.append_decoded(second, to, "e-1")
+    return tables.read_table(spark, to.path, fx.PAYLOAD).select(*ROWS)
+
+
+@check(
+    "dead_letters",
+    """SELECT topic, part AS "partition", off AS "offset", payload AS "value",
+              'payload is not valid' AS message
+       FROM log WHERE topic = 'events.input' AND id % 101 = 0""",
+)
+def dead_letters(spark, sf):
+    to = target(spark)
+    delivery.append_decoded(packed(spark, sf), to, "e-0")
+    message = F.filter("headers", lambda h: h["key"] == "error.message")[0]["value"]
+    return delivery.read_dead_letters(spark, to).select(
+        *POSITION, F.col("value").cast("string").alias("value"), message.cast("string").alias("message")
+    )
+
+
+@check(
+    "ordered_storage",
+    """SELECT count(*) AS "rows", 0 AS inversions FROM good WHERE topic = 'events.input'""",
+)
+def ordered_storage(spark, sf):
+    """Rows out of the table's order (k, then offset) inside the files; there must be none."""
+    to = target(spark, order_by=("k", "offset"))
+    delivery.append_decoded(packed(spark, sf), to, "e-0")
+    rows = tables.read_table(spark, to.path, fx.PAYLOAD).select(
+        F.struct("k", "offset").alias("order"),
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.row_index").alias("at"),
+    )
+    after = rows.select("file", (F.col("at") + 1).alias("at"), F.col("order").alias("before"))
+    return rows.join(after, ["file", "at"], "left").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count_if(F.col("before") > F.col("order")).alias("inversions"),
+    )
+
+
+@check("backup_full", GOOD + " AND ts < TIMESTAMP '2024-01-10'")
+def backup_full(spark, sf):
+    _, archive, names, _ = backed_up(spark, sf)
+    return backups.read_chain(spark, archive, names[:1], "records", fx.PAYLOAD).select(*ROWS)
+
+
+@check(
+    "backup_incremental",
+    GOOD + " AND ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-20'",
+)
+def backup_incremental(spark, sf):
+    """Only what the second backup holds itself."""
+    _, archive, names, _ = backed_up(spark, sf)
+    return backups.read_chain(spark, archive, names[1:], "records", fx.PAYLOAD).select(*ROWS)
+
+
+@check(
+    "restore_chain",
+    """SELECT topic, part AS "partition", off AS "offset", CAST(k AS BIGINT) AS k,
+              CAST(NULL AS VARCHAR) AS note
+       FROM good WHERE topic = 'events.input' AND ts < TIMESTAMP '2024-01-20'""",
+)
+def restore_chain(spark, sf):
+    """Restored into a table with a wider type and one more column."""
+    _, archive, names, _ = backed_up(spark, sf)
+    to = target(spark, "restored")
+    to.schema = schemas.struct(k=schemas.LONG, note=schemas.STRING)
+    recovery.restore(spark, archive, names, "records", fx.PAYLOAD, to, "r-1")
+    return tables.read_table(spark, to.path, to.schema).select(*ROWS, "note")
+
+
+@check("backup_metrics")
+def backup_metrics(spark, sf):
+    _, archive, _, _ = backed_up(spark, sf)
+    return backups.backup_metrics(spark, archive)
+
+
+@check(
+    "backup_verified",
+    """SELECT rule, topic || '-' || part AS subject, CAST(NULL AS VARCHAR) AS detail
+       FROM (SELECT topic, part FROM good WHERE topic = 'events.input'
+             AND ts < TIMESTAMP '2024-01-20' GROUP BY ALL),
+            (VALUES ('backup-row-count', 0), ('backup-offset-range', 0), ('backup-content', 0),
+                    ('backup-content', 1)) AS v(rule, p)
+       WHERE part = p""",
+)
+def backup_verified(spark, sf):
+    """Compared with a cut that lacks the first row of partition 0 and has one other value in 1."""
+    source, archive, names, vector = backed_up(spark, sf)
+    copied = backups.read_chain(spark, archive, names, "records", fx.PAYLOAD)
+    cut = tables.read_table(spark, source.path, fx.PAYLOAD)
+    lowest = cut.groupBy("topic", "partition").agg(F.min("offset").alias("lowest"))
+    cut = cut.join(F.broadcast(lowest), ["topic", "partition"])
+    cut = cut.filter("NOT (partition = 0 AND offset = lowest)")
+    other = (F.col("partition") == 1) & (F.col("offset") == F.col("lowest"))
+    cut = cut.withColumn("k", F.when(other, -1).otherwise(F.col("k"))).drop("lowest")
+    return backups.verify_backup(copied, cut.select(*copied.columns))
+
+
+@check(
+    "copy_range",
+    """SELECT c.topic, c.part AS "partition",
+              row_number() OVER (PARTITION BY c.topic, c.part ORDER BY c.off) - 1 AS "offset",
+              c.off AS source_offset,
+              (row_number() OVER (PARTITION BY c.topic, c.part ORDER BY c.off) - 1) // 500 AS batch,
+              c.payload AS "value", c.kind
+       FROM committed c JOIN at05 s ON s.topic = c.topic AND s.part = c.part
+       JOIN at28 t ON t.topic = c.topic AND t.part = c.part
+       WHERE c.off >= s.off AND c.off < t.off""",
+)
+def copy_range(spark, sf):
+    """In two steps; the second call finds everything copied."""
+    events = committed_events(spark, sf)
+    log = packed(spark, sf).join(events.select(*POSITION), POSITION, "left_semi")
+    starts, targets = fx.vector(events_log(spark, sf), "2024-01-05"), fx.vector(
+        events_log(spark, sf), fx.TARGET_CUT
+    )
+    limits = bounds.log_bounds(events_log(spark, sf))
+    dest = storage.work_dir(spark, "copy")
+    half = targets.join(starts.withColumnRenamed("offset", "s"), ["topic", "partition"]).agg(
+        F.max(F.expr("(offset - s) div 2 + 1")).alias("half")
+    ).collect()[0].half
+    for _ in range(2):
+        copy.copy_range(log, starts, targets, limits, dest, 500, half)
+    return copy.read_copy(spark, dest).select(
+        *POSITION,
+        "source_offset",
+        "batch",
+        F.col("value").cast("string").alias("value"),
+        F.col("headers")[0]["value"].cast("string").alias("kind"),
+    )
+
+
+@check("point_in_time", GOOD + " AND ts < TIMESTAMP '2024-01-28'")
+def point_in_time(spark, sf):
+    """A restored chain and the log range from its vector to the target."""
+    _, archive, names, vector = backed_up(spark, sf)
+    restored = backups.read_chain(spark, archive, names, "records", fx.PAYLOAD)
+    targets = fx.vector(events_log(spark, sf), fx.TARGET_CUT)
+    rows = recovery.point_in_time(restored, packed(spark, sf), vector, targets, fx.PAYLOAD)
+    return rows.select(*ROWS)
+
+
+@check(
+    "reconcile_tables",
+    """SELECT side, topic, part AS "partition", off AS "offset", k, 1 AS copies FROM (
+         SELECT 'left' AS side, topic, part, off, k FROM good
+         WHERE topic = 'events.input' AND part = 1 AND (off % 1000 = 7 OR off % 1500 = 3)
+         UNION ALL
+         SELECT 'right', topic, part, off, -1 FROM good
+         WHERE topic = 'events.input' AND part = 1 AND off % 1000 = 7 AND NOT off % 1500 = 3)""",
+)
+def reconcile_tables(spark, sf):
+    """In partition 1 the right side has other values and lost rows; the others are equal."""
+    decoded = logs.decode_json(events_log(spark, sf), fx.PAYLOAD, "payload")
+    left = decoded.filter("_error IS NULL").select(*POSITION, "row.k")
+    touched = F.col("partition") == 1
+    lost = touched & (F.col("offset") % 1500 == 3)
+    other = touched & (F.col("offset") % 1000 == 7)
+    right = left.filter(~lost).withColumn("k", F.when(other, -1).otherwise(F.col("k")))
+    return backups.reconcile(left, right)
+
+
+@check("stream_delivery", GOOD)
+def stream_delivery(spark, sf):
+    """A growing journal, a restart from the checkpoint, and a replay after the checkpoint is lost."""
+    log, to = packed(spark, sf), target(spark)
+    journal, checkpoint = storage.work_dir(spark, "journal"), storage.work_dir(spark, "checkpoint")
+    logs.write_journal(before(log, "2024-01-15"), journal)
+    run_stream(spark, journal, to, checkpoint)
+    logs.write_journal(since(log, "2024-01-15"), journal)
+    run_stream(spark, journal, to, checkpoint)
+    run_stream(spark, journal, to)
+    return tables.read_table(spark, to.path, fx.PAYLOAD).select(*ROWS)
+
+
+@check("stream_follow", GOOD)
+def stream_follow(spark, sf):
+    """A restored table follows the log from the vector of its backup."""
+    _, archive, names, vector = backed_up(spark, sf)
+    to = target(spark, "followed")
+    recovery.restore(spark, archive, names, "records", fx.PAYLOAD, to, "r-1")
+    journal = storage.work_dir(spark, "journal")
+    logs.write_journal(packed(spark, sf), journal)
+    stream = logs.read_log(spark, journal, [fx.EVENTS], streaming=True)
+    limits = bounds.log_bounds(events_log(spark, sf))
+    query = following.follow(stream, vector, limits, to, storage.work_dir(spark, "checkpoint"))
+    query.awaitTermination()
+    return tables.read_table(spark, to.path, fx.PAYLOAD).select(*ROWS)
+
+
+@check("stream_replay", GOOD + " AND ts < TIMESTAMP '2024-01-28'")
+def stream_replay(spark, sf):
+    """A restored table is replayed to its target and stops there; a second run adds nothing."""
+    _, archive, names, vector = backed_up(spark, sf)
+    to = target(spark, "replayed")
+    recovery.restore(spark, archive, names, "records", fx.PAYLOAD, to, "r-1")
+    targets = fx.vector(events_log(spark, sf), fx.TARGET_CUT)
+    limits = bounds.log_bounds(events_log(spark, sf))
+    for _ in range(2):
+        following.replay_until(packed(spark, sf), vector, targets, limits, to, "r-1")
+    following.require_at(to, targets)
+    return tables.read_table(spark, to.path, fx.PAYLOAD).select(*ROWS)
+
+
+@check(
+    "dedup_blocks",
+    """, b AS (
+         SELECT topic, part, off // 100 AS batch, count(*) AS n FROM log
+         WHERE topic = 'events.input' GROUP BY ALL),
+       late AS (
+         SELECT *, (SELECT count(*) FROM b a WHERE (a.batch, a.part) > (b.batch, b.part)) AS others
+         FROM b WHERE (part + batch) % 7 = 0)
+       SELECT topic, part AS "partition", batch, attempt, n AS "rows" FROM (
+         SELECT topic, part, batch, 1 AS attempt, n FROM b
+         UNION ALL
+         SELECT topic, part, batch, 3, n FROM late l
+         WHERE others + (SELECT count(*) FROM late e
+                         WHERE e.others + 1 > 20 AND (e.batch, e.part) < (l.batch, l.part)) >= 20)""",
+)
+def dedup_blocks(spark, sf):
+    """Blocks in log order; some are retried at once, others again after the whole pass.
+
+    The window is 20 blocks: immediate retries are refused, and late ones are refused only for
+    blocks that are still among the last 20.
+    """
+    rows = events_log(spark, sf).withColumn("batch", F.expr("offset div 100"))
+    first = rows.withColumn("attempt", F.lit(1))
+    again = rows.filter("(partition + batch) % 4 = 0").withColumn("attempt", F.lit(2))
+    late = rows.filter("(partition + batch) % 7 = 0").withColumn("attempt", F.lit(3))
+    tried = first.unionByName(again).unionByName(late)
+    seq = F.when(F.col("attempt") == 3, F.lit(1 << 40)).otherwise(F.lit(0)) + (
+        F.col("batch") * 3 + F.col("partition")
+    ) * 2 + F.when(F.col("attempt") == 2, 1).otherwise(0)
+    tried = tried.withColumns({"seq": seq, "table": F.lit("records")})
+    kept = dedup.dedup_blocks(tried, ["table", "seq"], ["id", "payload"], window=20)
+    return kept.groupBy("topic", "partition", "batch", "attempt").agg(
+        F.count(F.lit(1)).alias("rows")
+    )
+
+
+TTL = 6 * 3600
+
+
+def ntz(name):
+    return F.col(name).cast("timestamp_ntz").alias(name)
+
+
+@check(
+    "lease_sessions",
+    """SELECT CAST(token AS VARCHAR) AS token, connector, s AS "start", e AS "end", ended_by
+       FROM sessions""",
+)
+def lease_sessions(spark, sf):
+    sessions = lease.lease_sessions(fx.lease_events(spark, sf), TTL)
+    return sessions.select(
+        "token", F.col("connectors")[0].alias("connector"), ntz("start"), ntz("end"), "ended_by"
+    )
+
+
+@check(
+    "held_intervals",
+    """, marked AS (
+         SELECT connector, s, e, max(e) OVER (PARTITION BY connector ORDER BY s, e
+                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach
+         FROM sessions WHERE s < e),
+       grouped AS (
+         SELECT *, sum(CASE WHEN reach IS NULL OR s > reach THEN 1 ELSE 0 END)
+                OVER (PARTITION BY connector ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g
+         FROM marked)
+       SELECT connector, min(s) AS "start", max(e) AS "end" FROM grouped GROUP BY connector, g""",
+)
+def held_intervals(spark, sf):
+    sessions = lease.lease_sessions(fx.lease_events(spark, sf), TTL)
+    return lease.held_intervals(sessions).select("connector", ntz("start"), ntz("end"))
+
+
+@check(
+    "holders_at",
+    """, present AS (
+         SELECT token, connector, e > TIMESTAMP '2024-01-01 12:00:00' AS live FROM sessions
+         WHERE s <= TIMESTAMP '2024-01-01 12:00:00'
+           AND NOT (ended_by = 'resumed' AND e <= TIMESTAMP '2024-01-01 12:00:00'))
+       SELECT CAST(p.token AS VARCHAR) AS token, p.connector, p.live,
+              NOT EXISTS (SELECT 1 FROM present o
+                          WHERE o.connector = p.connector AND o.token <> p.token AND o.live) AS freed
+       FROM present p""",
+)
+def holders_at(spark, sf):
+    sessions = lease.lease_sessions(fx.lease_events(spark, sf), TTL)
+    return lease.holders_at(sessions, "2024-01-01 12:00:00")

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from offsetlake import schemas
 from offsetlake.functions import ledger_key
@@ -23,7 +22,7 @@ BLOCK = 100
 BATCH = 1000
 EVENTS_PER_RUN, ORDERS_PER_RUN = 500, 750
 MAX_INCREMENTALS = 2
-PAYLOAD = T.StructType.fromDDL("k INT")
+PAYLOAD = schemas.struct(k=schemas.INT)
 
 
 def wide_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,7 +163,7 @@ def manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sort_array(F.collect_list(offset)).alias("offsets"),
         F.sort_array(F.collect_list(done)).alias("ledger"),
     )
-    none = F.array().cast(f"array<{schemas.OFFSET_STRUCT}>")
+    none = F.array().cast(schemas.CHECKPOINT_OFFSETS)
     fed = pipelines(spark).filter(F.col("topic").isin(EVENTS, ORDERS))
     connector = F.struct(
         F.col("connector").alias("name"),
@@ -178,7 +177,7 @@ def manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
         "offsets",
         none.alias("observed"),
         "ledger",
-    ).cast(schemas.CONNECTOR_STRUCT)
+    ).cast(schemas.CONNECTORS.elementType)
     runs = vectors.join(F.broadcast(fed), "connector").groupBy("run").agg(
         F.sort_array(F.collect_list(connector)).alias("connectors")
     )

@@ -154,7 +154,7 @@ def audit_manifests(manifests: DataFrame) -> DataFrame:
     All rules are expressions over the nested columns of one row, so any number of manifests is
     audited in one pass without a shuffle.
     """
-    connectors = F.coalesce("connectors", F.array().cast(f"array<{schemas.CONNECTOR_STRUCT}>"))
+    connectors = F.coalesce("connectors", F.array().cast(schemas.CONNECTORS))
 
     def some(broken) -> Column:
         return F.exists(connectors, lambda c: F.coalesce(broken(c), F.lit(True)))

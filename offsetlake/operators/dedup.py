@@ -52,7 +52,7 @@ def accepted_blocks(
         # Accepted before this attempt, and that number when its block was last accepted.
         ranked = running_sum(state, [table], order, F.col("_ok").cast("long"), slot, "_upto")
         ranked = ranked.withColumn("_before", F.col("_upto") - F.col("_ok").cast("long"))
-        last = F.last(F.when("_ok", F.col("_before")), ignorenulls=True).over(earlier)
+        last = F.last(F.when(F.col("_ok"), F.col("_before")), ignorenulls=True).over(earlier)
         ranked = ranked.withColumn("_last", last)
         ok = F.col("_last").isNull() | (F.col("_before") - F.col("_last") > window)
         refined = written(ranked.select(*columns, "_ok", ok.alias("_new")), "dedup")

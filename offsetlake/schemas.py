@@ -2,56 +2,118 @@
 
 from pyspark.sql import types as T
 
-LOG = T.StructType.fromDDL(
-    "topic STRING, partition INT, offset LONG, key BINARY, value BINARY, timestamp TIMESTAMP, "
-    "headers ARRAY<STRUCT<key: STRING, value: BINARY>>"
+STRING, BINARY, TIME = T.StringType(), T.BinaryType(), T.TimestampType()
+INT, LONG = T.IntegerType(), T.LongType()
+# Unsigned 64-bit values are held as decimals until they are audited.
+U64 = T.DecimalType(20, 0)
+
+
+def struct(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
+
+
+HEADERS = T.ArrayType(struct(key=STRING, value=BINARY))
+LOG = struct(
+    topic=STRING,
+    partition=INT,
+    offset=LONG,
+    key=BINARY,
+    value=BINARY,
+    timestamp=TIME,
+    headers=HEADERS,
 )
 POSITION = ["topic", "partition", "offset"]
 
-OFFSETS = T.StructType.fromDDL("topic STRING, partition INT, offset LONG")
-LOG_BOUNDS = T.StructType.fromDDL("topic STRING, partition INT, low LONG, high LONG")
-PIPELINES = T.StructType.fromDDL(
-    "connector STRING, database STRING, state_table STRING, state_path STRING, "
-    "`table` STRING, topic STRING, partitions INT"
+OFFSETS = struct(topic=STRING, partition=INT, offset=LONG)
+LOG_BOUNDS = struct(topic=STRING, partition=INT, low=LONG, high=LONG)
+PIPELINES = struct(
+    connector=STRING,
+    database=STRING,
+    state_table=STRING,
+    state_path=STRING,
+    table=STRING,
+    topic=STRING,
+    partitions=INT,
 )
 
-# Raw ledger rows keep unsigned values as decimals until they are audited.
-RAW_LEDGER = T.StructType.fromDDL(
-    "pipeline STRING, key STRING, min_offset DECIMAL(20,0), max_offset DECIMAL(20,0), state STRING"
-)
-LEDGER = T.StructType.fromDDL(
-    "topic STRING, partition INT, min_offset LONG, max_offset LONG, rows LONG, state STRING, "
-    "batch_id STRING"
+RAW_LEDGER = struct(pipeline=STRING, key=STRING, min_offset=U64, max_offset=U64, state=STRING)
+LEDGER = struct(
+    topic=STRING,
+    partition=INT,
+    min_offset=LONG,
+    max_offset=LONG,
+    rows=LONG,
+    state=STRING,
+    batch_id=STRING,
 )
 BLOCK_ID = ["topic", "partition", "batch_id"]
 
-OFFSET_STRUCT = "STRUCT<topic: STRING, partition: INT, offset: DECIMAL(20,0)>"
-LEDGER_STRUCT = (
-    "STRUCT<key: STRING, min_offset: DECIMAL(20,0), max_offset: DECIMAL(20,0), state: STRING>"
+CHECKPOINT_OFFSETS = T.ArrayType(struct(topic=STRING, partition=INT, offset=U64))
+CHECKPOINT_LEDGER = T.ArrayType(
+    struct(key=STRING, min_offset=U64, max_offset=U64, state=STRING)
 )
-CONNECTOR_STRUCT = (
-    "STRUCT<name: STRING, topic: STRING, partitions: LONG, database: STRING, `table`: STRING, "
-    "state_database: STRING, state_table: STRING, state_path: STRING, "
-    f"offsets: ARRAY<{OFFSET_STRUCT}>, observed: ARRAY<{OFFSET_STRUCT}>, "
-    f"ledger: ARRAY<{LEDGER_STRUCT}>>"
+CONNECTORS = T.ArrayType(
+    struct(
+        name=STRING,
+        topic=STRING,
+        partitions=LONG,
+        database=STRING,
+        table=STRING,
+        state_database=STRING,
+        state_table=STRING,
+        state_path=STRING,
+        offsets=CHECKPOINT_OFFSETS,
+        observed=CHECKPOINT_OFFSETS,
+        ledger=CHECKPOINT_LEDGER,
+    )
 )
-BACKUP_STRUCT = (
-    "STRUCT<id: STRING, name: STRING, kind: STRING, chain_id: STRING, position: LONG, "
-    "parent_id: STRING, parent_name: STRING>"
+BACKUP = struct(
+    id=STRING,
+    name=STRING,
+    kind=STRING,
+    chain_id=STRING,
+    position=LONG,
+    parent_id=STRING,
+    parent_name=STRING,
 )
-MANIFESTS = T.StructType.fromDDL(
-    "backup_id STRING, name STRING, kind STRING, chain_id STRING, position LONG, "
-    "parent_id STRING, parent_name STRING, created_at STRING, "
-    f"connectors ARRAY<{CONNECTOR_STRUCT}>"
+MANIFESTS = struct(
+    backup_id=STRING,
+    name=STRING,
+    kind=STRING,
+    chain_id=STRING,
+    position=LONG,
+    parent_id=STRING,
+    parent_name=STRING,
+    created_at=STRING,
+    connectors=CONNECTORS,
 )
-CHAIN_STATE = T.StructType.fromDDL(
-    "generation DECIMAL(20,0), chain_id STRING, "
-    f"root {BACKUP_STRUCT}, tip {BACKUP_STRUCT}, incremental_count LONG, "
-    "pipelines ARRAY<STRUCT<connector: STRING, topic: STRING, partitions: LONG, "
-    "database: STRING, `table`: STRING, state_table: STRING, state_path: STRING>>"
+CHAIN_STATE = struct(
+    generation=U64,
+    chain_id=STRING,
+    root=BACKUP,
+    tip=BACKUP,
+    incremental_count=LONG,
+    pipelines=T.ArrayType(
+        struct(
+            connector=STRING,
+            topic=STRING,
+            partitions=LONG,
+            database=STRING,
+            table=STRING,
+            state_table=STRING,
+            state_path=STRING,
+        )
+    ),
 )
-CATALOG = T.StructType.fromDDL("log_offset LONG, key STRING, value STRING")
-LEASE_EVENTS = T.StructType.fromDDL(
-    "token STRING, connectors ARRAY<STRING>, event STRING, ts TIMESTAMP"
+CATALOG = struct(log_offset=LONG, key=STRING, value=STRING)
+RECOVERIES = struct(
+    id=STRING,
+    backup_id=STRING,
+    source_database=STRING,
+    source_table=STRING,
+    dest_database=STRING,
+    dest_table=STRING,
+    targets=CHECKPOINT_OFFSETS,
 )
-VIOLATION = T.StructType.fromDDL("rule STRING, subject STRING, detail STRING")
+LEASE_EVENTS = struct(token=STRING, connectors=T.ArrayType(STRING), event=STRING, ts=TIME)
+VIOLATION = struct(rule=STRING, subject=STRING, detail=STRING)

@@ -23,9 +23,7 @@ from offsetlake.operators.snapshot import blocks_below, snapshot_at
 from offsetlake.sources import storage
 from offsetlake.sources import table as tables
 
-BLOCKS = T.StructType.fromDDL(
-    "topic STRING, partition INT, batch_id STRING, min_offset LONG, max_offset LONG, rows LONG"
-)
+BLOCKS = T.StructType([schemas.LEDGER[c] for c in [*schemas.BLOCK_ID, "min_offset", "max_offset", "rows"]])
 BACKUP, TABLE = (T.StructField(name, T.StringType()) for name in ("backup", "table"))
 
 

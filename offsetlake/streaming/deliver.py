@@ -72,7 +72,7 @@ def dead_letter(
                 for k, v in extra.items()
             ]
         )
-        headers = F.coalesce("headers", F.array().cast("array<struct<key:string,value:binary>>"))
+        headers = F.coalesce("headers", F.array().cast(schemas.HEADERS))
         bad = bad.withColumn("headers", F.concat(headers, added))
     return decoded.filter(F.col("_error").isNull()), bad.drop("row", "_error")
 
