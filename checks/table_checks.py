@@ -87,7 +87,7 @@ def dead_letters(spark, sf):
     to = target(spark)
     delivery.append_decoded(packed(spark, sf), to, "e-0")
     message = F.filter("headers", lambda h: h["key"] == "error.message")[0]["value"]
-    return delivery.read_dead_letters(spark, to).select(
+    return tables.read_dead_letters(spark, to.path).select(
         *POSITION, F.col("value").cast("string").alias("value"), message.cast("string").alias("message")
     )
 

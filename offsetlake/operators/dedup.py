@@ -9,11 +9,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from offsetlake.functions import content_hash
-from offsetlake.operators.skew import join_control, running_sum
+from offsetlake.operators.skew import earlier_max, join_control, running_sum
 from offsetlake.sources.storage import written
 
 
@@ -45,15 +44,16 @@ def accepted_blocks(
     identity = [table, "topic", "partition", "min_offset", "max_offset", "rows", "content"]
     slot = F.expr(f"{order} div {bucket}")
     columns = attempts.columns
-    first = F.row_number().over(W.partitionBy(*identity).orderBy(order)) == 1
-    state = written(attempts.withColumn("_ok", first), "dedup")
-    earlier = W.partitionBy(*identity).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    firsts = attempts.groupBy(*identity).agg(F.min(order).alias("_first"))
+    state = attempts.join(firsts, identity).withColumn("_ok", F.col(order) == F.col("_first"))
+    state = written(state.drop("_first"), "dedup")
     while True:
-        # Accepted before this attempt, and that number when its block was last accepted.
+        # Accepted before this attempt, and that number when its block was last accepted. The
+        # number never falls, so "last" is a maximum and a much retried block can be bucketed.
         ranked = running_sum(state, [table], order, F.col("_ok").cast("long"), slot, "_upto")
         ranked = ranked.withColumn("_before", F.col("_upto") - F.col("_ok").cast("long"))
-        last = F.last(F.when(F.col("_ok"), F.col("_before")), ignorenulls=True).over(earlier)
-        ranked = ranked.withColumn("_last", last)
+        taken = F.when(F.col("_ok"), F.col("_before"))
+        ranked = earlier_max(ranked, identity, order, taken, slot, "_last")
         ok = F.col("_last").isNull() | (F.col("_before") - F.col("_last") > window)
         refined = written(ranked.select(*columns, "_ok", ok.alias("_new")), "dedup")
         if refined.filter("_ok <> _new").isEmpty():

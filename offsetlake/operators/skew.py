@@ -56,8 +56,12 @@ def join_control(
     )
 
 
-def _before(keys: Sequence[str], order: str) -> W:
-    return W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+def _between_buckets(rows: DataFrame, keys: Sequence[str], total: Column, fold) -> DataFrame:
+    """Per key and bucket, ``fold`` of ``total`` over all earlier buckets: one row per bucket."""
+    parts = [*keys, "_bucket"]
+    earlier = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    totals = rows.groupBy(*parts).agg(total.alias("_total"))
+    return totals.select(*parts, fold("_total").over(earlier).alias("_base"))
 
 
 def running_sum(
@@ -65,20 +69,33 @@ def running_sum(
 ) -> DataFrame:
     """Add ``name``: the sum of ``value`` over this and all earlier rows of the key.
 
-    ``bucket`` must never decrease with ``order``. Rows are shuffled once, by key and bucket;
-    between buckets only their totals are summed up.
+    ``order`` must be unique in the key, and ``bucket`` must never decrease with it. Rows are
+    shuffled once, by key and bucket; between buckets only their totals are summed up.
     """
     parts = [*keys, "_bucket"]
     rows = rows.withColumn("_value", value).withColumn("_bucket", bucket)
-    totals = rows.groupBy(*parts).agg(F.sum("_value").alias("_total"))
-    bases = totals.select(
-        *parts, F.coalesce(F.sum("_total").over(_before(keys, "_bucket")), F.lit(0)).alias("_base")
-    )
+    bases = _between_buckets(rows, keys, F.sum("_value"), F.sum)
     inside = W.partitionBy(*parts).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
     return (
         rows.withColumn("_inside", F.sum("_value").over(inside))
         .join(bases, parts)
-        .withColumn(name, F.col("_base") + F.col("_inside"))
+        .withColumn(name, F.coalesce("_base", F.lit(0)) + F.col("_inside"))
+        .drop("_value", "_bucket", "_inside", "_base")
+    )
+
+
+def earlier_max(
+    rows: DataFrame, keys: Sequence[str], order: str, value: Column, bucket: Column, name: str
+) -> DataFrame:
+    """Add ``name``: the largest ``value`` of all earlier rows of the key; null if there is none."""
+    parts = [*keys, "_bucket"]
+    rows = rows.withColumn("_value", value).withColumn("_bucket", bucket)
+    bases = _between_buckets(rows, keys, F.max("_value"), F.max)
+    inside = W.partitionBy(*parts).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    return (
+        rows.withColumn("_inside", F.max("_value").over(inside))
+        .join(bases, parts)
+        .withColumn(name, F.greatest("_base", "_inside"))
         .drop("_value", "_bucket", "_inside", "_base")
     )
 
@@ -89,15 +106,12 @@ def dense_index(
     """Add ``name``: 0, 1, 2, ... in ``order`` within the key, with the same plan shape."""
     parts = [*keys, "_bucket"]
     rows = rows.withColumn("_bucket", bucket)
-    totals = rows.groupBy(*parts).agg(F.count(F.lit(1)).alias("_total"))
-    bases = totals.select(
-        *parts, F.coalesce(F.sum("_total").over(_before(keys, "_bucket")), F.lit(0)).alias("_base")
-    )
+    bases = _between_buckets(rows, keys, F.count(F.lit(1)), F.sum)
     inside = W.partitionBy(*parts).orderBy(*order)
     return (
         rows.withColumn("_inside", F.row_number().over(inside) - 1)
         .join(bases, parts)
-        .withColumn(name, F.col("_base") + F.col("_inside"))
+        .withColumn(name, F.coalesce("_base", F.lit(0)) + F.col("_inside"))
         .drop("_bucket", "_inside", "_base")
     )
 

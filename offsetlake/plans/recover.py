@@ -63,7 +63,7 @@ def restore(
     if target.schema != source_schema:
         require(audit_projection(rows, target.schema))
         rows = project(rows, target.schema, drop_missing)
-    tables.bulk_load(rows, target.path, target.order_by, commit)
+    tables.bulk_load(rows, target.path, target.order_by, commit, cluster=False)
     return True
 
 

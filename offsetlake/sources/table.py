@@ -2,10 +2,12 @@
 
 Layout of a table directory::
 
-    data/batch_id=<epoch>-<n>/*.parquet    user columns, topic, partition, offset
-    ledger/commit=<epoch>-<n>/*.parquet    one file: block ranges of the batch
+    data/batch_id=<epoch>-<n>/dead=0/*.parquet   user columns, topic, partition, offset
+    data/batch_id=<epoch>-<n>/dead=1/*.parquet   dead letters: the position and the raw record
+    ledger/commit=<epoch>-<n>/*.parquet          one file: block ranges of the batch
 
-A batch is visible once its ledger file exists. Its data directory is overwritten until then and
+Rows and dead letters come out of one pass over the source. A batch is visible once its ledger
+file exists. Its data directory is overwritten until then and
 never touched afterwards, so a failed attempt leaves nothing that a reader can see.
 """
 
@@ -26,12 +28,14 @@ from offsetlake.sources import storage
 
 POSITION_FIELDS = schemas.OFFSETS.fields
 BATCH = T.StructField("batch_id", T.StringType())
+DEAD = T.StructField("dead", T.IntegerType())
+LETTER = T.StructField("letter", schemas.struct(**{f.name: f.dataType for f in schemas.LOG.fields[3:]}))
 LISTED_BATCHES = 1_000
 LOAD_BUCKET = 1_000_000
 
 
 def table_schema(user: T.StructType) -> T.StructType:
-    reserved = {"topic", "partition", "offset", "batch_id"} & {f.name.lower() for f in user.fields}
+    reserved = {"topic", "partition", "offset", "batch_id", "dead", "letter"} & {f.name.lower() for f in user.fields}
     if reserved:
         raise ValueError(f"column names are reserved for delivery: {sorted(reserved)}")
     return T.StructType([*user.fields, *POSITION_FIELDS])
@@ -64,8 +68,21 @@ def read_table(spark: SparkSession, table: str, user: T.StructType) -> DataFrame
 
 
 def read_data(spark: SparkSession, table: str, user: T.StructType) -> DataFrame:
-    """Everything under the data directory, committed or not."""
+    """All rows under the data directory, committed or not."""
     schema = T.StructType([*table_schema(user).fields, BATCH])
+    return _scan(spark, table, schema).filter("dead = 0").select(*schema.names)
+
+
+def read_dead_letters(spark: SparkSession, table: str) -> DataFrame:
+    """The raw records that committed batches could not decode."""
+    schema = T.StructType([*POSITION_FIELDS, LETTER, BATCH])
+    rows = _scan(spark, table, schema).filter("dead = 1")
+    rows = only_batches(rows, read_ledger(spark, table))
+    return rows.select(*schemas.POSITION, "letter.*", "batch_id")
+
+
+def _scan(spark: SparkSession, table: str, schema: T.StructType) -> DataFrame:
+    schema = T.StructType([*schema.fields, DEAD])
     path = f"{table}/data"
     if not storage.children(spark, path):
         return spark.createDataFrame([], schema)
@@ -91,18 +108,6 @@ def folded_ends(spark: SparkSession, table: str) -> dict[tuple[str, int], int]:
     return {(r.topic, r.partition): r.max_offset for r in folded.collect()}
 
 
-def write_blocks(
-    rows: DataFrame, table: str, batch_id: str, order_by: Sequence[str] = ()
-) -> None:
-    """Overwrite the data directory of one uncommitted batch.
-
-    ``order_by`` is the table's storage order: rows are sorted inside every file, with no shuffle.
-    """
-    if order_by:
-        rows = rows.sortWithinPartitions(*order_by)
-    rows.write.mode("overwrite").parquet(f"{table}/data/batch_id={batch_id}")
-
-
 def row_count(spark: SparkSession, table: str) -> int:
     """Committed rows and dead letters, from the ledger alone."""
     total = read_ledger(spark, table).agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("n"))
@@ -127,65 +132,91 @@ def set_vector(spark: SparkSession, table: str, offsets: DataFrame, commit: str)
 
 def append_batch(
     rows: DataFrame,
-    consumed: DataFrame,
     table: str,
     batch_id: str,
     order_by: Sequence[str] = (),
     ends: dict[tuple[str, int], int] | None = None,
+    allow_dead: bool = True,
 ) -> bool:
-    """Append one batch exactly once. Returns False if it was committed before.
+    """Append one batch exactly once. Returns False if there is nothing to do.
 
-    ``consumed`` are the positions the batch takes from the log, dead letters included, so a
-    later replay will not meet them again. ``ends`` holds the highest processed offset of every
-    topic-partition. A batch that reaches back behind one is refused, and ``ends`` is moved
-    forward after the commit.
+    ``rows`` have the user's columns and a position, and for dead letters ``dead`` = 1 and the raw
+    ``letter``. The source is read once; block ranges come from the position columns of what was
+    written. They cover dead letters too, so a later replay will not meet them again.
+
+    ``ends`` holds the highest processed offset of every topic-partition. A batch that reaches back
+    behind one is refused before it becomes visible, as is one with dead letters unless they are
+    allowed. ``order_by`` is the storage order: rows are sorted inside each file, with no shuffle.
     """
     spark = rows.sparkSession
     if is_committed(spark, table, batch_id):
         return False
-    # One row per topic-partition of the batch reaches the driver.
-    ranges = block_ranges(consumed, ("topic", "partition")).collect()
+    path = f"{table}/data/batch_id={batch_id}"
+    if order_by:
+        rows = rows.sortWithinPartitions("dead", *order_by)
+    rows.write.mode("overwrite").partitionBy("dead").parquet(path)
+    positions = T.StructType([*POSITION_FIELDS, DEAD])
+    blocks = block_ranges(spark.read.schema(positions).parquet(path), ("topic", "partition", "dead"))
+    # One or two rows per topic-partition of the batch reach the driver.
+    found = blocks.collect()
+    dead = [r for r in found if r.dead]
+    if dead and not allow_dead:
+        raise ViolationError(
+            [
+                Row(rule="delivery-bad-record", subject=f"{r.topic}-{r.partition}", detail=str(r.min_offset))
+                for r in dead
+            ]
+        )
+    ranges: dict[tuple[str, int], tuple[int, int, int]] = {}
+    for r in found:
+        low, high, count = ranges.get((r.topic, r.partition), (r.min_offset, r.max_offset, 0))
+        ranges[r.topic, r.partition] = (
+            min(low, r.min_offset),
+            max(high, r.max_offset),
+            count + r.rows,
+        )
     if ends is not None:
         behind = [
-            Row(rule="delivery-moved-back", subject=f"{r.topic}-{r.partition}", detail=str(r.min_offset))
-            for r in ranges
-            if r.min_offset <= ends.get((r.topic, r.partition), -1)
+            Row(rule="delivery-moved-back", subject=f"{t}-{p}", detail=str(low))
+            for (t, p), (low, _, _) in ranges.items()
+            if low <= ends.get((t, p), -1)
         ]
         if behind:
             raise ViolationError(behind)
     if not ranges:
         return False
-    write_blocks(rows, table, batch_id, order_by)
-    write_ledger(
-        spark,
-        table,
-        batch_id,
-        [
-            Row(r.topic, r.partition, r.min_offset, r.max_offset, r.rows, FINISHED, batch_id)
-            for r in ranges
-        ],
-    )
+    committed = [
+        Row(t, p, low, high, count, FINISHED, batch_id)
+        for (t, p), (low, high, count) in ranges.items()
+    ]
+    write_ledger(spark, table, batch_id, committed)
     if ends is not None:
-        ends.update({(r.topic, r.partition): r.max_offset for r in ranges})
+        ends.update({tp: high for tp, (_, high, _) in ranges.items()})
     return True
 
 
 def bulk_load(
-    rows: DataFrame, table: str, order_by: Sequence[str] = (), commit: str | None = None
+    rows: DataFrame,
+    table: str,
+    order_by: Sequence[str] = (),
+    commit: str | None = None,
+    cluster: bool = True,
 ) -> None:
     """Load rows that carry their ``batch_id`` into an empty table, many batches in one job.
 
-    Rows are shuffled by batch and offset bucket, so that each batch is written by few tasks and
-    a large one by several. All blocks are committed by one ledger file at the end.
+    With ``cluster`` rows are shuffled by batch and offset bucket, so that each batch is written by
+    few tasks and a large one by several. Rows that are already stored by batch need no shuffle.
+    All blocks are committed by one ledger file at the end.
     """
     spark = rows.sparkSession
     if storage.children(spark, f"{table}/ledger"):
         raise ViolationError([Row(rule="load-not-empty", subject=table, detail=None)])
-    parts = rows.repartition("batch_id", F.expr(f"offset div {LOAD_BUCKET}"))
+    if cluster:
+        rows = rows.repartition("batch_id", F.expr(f"offset div {LOAD_BUCKET}"))
     if order_by:
-        parts = parts.sortWithinPartitions("batch_id", *order_by)
-    parts.write.mode("overwrite").partitionBy("batch_id").parquet(f"{table}/data")
-    # Only the position columns of what was written are read again.
+        rows = rows.sortWithinPartitions("batch_id", *order_by)
+    rows = rows.withColumn("dead", F.lit(0))
+    rows.write.mode("overwrite").partitionBy("batch_id", "dead").parquet(f"{table}/data")
     positions = T.StructType([*POSITION_FIELDS, BATCH])
     data = spark.read.schema(positions).parquet(f"{table}/data")
     ledger = block_ranges(data, schemas.BLOCK_ID).withColumn("state", F.lit(FINISHED))

@@ -14,13 +14,12 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from offsetlake import schemas
-from offsetlake.operators.audit import ViolationError
 from offsetlake.operators.ledger import fold_ledger
 from offsetlake.operators.skew import join_control
 from offsetlake.sources import storage
@@ -41,24 +40,13 @@ class Target:
     ends: dict[tuple[str, int], int] = field(default_factory=dict)
 
 
-def dead_letter(
-    decoded: DataFrame, tolerance: str = "all", context: bool = True
-) -> tuple[DataFrame, DataFrame]:
-    """Split decoded records into good ones and dead letters.
+def dead_letter(decoded: DataFrame, context: bool = True) -> DataFrame:
+    """Decoded records in table form: user columns, position, ``dead``, and the raw ``letter``.
 
-    A dead letter keeps the raw record. With ``context`` its headers also tell where it came from
-    and why it failed. With tolerance ``none`` any bad record raises.
+    With ``context`` the headers of a dead letter also tell where it came from and why it failed.
     """
-    if tolerance not in TOLERANCES:
-        raise ValueError(f"tolerance must be one of {TOLERANCES}")
-    bad = decoded.filter(F.col("_error").isNotNull())
-    if tolerance == "none":
-        first = bad.take(1)
-        if first:
-            r = first[0]
-            raise ViolationError(
-                [Row(rule="delivery-bad-record", subject=f"{r.topic}-{r.partition}", detail=str(r.offset))]
-            )
+    bad = F.col("_error").isNotNull()
+    headers = F.coalesce("headers", F.array().cast(schemas.HEADERS))
     if context:
         extra = {
             "error.topic": F.col("topic"),
@@ -66,15 +54,18 @@ def dead_letter(
             "error.offset": F.col("offset").cast("string"),
             "error.message": F.col("_error"),
         }
-        added = F.array(
-            *[
-                F.struct(F.lit(k).alias("key"), v.cast("binary").alias("value"))
-                for k, v in extra.items()
-            ]
-        )
-        headers = F.coalesce("headers", F.array().cast(schemas.HEADERS))
-        bad = bad.withColumn("headers", F.concat(headers, added))
-    return decoded.filter(F.col("_error").isNull()), bad.drop("row", "_error")
+        added = [
+            F.struct(F.lit(name).alias("key"), text.cast("binary").alias("value"))
+            for name, text in extra.items()
+        ]
+        headers = F.concat(headers, F.array(*added))
+    letter = F.struct("key", "value", "timestamp", headers.alias("headers"))
+    return decoded.select(
+        "row.*",
+        *schemas.POSITION,
+        F.when(bad, letter).alias("letter"),
+        bad.cast("int").alias("dead"),
+    )
 
 
 def epoch_of(spark: SparkSession, checkpoint: str) -> str | None:
@@ -101,20 +92,6 @@ def above(records: DataFrame, floors: DataFrame | None) -> DataFrame:
     return joined.filter("_floor IS NULL OR offset > _floor").drop("_floor")
 
 
-def write_dead_letters(bad: DataFrame, target: Target, key: str) -> None:
-    bad.write.mode("overwrite").parquet(f"{target.path}/dead_letters/batch_id={key}")
-
-
-def read_dead_letters(spark: SparkSession, target: Target) -> DataFrame:
-    """Dead letters of committed batches."""
-    schema = T.StructType([*schemas.LOG.fields, tables.BATCH])
-    path = f"{target.path}/dead_letters"
-    if not storage.children(spark, path):
-        return spark.createDataFrame([], schema)
-    rows = spark.read.schema(schema).parquet(path)
-    return tables.only_batches(rows, tables.read_ledger(spark, target.path))
-
-
 def append_decoded(
     records: DataFrame,
     target: Target,
@@ -123,23 +100,18 @@ def append_decoded(
     context: bool = True,
     dead_letters: bool = True,
 ) -> bool:
-    """Decode and append one batch of log records to its table, bad ones to its dead letters.
+    """Decode and append one batch of log records, bad ones as dead letters, in one pass.
 
-    The ledger, written last, commits both. It covers dead letters too.
+    With tolerance ``none`` a bad record fails the batch. With ``dead_letters`` off, bad records
+    that are tolerated are dropped.
     """
-    if tables.is_committed(records.sparkSession, target.path, key):
-        return False
-    decoded = decode_json(records, target.schema)
-    good, bad = dead_letter(decoded, tolerance, context)
-    if dead_letters and tolerance == "all":
-        write_dead_letters(bad, target, key)
+    if tolerance not in TOLERANCES:
+        raise ValueError(f"tolerance must be one of {TOLERANCES}")
+    rows = dead_letter(decode_json(records, target.schema), context)
+    if tolerance == "all" and not dead_letters:
+        rows = rows.filter("dead = 0")
     return tables.append_batch(
-        good.select("row.*", *schemas.POSITION),
-        records,
-        target.path,
-        key,
-        target.order_by,
-        target.ends,
+        rows, target.path, key, target.order_by, target.ends, allow_dead=tolerance == "all"
     )
 
 
@@ -155,7 +127,8 @@ def deliver(
     """Start delivery of a log stream. Without ``interval`` it stops when the log is consumed.
 
     Records of topics that no target names are dropped. Each table is its own unit: a crash
-    between two tables of one batch leaves the first committed and skips it on the retry.
+    between two tables of one batch leaves the first committed and skips it on the retry. A
+    batch that feeds several tables is kept while they are written.
     """
     spark = stream.sparkSession
     epoch = epoch_of(spark, checkpoint)
@@ -167,13 +140,13 @@ def deliver(
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         key = f"{epoch_of(batch.sparkSession, checkpoint)}-{batch_id}"
-        batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            for target in targets:
-                routed = batch.filter(F.col("topic").isin(list(target.topics)))
-                fresh = above(routed, floors[target.path])
-                append_decoded(fresh, target, key, tolerance, context, dead_letters)
-        finally:
+        if len(targets) > 1:
+            batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
+        for target in targets:
+            routed = batch.filter(F.col("topic").isin(list(target.topics)))
+            fresh = above(routed, floors[target.path])
+            append_decoded(fresh, target, key, tolerance, context, dead_letters)
+        if len(targets) > 1:
             batch.unpersist()
 
     writer = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)

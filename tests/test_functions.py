@@ -1,0 +1,69 @@
+from decimal import Decimal
+
+import pytest
+from pyspark.sql import functions as F
+
+from offsetlake import functions as fn
+
+
+def values(spark, texts, expression):
+    rows = spark.createDataFrame([(t,) for t in texts], "t STRING")
+    return [r.v for r in rows.select(expression(F.col("t")).alias("v")).collect()]
+
+
+@pytest.mark.parametrize(
+    ("check", "good", "bad"),
+    [
+        (fn.is_log_name, ["a", "A.b_c-9", "x" * 249], ["", "a b", "x" * 250, "a\n", "é", None]),
+        (fn.is_identifier, ["a", "_a1"], ["", "1a", "a-b", "a\n", None]),
+        (fn.is_chain_id, ["a-1", "A"], ["", "a_b", "a/b", "a\n"]),
+        (fn.is_state_path, ["/a", "/a/b-c_1"], ["", "/", "a", "/a/", "/a//b", "/a.b", "/a\n"]),
+        (
+            fn.is_destination,
+            ["s:a", "s:a/b.c", "s:a..b/c"],
+            ["", "s:", "s:/a", "s:a//b", "s:a/../b", "s:..", "s:a/.", "1:a", "s:a b", "s:a\n"],
+        ),
+    ],
+)
+def test_names(spark, check, good, bad):
+    assert values(spark, good, check) == [True] * len(good)
+    assert values(spark, bad, check) == [False] * len(bad)
+
+
+def test_ledger_key_parts(spark):
+    texts = ["1", "01", "+1", "007", "4294967295", "4294967296", "-1", "", "1x", "00000000000012"]
+    assert values(spark, texts, fn.ledger_partition) == [
+        1, 1, 1, 7, 4294967295, None, None, None, None, 12,
+    ]
+    assert values(spark, ["a-b-3", "x-0"], fn.ledger_topic) == ["a-b", "x"]
+    assert values(spark, ["a-b"], lambda t: fn.ledger_key(t, F.lit(3))) == ["a-b-3"]
+
+
+def fnv(text):
+    state = 2166136261
+    for octet in text.encode():
+        state = (state ^ octet) * 16777619 % 2**32
+    return state
+
+
+def test_fnv1a32(spark):
+    texts = ["", "a", "two.input", "größe", "x" * 300]
+    assert values(spark, texts, fn.fnv1a32) == [fnv(t) for t in texts]
+    assert fnv("two.input") == 2618127803
+
+
+def test_next_offset_is_unsigned(spark):
+    rows = spark.createDataFrame(
+        [(None,), (Decimal(0),), (Decimal(2**63),)], "o DECIMAL(20,0)"
+    ).select(fn.next_offset(F.col("o")).alias("n"))
+    assert [int(r.n) for r in rows.collect()] == [0, 1, 2**63 + 1]
+
+
+def test_content_hash_ignores_order_and_sees_copies(spark):
+    def of(rows):
+        frame = spark.createDataFrame(rows, "a INT, b STRING")
+        return frame.agg(fn.content_hash("a", "b").alias("h")).collect()[0].h
+
+    assert of([(1, "x"), (2, None)]) == of([(2, None), (1, "x")])
+    assert of([(1, "x")]) != of([(1, "x"), (1, "x")])
+    assert of([(1, None)]) != of([(None, "1")])
