@@ -18,8 +18,15 @@ from offsetlake import schemas
 from offsetlake.operators.skew import join_control
 
 
-def write_journal(log: DataFrame, path: str, mode: str = "append") -> None:
-    """Append records to a journal, ordered by offset inside each file."""
+def write_journal(log: DataFrame, path: str, mode: str = "append", segment: bool = False) -> None:
+    """Append records to a journal, ordered by offset inside each file.
+
+    As a ``segment``, a bounded piece of the log's end, each topic-partition becomes one file, so a
+    stream that takes few files at a time still meets its offsets in order. A bulk load keeps the
+    many files of its tasks and is to be streamed without ``max_files``.
+    """
+    if segment:
+        log = log.repartition("topic", "partition")
     (
         log.select(*schemas.LOG.names)
         .sortWithinPartitions("topic", "partition", "offset")
@@ -36,7 +43,11 @@ def read_log(
     streaming: bool = False,
     max_files: int | None = None,
 ) -> DataFrame:
-    """Scan whole topics of a journal, as a batch or a stream."""
+    """Scan whole topics of a journal, as a batch or a stream.
+
+    ``max_files`` bounds a micro-batch; it wants a journal written in segments. Delivery refuses
+    input whose offsets go back.
+    """
     reader = (spark.readStream if streaming else spark.read).schema(schemas.LOG)
     if streaming and max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
