@@ -22,7 +22,7 @@ from offsetlake.functions.numbers import MAX_U64
 from offsetlake.operators.audit import broken_rules, duplicates, union, violation
 from offsetlake.operators.ledger import FINISHED
 from offsetlake.operators.skew import dense_index
-from offsetlake.sources.storage import written
+from offsetlake.sources.storage import settled
 
 # Fixed values.
 STATE_KEY = "chain-state"
@@ -240,7 +240,7 @@ def walk_chain(manifests: DataFrame, tips: DataFrame) -> DataFrame:
     """
     nodes = manifests.select("backup_id", "parent_id").distinct()
     count = nodes.count()
-    jumps = written(
+    jumps = settled(
         nodes.filter("parent_id IS NOT NULL").select(
             "backup_id", F.col("parent_id").alias("ancestor")
         ),
@@ -264,9 +264,9 @@ def walk_chain(manifests: DataFrame, tips: DataFrame) -> DataFrame:
             F.min("step").alias("step"),
             (F.max("repeated") | (F.count(F.lit(1)) > 1)).alias("repeated"),
         )
-        walked = written(met, "walked")
+        walked = settled(met, "walked")
         second = jumps.select(F.col("backup_id").alias("ancestor"), F.col("ancestor").alias("next"))
-        jumps = written(
+        jumps = settled(
             jumps.join(second, "ancestor").select("backup_id", F.col("next").alias("ancestor")),
             "jumps",
         )

@@ -29,21 +29,22 @@ from offsetlake.operators.snapshot import barrier_cut, snapshot_at
 from offsetlake.sources import table as tables
 from offsetlake.sources.backup import read_chain, verify_backup, write_backup
 from offsetlake.sources.catalog import commit_catalog, read_catalog
+from offsetlake.sources.storage import settled
 
 
 def load_chain(spark: SparkSession, catalog: str, pipelines: DataFrame):
     """The current chain: its state and audited manifests, or (None, None) for an empty catalog."""
-    latest = latest_by_key(read_catalog(spark, catalog))
+    latest = settled(latest_by_key(read_catalog(spark, catalog)))
     states = parse_state(latest)
     state = next(iter(states.collect()), None)
     if state is None:
         return None, None
-    walked = walk_chain(
-        parse_manifests(latest), spark.createDataFrame([(state.tip.id,)], "backup_id STRING")
-    )
+    manifests = parse_manifests(latest)
+    tip = spark.createDataFrame([(state.tip.id,)], "backup_id STRING")
+    walked = settled(walk_chain(manifests, tip))
     require(audit_walk(walked))
-    chain = parse_manifests(latest).join(walked.select("backup_id"), "backup_id", "left_semi")
-    chain = chain.select(*schemas.MANIFESTS.names)
+    chain = manifests.join(walked.select("backup_id"), "backup_id", "left_semi")
+    chain = settled(chain.select(*schemas.MANIFESTS.names))
     require(audit_manifests(chain).unionByName(audit_chain(chain, states, pipelines)))
     return state, chain
 

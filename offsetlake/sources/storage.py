@@ -11,6 +11,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from offsetlake.operators.skew import pin
+
 
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
@@ -39,6 +41,12 @@ def written(rows: DataFrame, name: str = "step") -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
+def settled(control: DataFrame, name: str = "control") -> DataFrame:
+    """Evaluate a control table once: held as a local relation if small, else written."""
+    side = pin(control)
+    return written(control, name) if side is None else side
+
+
 def _fs(spark: SparkSession, path: str):
     hadoop = spark._jvm.org.apache.hadoop.fs
     target = hadoop.Path(path)
