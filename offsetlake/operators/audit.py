@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 
@@ -18,9 +18,10 @@ class ViolationError(RuntimeError):
 
 
 def require(violations: DataFrame, show: int = 20) -> None:
-    rows = violations.take(show)
+    # One job over all branches; take() would try the partitions of the union little by little.
+    rows = violations.limit(show).toArrow().to_pylist()
     if rows:
-        raise ViolationError(rows)
+        raise ViolationError([Row(**row) for row in rows])
 
 
 def violation(rows: DataFrame, rule: str, subject: Column, detail: Column | None = None):

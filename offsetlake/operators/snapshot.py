@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from offsetlake.operators.bounds import TP
@@ -15,22 +15,21 @@ from offsetlake.operators.skew import join_control, pin
 PUSHED_TOPICS = 64
 
 
-def _coarse_bounds(ranges: DataFrame):
-    """A literal filter that every row of the ranges passes: per topic, its offset hull.
+def _coarse_bounds(ranges: DataFrame) -> Column:
+    """A literal filter that every row of the held ranges passes: per topic, its offset hull.
 
     Literals reach the Parquet scan, where they prune topic directories and row groups; the join
     that follows is exact.
     """
-    hulls = (
-        ranges.groupBy("topic")
-        .agg(F.min("_start").alias("low"), F.max("_target").alias("high"))
-        .take(PUSHED_TOPICS + 1)
-    )
+    hulls: dict[str, tuple[int, int]] = {}
+    for r in ranges.collect():
+        low, high = hulls.get(r.topic, (r._start, r._target))
+        hulls[r.topic] = (min(low, r._start), max(high, r._target))
     if len(hulls) > PUSHED_TOPICS:
-        return F.lit(True)
+        return F.col("topic").isin(list(hulls))
     terms = [
-        (F.col("topic") == h.topic) & (F.col("offset") >= h.low) & (F.col("offset") < h.high)
-        for h in hulls
+        (F.col("topic") == topic) & (F.col("offset") >= low) & (F.col("offset") < high)
+        for topic, (low, high) in hulls.items()
     ]
     return reduce(or_, terms, F.lit(False))
 
@@ -54,10 +53,10 @@ def snapshot_at(records: DataFrame, offsets: DataFrame) -> DataFrame:
 def _within(records: DataFrame, ranges: DataFrame) -> DataFrame:
     ranges = ranges.filter("_start < _target")
     held = pin(ranges)
-    if held is not None:
-        ranges = held
-        records = records.filter(_coarse_bounds(held))
-    joined = join_control(records, ranges, TP)
+    if held is None:
+        joined = join_control(records, ranges, TP)
+    else:
+        joined = records.filter(_coarse_bounds(held)).join(F.broadcast(held), TP)
     return joined.filter("offset >= _start AND offset < _target").select(*records.columns)
 
 

@@ -19,7 +19,7 @@ from offsetlake.functions import content_hash
 from offsetlake.operators.audit import ViolationError, broken_rules, diff_rows
 from offsetlake.operators.bounds import TP, position_name
 from offsetlake.operators.skew import join_control
-from offsetlake.operators.snapshot import blocks_below, snapshot_at
+from offsetlake.operators.snapshot import blocks_below, read_range, snapshot_at
 from offsetlake.sources import storage
 from offsetlake.sources import table as tables
 
@@ -28,8 +28,8 @@ BACKUP, TABLE = (T.StructField(name, T.StringType()) for name in ("backup", "tab
 
 
 def cut_blocks(spark: SparkSession, table: str, offsets: DataFrame) -> DataFrame:
-    """The committed blocks of a table that hold rows below the vector."""
-    return blocks_below(tables.read_ledger(spark, table), offsets).select(*BLOCKS.names)
+    """The committed blocks of a table that hold rows below the vector; see ``blocks_below``."""
+    return blocks_below(tables.read_ledger(spark, table), offsets).select(*BLOCKS.names, "whole")
 
 
 def _blocks_path(archive: str, backup_id: str, name: str) -> str:
@@ -64,22 +64,28 @@ def write_backup(
     """Copy the blocks of the cut into the archive, without those that the parent holds.
 
     Delivery is append-only and blocks are immutable, so no pause is needed while this runs. Only
-    directories of listed batches are read, and nothing is shuffled. The block list is written
-    last: a backup without it was not finished.
+    directories of the missing blocks' batches are read, and nothing is shuffled. A batch may hold
+    several partitions, of which the parent has some; delivery goes forward in each partition, so
+    the rows to copy are those from the end of the parent's blocks to the cut. The block list is
+    written last: a backup without it was not finished.
     """
     listed = _blocks_path(archive, backup_id, name)
     if storage.exists(spark, f"{listed}/_SUCCESS"):
         raise ViolationError([Row(rule="backup-exists", subject=listed, detail=None)])
-    blocks = storage.written(cut_blocks(spark, table, offsets), "cut")
-    if blocks.join(offsets, TP).filter("max_offset >= offset").take(1):
+    offsets = storage.settled(offsets.select(*schemas.POSITION))
+    blocks = storage.settled(cut_blocks(spark, table, offsets), "cut")
+    if not blocks.filter("NOT whole").isEmpty():
         raise ViolationError([Row(rule="backup-splits-block", subject=name, detail=None)])
+    blocks = blocks.drop("whole")
     parent = read_blocks(spark, archive, parent_id, name) if parent_id else None
-    held = missing_blocks(blocks, parent)
-    rows = tables.only_batches(tables.read_data(spark, table, user), held)
-    if parent is not None:
-        # A batch may hold several partitions, of which the parent has some.
-        rows = join_control(rows, held.select(*schemas.BLOCK_ID), schemas.BLOCK_ID, "left_semi")
-    rows = snapshot_at(rows, offsets)
+    data = tables.read_data(spark, table, user)
+    rows = tables.only_batches(data, missing_blocks(blocks, parent))
+    if parent is None:
+        rows = snapshot_at(rows, offsets)
+    else:
+        ends = parent.groupBy(*TP).agg((F.max("max_offset") + 1).alias("end"))
+        starts = offsets.select(*TP).join(ends, TP, "left").fillna(0, ["end"])
+        rows = read_range(rows, starts.withColumnRenamed("end", "offset"), offsets)
     if order_by:
         rows = rows.sortWithinPartitions("batch_id", *order_by)
     path = f"{archive}/data/backup={backup_id}/table={name}"

@@ -96,9 +96,9 @@ def only_batches(data: DataFrame, blocks: DataFrame) -> DataFrame:
     nothing per row. A long one is a semi join.
     """
     batches = blocks.select("batch_id").distinct()
-    some = batches.take(LISTED_BATCHES + 1)
-    if len(some) <= LISTED_BATCHES:
-        return data.filter(F.col("batch_id").isin([r.batch_id for r in some]))
+    some = batches.limit(LISTED_BATCHES + 1).toArrow()
+    if some.num_rows <= LISTED_BATCHES:
+        return data.filter(F.col("batch_id").isin(some["batch_id"].to_pylist()))
     return join_control(data, batches, ["batch_id"], "left_semi")
 
 

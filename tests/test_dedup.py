@@ -23,7 +23,7 @@ def serial(attempts, window):
 def test_equals_serial_fold(spark, window, bucket, seed):
     rng = random.Random(seed)
     attempts = []
-    for seq in range(150):
+    for seq in range(70):
         block = 0 if rng.random() < 0.33 else rng.randrange(12)
         attempts.append((rng.choice("ab") if seed % 2 else "a", seq, block))
     rows = [
