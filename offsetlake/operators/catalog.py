@@ -8,16 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from offsetlake import schemas
-from offsetlake.functions import (
-    MAX_I64,
-    is_chain_id,
-    is_destination,
-    is_identifier,
-    is_log_name,
-    is_state_path,
-    ledger_key,
-    next_offset,
-)
+from offsetlake.functions import MAX_I64, names
 from offsetlake.functions.numbers import MAX_U64
 from offsetlake.operators.audit import broken_rules, duplicates, union, violation
 from offsetlake.operators.ledger import FINISHED
@@ -122,30 +113,48 @@ def latest_backups(manifests: DataFrame, k: int) -> DataFrame:
 # --- manifest audit ------------------------------------------------------------------------------
 
 
-def _repeats(values: Column) -> Column:
-    return F.size(F.array_distinct(values)) != F.size(values)
-
-
-def _positions(offsets: Column) -> Column:
-    return F.transform(offsets, lambda o: F.struct(o["topic"], o["partition"]))
-
-
-def _max_offset_of(ledger: Column, key: Column) -> Column:
-    rows = F.filter(ledger, lambda row: row["key"] == key)
-    return F.when(F.size(rows) > 0, F.element_at(rows, 1)["max_offset"])
-
-
-def _expected(connector: Column, offset: Column) -> Column:
-    key = ledger_key(offset["topic"], offset["partition"])
-    return next_offset(_max_offset_of(connector["ledger"], key))
-
-
-def _outside(connector: Column, offset: Column) -> Column:
-    return (
-        (offset["topic"] != connector["topic"])
-        | (offset["partition"] < 0)
-        | (offset["partition"] >= connector["partitions"])
-    )
+def _valid(field: str, pattern: str) -> str:
+    return f"coalesce({field} rlike r'{pattern}', false)"
+
+
+# Pieces of SQL over one connector ``c``, offset ``o`` or ledger row ``r`` of a manifest.
+_KEY = "concat_ws('-', o.topic, cast(o.partition as string))"
+_EXPECTED = f"coalesce(try_element_at(filter(c.ledger, r -> r.key = {_KEY}), 1).max_offset + 1, 0)"
+_REPEATED = "size(array_distinct({0})) <> size({0})"
+_NAMES = " AND ".join(
+    [
+        _valid("c.name", names.LOG_NAME),
+        _valid("c.topic", names.LOG_NAME),
+        _valid("c.database", names.IDENTIFIER),
+        _valid("c.`table`", names.IDENTIFIER),
+        _valid("c.state_database", names.IDENTIFIER),
+        _valid("c.state_table", names.IDENTIFIER),
+        _valid("c.state_path", names.STATE_PATH),
+    ]
+)
+_SLOTS = "transform({0}, o -> struct(o.topic, o.partition))"
+_BAD_ROW = (
+    f"NOT (r.state <=> '{FINISHED}') OR r.min_offset > r.max_offset OR r.max_offset > {MAX_I64}"
+)
+_OUTSIDE = "o.topic <> c.topic OR o.partition < 0 OR o.partition >= c.partitions"
+
+# Rules that some connector of the manifest breaks.
+CONNECTOR_RULES = {
+    "manifest-duplicate-offset": " OR ".join(
+        _REPEATED.format(_SLOTS.format(vector)) for vector in ("c.offsets", "c.observed")
+    ),
+    "manifest-names": f"NOT ({_NAMES})",
+    "manifest-partitions": "c.partitions <= 0 OR size(c.offsets) <> c.partitions",
+    "manifest-ledger": f"exists(c.ledger, r -> {_BAD_ROW}) OR "
+    + _REPEATED.format("transform(c.ledger, r -> r.key)"),
+    "manifest-observed-range": f"exists(c.observed, o -> {_OUTSIDE})",
+    "manifest-offset-order": "NOT forall("
+    "transform(c.offsets, (o, i) -> o.topic = c.topic AND o.partition = i), fits -> fits)",
+    "manifest-offset-value": f"exists(c.offsets, o -> o.offset <> {_EXPECTED}) "
+    f"OR exists(c.observed, o -> o.offset > {_EXPECTED})",
+    "manifest-stray-ledger": "exists(c.ledger, "
+    f"r -> NOT array_contains(transform(c.offsets, o -> {_KEY}), r.key))",
+}
 
 
 def audit_manifests(manifests: DataFrame) -> DataFrame:
@@ -155,74 +164,25 @@ def audit_manifests(manifests: DataFrame) -> DataFrame:
     audited in one pass without a shuffle.
     """
     connectors = F.coalesce("connectors", F.array().cast(schemas.CONNECTORS))
-
-    def some(broken) -> Column:
-        return F.exists(connectors, lambda c: F.coalesce(broken(c), F.lit(True)))
-
-    def bad_names(c):
-        return ~(
-            is_log_name(c["name"])
-            & is_log_name(c["topic"])
-            & is_identifier(c["database"])
-            & is_identifier(c["table"])
-            & is_identifier(c["state_database"])
-            & is_identifier(c["state_table"])
-            & is_state_path(c["state_path"])
-        )
-
-    def bad_ledger(c):
-        unfinished = F.exists(
-            c["ledger"],
-            lambda row: ~row["state"].eqNullSafe(FINISHED)
-            | (row["min_offset"] > row["max_offset"])
-            | (row["max_offset"] > F.lit(MAX_I64)),
-        )
-        return unfinished | _repeats(F.transform(c["ledger"], lambda row: row["key"]))
-
-    def bad_order(c):
-        slots = F.transform(
-            c["offsets"],
-            lambda o, i: (o["topic"] == c["topic"]) & (o["partition"] == i),
-        )
-        return ~F.forall(slots, lambda fits: fits)
-
-    def bad_exact(c):
-        wrong = F.exists(c["offsets"], lambda o: o["offset"] != _expected(c, o))
-        ahead = F.exists(c["observed"], lambda o: o["offset"] > _expected(c, o))
-        return wrong | ahead
-
-    def stray_ledger(c):
-        keys = F.transform(c["offsets"], lambda o: ledger_key(o["topic"], o["partition"]))
-        return F.exists(c["ledger"], lambda row: ~F.array_contains(keys, row["key"]))
-
     has_parent = F.col("parent_id").isNotNull()
+    whole = F.col("kind").eqNullSafe(FULL) & (F.col("position") == 0) & ~has_parent
+    part = F.col("kind").eqNullSafe(INCREMENTAL) & (F.col("position") > 0) & has_parent
+    listed = "transform(_connectors, c -> c.name)"
     return broken_rules(
-        manifests,
+        manifests.withColumn("_connectors", connectors),
         F.col("backup_id"),
         {
-            "manifest-no-connectors": F.size(connectors) == 0,
-            "manifest-chain-id": ~is_chain_id(F.col("chain_id")),
-            "manifest-destination": ~is_destination(F.col("name")),
-            "manifest-parent-destination": has_parent & ~is_destination(F.col("parent_name")),
-            "manifest-kind": ~(
-                F.col("kind").eqNullSafe(FULL) & (F.col("position") == 0) & ~has_parent
-                | F.col("kind").eqNullSafe(INCREMENTAL) & (F.col("position") > 0) & has_parent
-            ),
-            "manifest-duplicate-connector": _repeats(F.transform(connectors, lambda c: c["name"])),
-            "manifest-duplicate-offset": some(
-                lambda c: _repeats(_positions(c["offsets"])) | _repeats(_positions(c["observed"]))
-            ),
-            "manifest-names": some(bad_names),
-            "manifest-partitions": some(
-                lambda c: (c["partitions"] <= 0) | (F.size(c["offsets"]) != c["partitions"])
-            ),
-            "manifest-ledger": some(bad_ledger),
-            "manifest-observed-range": some(
-                lambda c: F.exists(c["observed"], lambda o: _outside(c, o))
-            ),
-            "manifest-offset-order": some(bad_order),
-            "manifest-offset-value": some(bad_exact),
-            "manifest-stray-ledger": some(stray_ledger),
+            "manifest-no-connectors": F.expr("size(_connectors) = 0"),
+            "manifest-chain-id": ~names.is_chain_id(F.col("chain_id")),
+            "manifest-destination": ~names.is_destination(F.col("name")),
+            "manifest-parent-destination": has_parent
+            & ~names.is_destination(F.col("parent_name")),
+            "manifest-kind": ~(whole | part),
+            "manifest-duplicate-connector": F.expr(_REPEATED.format(listed)),
+            **{
+                rule: F.expr(f"exists(_connectors, c -> coalesce({broken}, true))")
+                for rule, broken in CONNECTOR_RULES.items()
+            },
         },
     )
 
@@ -362,16 +322,16 @@ def audit_states(states: DataFrame, pipelines: DataFrame) -> DataFrame:
             "state-generation": (F.col("generation") == 0)
             | (F.col("generation") == F.lit(str(MAX_U64)).cast("decimal(20,0)")),
             "state-pipelines": ~F.sort_array("pipelines").eqNullSafe(F.sort_array(configured)),
-            "state-chain-id": ~is_chain_id(F.col("chain_id")),
+            "state-chain-id": ~names.is_chain_id(F.col("chain_id")),
             "state-root": (root["kind"] != FULL)
-            | ~is_destination(root["name"])
+            | ~names.is_destination(root["name"])
             | (root["chain_id"] != F.col("chain_id"))
             | (root["position"] != 0)
             | root["parent_id"].isNotNull(),
-            "state-tip": ~is_destination(tip["name"])
+            "state-tip": ~names.is_destination(tip["name"])
             | (tip["chain_id"] != F.col("chain_id"))
             | (tip["position"] != count)
-            | has_parent & ~is_destination(tip["parent_name"])
+            | has_parent & ~names.is_destination(tip["parent_name"])
             | ~F.when(count == 0, whole_tip).otherwise(F.coalesce(part_tip, F.lit(False))),
         },
     )
@@ -412,35 +372,25 @@ def audit_chain(manifests: DataFrame, states: DataFrame, pipelines: DataFrame) -
         F.col("connectors").alias("p_connectors"),
     )
     configured = configured_pipelines(pipelines)
-    linked = rows.join(previous, "parent_id", "left")
-
-    def same(c: Column, p: Column) -> Column:
-        match = (c["name"] == p["connector"]) & (c["state_database"] == p["database"])
-        for field in ("topic", "partitions", "state_table", "state_path"):
-            match = match & (c[field] == p[field])
-        return match
-
-    unmatched = F.exists(
-        configured,
-        lambda p: ~F.exists("connectors", lambda c: F.coalesce(same(c, p), F.lit(False)))
+    linked = rows.join(previous, "parent_id", "left").withColumn("_configured", configured)
+    unmatched = F.expr(
+        "exists(_configured, p -> NOT exists(connectors, c -> coalesce("
+        "c.name = p.connector AND c.topic = p.topic AND c.partitions = p.partitions AND "
+        "c.state_database = p.database AND c.state_table = p.state_table AND "
+        "c.state_path = p.state_path, false)))"
+    )
+    # Offsets are compared with those of the parent's connector by array position.
+    before = "try_element_at(filter(p_connectors, p -> p.name = c.name), 1).offsets"
+    backwards = F.expr(
+        "exists(connectors, c -> coalesce(exists("
+        f"zip_with(c.offsets, {before}, (now, then) -> now.offset < then.offset), "
+        "fell -> fell), false))"
+    )
+    lost = F.expr(
+        "exists(connectors, c -> NOT exists(p_connectors, p -> coalesce(p.name = c.name, false)))"
     )
-
-    def lower(c: Column) -> Column:
-        before = F.filter("p_connectors", lambda p: p["name"] == c["name"])
-        pairs = F.arrays_zip(
-            F.transform(c["offsets"], lambda o: o["offset"]).alias("now"),
-            F.transform(F.element_at(before, 1)["offsets"], lambda o: o["offset"]).alias("then"),
-        )
-        fell = F.exists(pairs, lambda pair: F.coalesce(pair["now"] < pair["then"], F.lit(False)))
-        return F.when(F.size(before) > 0, fell).otherwise(F.lit(False))
-
-    backwards = F.exists("connectors", lower)
     has_parent = F.col("parent_id").isNotNull()
     found = F.col("p_name").isNotNull()
-    lost = F.exists(
-        "connectors",
-        lambda c: ~F.exists("p_connectors", lambda p: F.coalesce(p["name"] == c["name"], F.lit(False))),
-    )
     single = broken_rules(
         linked,
         F.col("backup_id"),
@@ -454,7 +404,7 @@ def audit_chain(manifests: DataFrame, states: DataFrame, pipelines: DataFrame) -
                 | (F.col("p_chain") != F.col("chain_id"))
                 | (F.col("p_position") + 1 != F.col("position"))
             ),
-            "chain-connector-count": F.size("connectors") != F.size(configured),
+            "chain-connector-count": F.expr("size(connectors) <> size(_configured)"),
             "chain-pipeline-mismatch": unmatched,
             "chain-parent-connector": found & lost,
             "chain-offsets-backwards": found & backwards,
