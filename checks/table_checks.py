@@ -19,6 +19,7 @@ from offsetlake.sources import storage
 from offsetlake.sources import table as tables
 from offsetlake.streaming import deliver as delivery
 from offsetlake.streaming import follow as following
+from offsetlake.streaming import leases
 
 ROWS = [*POSITION, "k"]
 GOOD = """SELECT topic, part AS "partition", off AS "offset", k FROM good
@@ -232,7 +233,7 @@ def reconcile_tables(spark, sf):
     lost = touched & (F.col("offset") % 1500 == 3)
     other = touched & (F.col("offset") % 1000 == 7)
     right = left.filter(~lost).withColumn("k", F.when(other, -1).otherwise(F.col("k")))
-    return backups.reconcile(left, right)
+    return backups.reconcile(left, right, bucket=100)
 
 
 @check("stream_delivery", GOOD)
@@ -363,3 +364,26 @@ def held_intervals(spark, sf):
 def holders_at(spark, sf):
     sessions = lease.lease_sessions(fx.lease_events(spark, sf), TTL)
     return lease.holders_at(sessions, "2024-01-01 12:00:00")
+
+
+@check(
+    "stream_leases",
+    """SELECT CAST(token AS VARCHAR) AS token, connector, s AS "start", e AS "end", ended_by
+       FROM sessions
+       WHERE ended_by = 'resumed' OR e <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""",
+)
+def stream_leases(spark, sf):
+    """The same lives from a stream: those that ended before its watermark, an hour behind."""
+    source, out = storage.work_dir(spark, "leases"), storage.work_dir(spark, "sessions")
+    fx.lease_events(spark, sf).write.parquet(source)
+    stream = spark.readStream.schema(schemas.LEASE_EVENTS).parquet(source)
+    query = (
+        leases.stream_sessions(stream, TTL, "1 hour")
+        .writeStream.option("checkpointLocation", storage.work_dir(spark, "checkpoint"))
+        .trigger(availableNow=True)
+        .start(out)
+    )
+    query.awaitTermination()
+    return spark.read.schema(leases.SESSIONS).parquet(out).select(
+        "token", F.col("connectors")[0].alias("connector"), ntz("start"), ntz("end"), "ended_by"
+    )

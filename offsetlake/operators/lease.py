@@ -23,16 +23,16 @@ def lease_sessions(events: DataFrame, ttl_seconds: float) -> DataFrame:
     Events are folded into slots of one TTL first. Events of one slot are less than a TTL apart,
     so only the first and last of each slot matter, and a gap that ends the lease always lies
     between two slots. A hot token is thus reduced before the shuffle to one row per task and
-    slot, and the window runs over slots, not events.
+    slot, and the window runs over slots, not events. The fold keeps fixed-width values only, so
+    it is a hash aggregation; the connectors are joined from the few pause events afterwards.
     """
     ttl = int(ttl_seconds * MICROS)
-    rows = events.withColumn("_us", F.unix_micros("ts"))
+    rows = events.select("token", "event", F.unix_micros("ts").alias("_us"))
     slots = rows.groupBy("token", F.expr(f"(_us - pmod(_us, {ttl})) div {ttl}").alias("slot")).agg(
         F.min("_us").alias("first"),
         F.max("_us").alias("last"),
         F.min(F.when(F.col("event") == "pause", F.col("_us"))).alias("pause"),
         F.min(F.when(F.col("event") == "resume", F.col("_us"))).alias("resume"),
-        F.min_by("connectors", F.when(F.col("event") == "pause", F.col("_us"))).alias("connectors"),
     )
     order = W.partitionBy("token").orderBy("slot")
     chain = slots.withColumn("before", F.lag("last").over(order)).withColumn(
@@ -40,29 +40,27 @@ def lease_sessions(events: DataFrame, ttl_seconds: float) -> DataFrame:
     )
     # The first slot that ends the lease, by a gap before it or by a resume in it.
     ending = F.when(F.col("gap"), F.col("before") + ttl).otherwise(F.col("resume"))
-    chain = chain.withColumn("ending", ending)
-    return (
-        chain.groupBy("token")
+    ended = F.when(F.col("ending").isNotNull(), F.struct("slot", "ending", "gap"))
+    lives = (
+        chain.withColumn("ending", ending)
+        .groupBy("token")
         .agg(
             F.min("pause").alias("_start"),
-            F.min_by("connectors", F.when(F.col("pause").isNotNull(), F.col("slot"))).alias("connectors"),
-            F.min(
-                F.when(F.col("ending").isNotNull(), F.struct("slot", "ending", "gap"))
-            ).alias("_ended"),
+            F.min(ended).alias("_ended"),
             F.max("last").alias("_last"),
         )
         .filter("_start IS NOT NULL")
-        .select(
-            "token",
-            "connectors",
-            F.timestamp_micros("_start").alias("start"),
-            F.timestamp_micros(
-                F.coalesce(F.col("_ended.ending"), F.col("_last") + ttl)
-            ).alias("end"),
-            F.when(F.col("_ended").isNull() | F.col("_ended.gap"), "expired")
-            .otherwise("resumed")
-            .alias("ended_by"),
-        )
+    )
+    pauses = events.filter("event = 'pause'").groupBy("token").agg(
+        F.min(F.struct("ts", "connectors"))["connectors"].alias("connectors")
+    )
+    expired = F.col("_ended").isNull() | F.col("_ended.gap")
+    return lives.join(pauses, "token").select(
+        "token",
+        "connectors",
+        F.timestamp_micros("_start").alias("start"),
+        F.timestamp_micros(F.coalesce(F.col("_ended.ending"), F.col("_last") + ttl)).alias("end"),
+        F.when(expired, "expired").otherwise("resumed").alias("ended_by"),
     )
 
 

@@ -24,6 +24,7 @@ from offsetlake.sources import storage
 from offsetlake.sources import table as tables
 
 BLOCKS = T.StructType([schemas.LEDGER[c] for c in [*schemas.BLOCK_ID, "min_offset", "max_offset", "rows"]])
+RECONCILE_BUCKET = 1_000_000
 BACKUP, TABLE = (T.StructField(name, T.StringType()) for name in ("backup", "table"))
 
 
@@ -133,10 +134,12 @@ def audit_projection(rows: DataFrame, schema: T.StructType) -> DataFrame:
         f"restore-value-lost:{f.name}": F.col(f.name).isNotNull()
         & F.col(f.name).try_cast(f.dataType).isNull()
         for f in schema.fields
-        if f.name in rows.columns
+        if f.name in rows.columns and rows.schema[f.name].dataType != f.dataType
     }
-    subject = F.concat_ws("-", "topic", F.col("partition").cast("string"), F.col("offset").cast("string"))
-    return broken_rules(rows, subject, rules)
+    if not rules:
+        return rows.sparkSession.createDataFrame([], schemas.VIOLATION)
+    place = [F.col(c).cast("string") for c in schemas.POSITION]
+    return broken_rules(rows, F.concat_ws("-", *place), rules)
 
 
 def backup_metrics(spark: SparkSession, archive: str) -> DataFrame:
@@ -151,10 +154,10 @@ def backup_metrics(spark: SparkSession, archive: str) -> DataFrame:
     )
 
 
-def fingerprint(rows: DataFrame) -> DataFrame:
-    """Count, offset range and order-free row hash per topic-partition."""
-    content = [c for c in rows.columns if c not in ("batch_id", "table")]
-    return rows.groupBy(*TP).agg(
+def fingerprint(rows: DataFrame, keys: Sequence[str] = ("topic", "partition")) -> DataFrame:
+    """Count, offset range and order-free row hash per key: fixed-width, so a hash aggregation."""
+    content = [c for c in rows.columns if c not in ("batch_id", "table", *keys)]
+    return rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("rows"),
         F.min("offset").alias("min_offset"),
         F.max("offset").alias("max_offset"),
@@ -183,22 +186,28 @@ def verify_backup(backup: DataFrame, cut: DataFrame) -> DataFrame:
     )
 
 
-def reconcile(left: DataFrame, right: DataFrame) -> DataFrame:
+def reconcile(left: DataFrame, right: DataFrame, bucket: int = RECONCILE_BUCKET) -> DataFrame:
     """Row differences of two tables that should be equal.
 
-    Fingerprints per topic-partition come first; they combine before the shuffle. Only rows of
-    partitions that differ are compared one by one.
+    Fingerprints per offset bucket of a topic-partition come first; they combine before the
+    shuffle. Only rows of buckets that differ are compared one by one, so one lost row does not
+    shuffle a whole hot partition.
     """
     columns = [c for c in left.columns if c != "batch_id"]
-    left, right = left.select(columns), right.select(columns)
+    slot = F.expr(f"offset div {bucket}")
+    left, right = (side.select(*columns).withColumn("_slot", slot) for side in (left, right))
+    keys = [*TP, "_slot"]
     off = (
-        fingerprint(left)
-        .unionByName(fingerprint(right))
-        .groupBy(*TP, "rows", "min_offset", "max_offset", "content")
+        fingerprint(left, keys)
+        .unionByName(fingerprint(right, keys))
+        .groupBy(*keys, "rows", "min_offset", "max_offset", "content")
         .agg(F.count(F.lit(1)).alias("_sides"))
         .filter("_sides = 1")
-        .select(*TP)
+        .select(*keys)
         .distinct()
     )
-    differing = join_control(left, off, TP, "left_semi")
-    return diff_rows(differing, join_control(right, off, TP, "left_semi"))
+    off = storage.settled(off)
+    left, right = (
+        join_control(side, off, keys, "left_semi").select(*columns) for side in (left, right)
+    )
+    return diff_rows(left, right)

@@ -111,14 +111,20 @@ def decode_json(log: DataFrame, schema: T.StructType, value: str | Column = "val
     payload that is absent, not JSON, or does not fit the schema has a null ``row`` and an error.
     """
     value = F.col(value) if isinstance(value, str) else value
-    text = value.cast("string")
     parsing = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
-    decoded = log.withColumn("_json", F.from_json(text, parsing, options))
-    error = F.when(text.isNull(), "payload is null").when(
-        F.col("_json").isNull() | F.col(f"_json.{CORRUPT}").isNotNull(), "payload is not valid"
+    text = value.cast("string")
+    # Exploding a one-element array keeps later filters above it; pushed below, they would parse
+    # every payload a second time.
+    parsed = F.struct(
+        text.isNull().alias("absent"), F.from_json(text, parsing, options).alias("json")
+    )
+    decoded = log.select(*log.columns, F.explode(F.array(parsed)).alias("_parsed"))
+    json = F.col("_parsed.json")
+    error = F.when(F.col("_parsed.absent"), "payload is null").when(
+        json.isNull() | json[CORRUPT].isNotNull(), "payload is not valid"
     )
-    users = F.struct(*[F.col(f"_json.`{field.name}`").alias(field.name) for field in schema.fields])
+    users = F.struct(*[json[field.name].alias(field.name) for field in schema.fields])
     return decoded.select(
         *log.columns, F.when(error.isNull(), users).alias("row"), error.alias("_error")
     )

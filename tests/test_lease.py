@@ -103,3 +103,35 @@ def test_sessions_intervals_and_holders_by_simulation(spark, seed):
     )
     instant = (T0 + timedelta(seconds=now)).strftime("%Y-%m-%d %H:%M:%S")
     assert sorted(map(tuple, lease.holders_at(lives, instant).collect())) == holders
+
+
+def test_stream_equals_batch(spark, path):
+    """Events arrive in four batches; the last, far later one lets every lease run out."""
+    from offsetlake.streaming.leases import stream_sessions
+
+    rng = random.Random(5)
+    rows = []
+    for token in range(12):
+        s = rng.randrange(400)
+        connectors = rng.sample("uvw", 2)
+        rows.append((f"t{token}", connectors, "pause", s))
+        for _ in range(rng.randrange(12)):
+            s += rng.choice([1, 20, TTL - 1, TTL, 90])
+            rows.append((f"t{token}", connectors, rng.choice(["renew"] * 5 + ["resume"]), s))
+    source, out = path("events"), path("out")
+    want = simulate(rows)
+    parts = [[r for r in rows if low <= r[3] < low + 300] for low in range(0, 1500, 300)]
+    for part in [*parts, [("late", ["u"], "pause", 10_000)]]:
+        if part:
+            events(spark, part).coalesce(1).write.mode("append").parquet(source)
+            stream = spark.readStream.schema(schemas.LEASE_EVENTS).parquet(source)
+            query = (
+                stream_sessions(stream, TTL, "10 seconds")
+                .writeStream.option("checkpointLocation", f"{out}-checkpoint")
+                .trigger(availableNow=True)
+                .start(out)
+            )
+            query.awaitTermination()
+    found = spark.read.parquet(out).select("token", "connectors", at("start"), at("end"), "ended_by")
+    got = sorted((r.token, tuple(r.connectors), r.start, r.end, r.ended_by) for r in found.collect())
+    assert got == want
