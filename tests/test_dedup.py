@@ -43,3 +43,26 @@ def test_equal_records_in_other_blocks_stay(spark):
     rows += [("a", 3, "t", 0, 9, "x"), ("a", 3, "t", 0, 9, "x")]
     kept = dedup.dedup_blocks(spark.createDataFrame(rows, SCHEMA), ["table", "seq"], ["v"], 10)
     assert sorted((r.seq, r.v) for r in kept.collect()) == [(0, "x"), (1, "y"), (3, "x"), (3, "x")]
+
+
+def test_stream_equals_serial_fold(spark, path):
+    """Blocks arrive in four micro-batches; the window reaches over their borders."""
+    from offsetlake.streaming.dedup import stream_accepted_blocks
+
+    rng = random.Random(9)
+    attempts = [(rng.choice("ab"), seq, rng.randrange(9)) for seq in range(80)]
+    source, out = path("attempts"), path("accepted")
+    for start in range(0, 80, 20):
+        rows = [(t, s, "t", 0, b, f"v{b}") for t, s, b in attempts[start : start + 20]]
+        blocks = dedup.block_ids(spark.createDataFrame(rows, SCHEMA), ["table", "seq"], ["v"])
+        blocks.coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(blocks.schema).parquet(source)
+        query = (
+            stream_accepted_blocks(stream, 4)
+            .writeStream.option("checkpointLocation", f"{out}-checkpoint")
+            .trigger(availableNow=True)
+            .start(out)
+        )
+        query.awaitTermination()
+    got = {(r.table, r.seq) for r in spark.read.parquet(out).collect()}
+    assert got == serial(attempts, 4)
