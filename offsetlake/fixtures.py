@@ -247,10 +247,11 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
             )
         ).alias("value"),
     )
+    unchanged = [c for c in schemas.MANIFESTS.names if c != "created_at"]
     again = rows.filter(run % 5 == 0).select(
         (run * 2 + 1_000_000_000).alias("log_offset"),
         F.col("backup_id").alias("key"),
-        F.to_json(F.struct(*[c for c in schemas.MANIFESTS.names if c != "created_at"], F.lit("again").alias("created_at"))).alias("value"),
+        F.to_json(F.struct(*unchanged, F.lit("again").alias("created_at"))).alias("value"),
     )
     gone = rows.filter(run % 7 == 3).select(
         (run * 2 + 2_000_000_000).alias("log_offset"),

@@ -31,7 +31,7 @@ def latest_by_key(catalog: DataFrame) -> DataFrame:
     return (
         catalog.groupBy("key")
         .agg(last.alias("_last"))
-        .select("key", F.col("_last.value").alias("value"), F.col("_last.log_offset").alias("log_offset"))
+        .select("key", "_last.value", "_last.log_offset")
         .filter("value IS NOT NULL")
     )
 

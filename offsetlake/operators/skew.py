@@ -13,7 +13,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+NESTED = (T.ArrayType, T.MapType, T.StructType)
 CONTROL_ROWS = 100_000
 CONTROL_BYTES = 64 * 1024 * 1024
 SPREAD = 64
@@ -24,8 +26,11 @@ def pin(control: DataFrame, max_rows: int = CONTROL_ROWS) -> DataFrame | None:
 
     Returns None when it has more than ``max_rows`` rows or ``CONTROL_BYTES`` bytes; the
     caller must then take a plan that does not broadcast it. At most ``max_rows + 1`` rows
-    reach the driver.
+    reach the driver. Meant for narrow rows, such as offset vectors, block lists and key sets;
+    nested rows, such as manifests, may be large each and are never held.
     """
+    if any(isinstance(f.dataType, NESTED) for f in control.schema.fields):
+        return None
     table = control.limit(max_rows + 1).toArrow()
     if table.num_rows > max_rows or table.nbytes > CONTROL_BYTES:
         return None

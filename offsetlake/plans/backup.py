@@ -29,12 +29,12 @@ from offsetlake.operators.snapshot import barrier_cut, snapshot_at
 from offsetlake.sources import table as tables
 from offsetlake.sources.backup import read_chain, verify_backup, write_backup
 from offsetlake.sources.catalog import commit_catalog, read_catalog
-from offsetlake.sources.storage import settled
+from offsetlake.sources.storage import settled, written
 
 
 def load_chain(spark: SparkSession, catalog: str, pipelines: DataFrame):
     """The current chain: its state and audited manifests, or (None, None) for an empty catalog."""
-    latest = settled(latest_by_key(read_catalog(spark, catalog)))
+    latest = written(latest_by_key(read_catalog(spark, catalog)), "catalog")
     states = parse_state(latest)
     state = next(iter(states.collect()), None)
     if state is None:
@@ -44,7 +44,7 @@ def load_chain(spark: SparkSession, catalog: str, pipelines: DataFrame):
     walked = settled(walk_chain(manifests, tip))
     require(audit_walk(walked))
     chain = manifests.join(walked.select("backup_id"), "backup_id", "left_semi")
-    chain = settled(chain.select(*schemas.MANIFESTS.names))
+    chain = written(chain.select(*schemas.MANIFESTS.names), "chain")
     require(audit_manifests(chain).unionByName(audit_chain(chain, states, pipelines)))
     return state, chain
 

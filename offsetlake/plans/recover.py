@@ -24,7 +24,7 @@ from offsetlake.sources import table as tables
 from offsetlake.sources.backup import audit_projection, project, read_chain
 from offsetlake.sources.catalog import read_catalog
 from offsetlake.sources.log import decode_json
-from offsetlake.sources.storage import settled
+from offsetlake.sources.storage import settled, written
 from offsetlake.streaming.deliver import Target
 from offsetlake.streaming.follow import replay_until, require_at
 
@@ -70,13 +70,13 @@ def restore(
 
 def chain_of(spark: SparkSession, catalog: str, backup_id: str) -> tuple[DataFrame, list[str]]:
     """The audited manifest of a backup, and the ids of its chain up to it, full backup first."""
-    manifests = parse_manifests(settled(latest_by_key(read_catalog(spark, catalog))))
+    manifests = parse_manifests(written(latest_by_key(read_catalog(spark, catalog)), "catalog"))
     tip = spark.createDataFrame([(backup_id,)], "backup_id STRING")
     walked = settled(walk_chain(manifests, tip))
     require(audit_walk(walked))
     ids = [r.backup_id for r in walked.select("backup_id", "step").orderBy(F.desc("step")).collect()]
     manifest = manifests.filter(F.col("backup_id") == backup_id)
-    manifest = settled(manifest.select(*schemas.MANIFESTS.names))
+    manifest = written(manifest.select(*schemas.MANIFESTS.names), "manifest")
     require(audit_manifests(manifest))
     return manifest, ids
 

@@ -122,7 +122,7 @@ def project(rows: DataFrame, schema: T.StructType, drop_missing: bool = False) -
     if lost and not drop_missing:
         raise ViolationError([Row(rule="restore-column-dropped", subject=c, detail=None) for c in lost])
     users = [
-        (F.col(f.name).try_cast(f.dataType) if f.name in rows.columns else F.lit(None).cast(f.dataType)).alias(f.name)
+        (F.col(f.name) if f.name in rows.columns else F.lit(None)).try_cast(f.dataType).alias(f.name)
         for f in schema.fields
     ]
     return rows.select(*users, *[c for c in rows.columns if c in positions])

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from offsetlake.functions import ledger_key
 from offsetlake.operators.audit import ViolationError, diff_rows, require
 from offsetlake.operators.bounds import audit_ranges
 from offsetlake.operators.ledger import (
@@ -16,14 +17,12 @@ from offsetlake.operators.ledger import (
 )
 from offsetlake.operators.recovery import audit_targets
 from offsetlake.operators.snapshot import read_range
-from offsetlake.functions import ledger_key
 from offsetlake.schemas import OFFSETS
 from offsetlake.sources import table as tables
 from offsetlake.streaming.deliver import Target, append_decoded, deliver
-from pyspark.sql import functions as F
 
 
-def state_rows(target: Target, spark) -> DataFrame:
+def state_rows(target: Target, spark: SparkSession) -> DataFrame:
     """The folded ledger of a table as (key, min_offset, max_offset, state)."""
     folded = fold_ledger(tables.read_ledger(spark, target.path))
     return folded.select(

@@ -386,3 +386,36 @@ def test_cut_of_two_pipelines_on_one_table(spark, path):
         ("one", 0, 3), ("one", 1, 3), ("one", 2, 3), ("two", 0, 4), ("two", 1, 0),
     ]
     assert ledger.fold_ledger(tables.read_ledger(spark, to.path)).count() == 4
+
+
+def test_empty_increment_and_empty_table(spark, site, path):
+    """A run with nothing new, over two tables of which one never had a row."""
+    site.produce(30)
+    idle = target(path, "idle.input")
+    both = pipelines(spark).unionByName(
+        spark.createDataFrame(
+            [("idle", "main", "state", "/ledger/idle", "idle", "idle.input", 1)], schemas.PIPELINES
+        )
+    )
+    limits = site.bounds().unionByName(
+        spark.createDataFrame([("idle.input", 0, 0, 0)], schemas.LOG_BOUNDS)
+    )
+    for run in ("run-0", "run-1"):
+        manifest = backup_plan.run_backup(
+            spark,
+            {"records": site.table.path, "idle": idle.path},
+            {"records": USER, "idle": USER},
+            both,
+            limits,
+            site.archive,
+            site.catalog,
+            run,
+            2,
+            verify=True,
+        )
+    assert [o["offset"] for c in manifest["connectors"] for o in c["offsets"]] == [10, 10, 10, 0]
+    _, ids = recovery.chain_of(spark, site.catalog, "run-1")
+    for name, rows in (("records", 30), ("idle", 0)):
+        to = target(path)
+        recovery.restore(spark, site.archive, ids, name, USER, to, "r-1")
+        assert counts(spark, to) == (rows, rows)

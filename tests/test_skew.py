@@ -5,7 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from offsetlake.operators import bounds, skew
+from offsetlake import schemas
+from offsetlake.operators import bounds, skew, snapshot
 
 
 @pytest.fixture(scope="module")
@@ -80,8 +81,28 @@ def test_gaps_and_resequence(spark):
     ]
 
 
+def test_nested_rows_are_not_held(spark):
+    assert skew.pin(spark.createDataFrame([([1],)], "a ARRAY<INT>")) is None
+
+
 def test_hot_partition_is_split(spark):
-    """Records are shuffled by offset bucket, not by partition alone."""
+    """One partition with all records: its offset buckets land in different tasks."""
     log = spark.range(1000).selectExpr("'t' AS topic", "0 AS partition", "id AS offset")
-    plan = bounds.offset_gaps(log, bucket=100)._jdf.queryExecution().executedPlan().toString()
-    assert "_bucket" in plan
+    rows = bounds.resequence(log, batch_records=10, bucket=50)
+    tasks = rows.groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert len(tasks) > 1
+    assert max(t["count"] for t in tasks) < 900
+
+
+def test_ranges_without_a_broadcast(spark, monkeypatch):
+    """A vector beyond the bound takes the salted join and gives the same rows."""
+    log = spark.range(300).selectExpr(
+        "'t' AS topic", "CAST(id % 3 AS INT) AS partition", "id div 3 AS offset"
+    )
+    low = spark.createDataFrame([("t", 0, 5), ("t", 1, 0)], schemas.OFFSETS)
+    high = spark.createDataFrame([("t", 0, 9), ("t", 1, 3), ("t", 2, 7)], schemas.OFFSETS)
+    want = sorted(map(tuple, snapshot.read_range(log, low, high).collect()))
+    assert want == [("t", 0, o) for o in range(5, 9)] + [("t", 1, o) for o in range(3)]
+    monkeypatch.setattr(snapshot, "pin", lambda *_: None)
+    monkeypatch.setattr(skew, "pin", lambda *_: None)
+    assert sorted(map(tuple, snapshot.read_range(log, low, high).collect())) == want
