@@ -228,7 +228,7 @@ def point_in_time(spark, sf):
 def reconcile_tables(spark, sf):
     """In partition 1 the right side has other values and lost rows; the others are equal."""
     decoded = logs.decode_json(events_log(spark, sf), fx.PAYLOAD, "payload")
-    left = decoded.filter("_error IS NULL").select(*POSITION, "row.k")
+    left = logs.only_good(decoded).select(*POSITION, "row.k")
     touched = F.col("partition") == 1
     lost = touched & (F.col("offset") % 1500 == 3)
     other = touched & (F.col("offset") % 1000 == 7)

@@ -23,7 +23,7 @@ from offsetlake.operators.snapshot import read_range
 from offsetlake.sources import table as tables
 from offsetlake.sources.backup import audit_projection, project, read_chain
 from offsetlake.sources.catalog import read_catalog
-from offsetlake.sources.log import decode_json
+from offsetlake.sources.log import decode_json, only_good
 from offsetlake.sources.storage import settled, written
 from offsetlake.streaming.deliver import Target
 from offsetlake.streaming.follow import replay_until, require_at
@@ -34,7 +34,7 @@ def point_in_time(
 ) -> DataFrame:
     """The table at a vector: restored snapshot plus the decoded range, no overlap, no gap."""
     require(audit_targets(starts, targets))
-    replayed = decode_json(read_range(log, starts, targets), schema).filter("_error IS NULL")
+    replayed = only_good(decode_json(read_range(log, starts, targets), schema))
     columns = [*schema.names, *schemas.POSITION]
     return restored.select(columns).unionByName(replayed.select("row.*", *schemas.POSITION))
 

@@ -114,17 +114,23 @@ def decode_json(log: DataFrame, schema: T.StructType, value: str | Column = "val
     parsing = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
     text = value.cast("string")
-    # Exploding a one-element array keeps later filters above it; pushed below, they would parse
-    # every payload a second time.
-    parsed = F.struct(
-        text.isNull().alias("absent"), F.from_json(text, parsing, options).alias("json")
-    )
-    decoded = log.select(*log.columns, F.explode(F.array(parsed)).alias("_parsed"))
-    json = F.col("_parsed.json")
-    error = F.when(F.col("_parsed.absent"), "payload is null").when(
+    decoded = log.withColumn("_json", F.from_json(text, parsing, options))
+    json = F.col("_json")
+    error = F.when(text.isNull(), "payload is null").when(
         json.isNull() | json[CORRUPT].isNotNull(), "payload is not valid"
     )
     users = F.struct(*[json[field.name].alias(field.name) for field in schema.fields])
     return decoded.select(
         *log.columns, F.when(error.isNull(), users).alias("row"), error.alias("_error")
     )
+
+
+def only_good(decoded: DataFrame) -> DataFrame:
+    """Decoded records without the bad ones.
+
+    Exploding a one-element array keeps the filter above the decoding; pushed below, it would
+    parse every payload a second time.
+    """
+    rest = [c for c in decoded.columns if c not in ("row", "_error")]
+    held = decoded.select(*rest, F.explode(F.array(F.struct("row", "_error"))).alias("_held"))
+    return held.filter("_held._error IS NULL").select(*rest, "_held.row")
