@@ -6,6 +6,7 @@ import zlib
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,7 +77,7 @@ def text_slices(
 ) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Batches cut to about ``limit`` bytes of text, with the texts as Python strings ("" for null)."""
     for batch in batches:
-        lengths = pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+        lengths = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
         for part in slices(batch, lambda row: int(lengths[row]), limit):
             yield part, [text or "" for text in part.column(column).to_pylist()]
 
