@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offsetlake.llm import langid, mixing, packing, quality
+from offsetlake.llm import langid, mixing, near_dup, packing, quality
 from offsetlake.llm.common import remainder, table, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,6 +45,12 @@ def op7_adaptive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op9_icws_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of near copies of every document, named after its smallest doc_id."""
+    return near_dup.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
+
+
 @query
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
