@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offsetlake.llm import langid, mixing, near_dup, packing, quality
-from offsetlake.llm.common import remainder, table, word_count
+from offsetlake.llm import langid, mixing, near_dup, packing, quality, warc
+from offsetlake.llm.common import Work, remainder, table, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -23,6 +23,22 @@ def oracle(name: str, sql: str) -> None:
     ORACLES[name] = sql
 
 
+@query
+def op1_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to archives in the shared folder and read back from them."""
+    path = f"{Work(spark, 'warc').path}/archives"
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    found = warc.resolved(warc.read_archives(spark, path, payloads=False))
+    return found.select(
+        warc.page_key("record_id").try_cast("long").alias("page_id"),
+        "payload_bytes",
+        F.col("digest").alias("payload_digest"),
+        F.col("kind").alias("record_type"),
+        warc.page_key("refers_to").try_cast("long").alias("refers_to"),
+        "problem",
+    )
+
+
 @query
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, by their words, in sequences of the permitted lengths; one row per piece."""
@@ -60,6 +76,21 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+oracle(
+    "op1_warc_segments",
+    """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
+  FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND first <> page_id THEN first END AS refers_to,
+       CAST(NULL AS VARCHAR) AS problem
+FROM f
+""",
+)
+
 QUALITY_SQL = r"""
 WITH docs AS (
   SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS text FROM documents),
