@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offsetlake.llm import langid, mixing, near_dup, packing, quality, warc
+from offsetlake.llm import langid, mixing, near_dup, packing, quality, token_files, warc
 from offsetlake.llm.common import Work, remainder, table, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,6 +51,27 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query
+def op4_packed_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    found = token_files.packed_documents(documents, tokenizer_path(), end_id=1)
+    return found.withColumnRenamed("key", "doc_id")
+
+
+@query
+def op6_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents, from flat files whose documents end with <|endoftext|>."""
+    documents = table(spark, sf_dir, "documents")
+    found = token_files.scanned_documents(documents, tokenizer_path(), separator=49407)
+    return found.withColumnRenamed("key", "doc_id")
+
+
 @query
 def op7_adaptive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     verdicts = quality.judge(table(spark, sf_dir, "documents"))
