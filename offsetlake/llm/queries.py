@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offsetlake.llm import langid, mixing, near_dup, packing, quality, token_files, warc
+from offsetlake.llm import langid, mixing, near_dup, packing, quality, token_files, top_k, warc
 from offsetlake.llm.common import Work, remainder, table, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,6 +64,13 @@ def op4_packed_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("key", "doc_id")
 
 
+@query
+def op5_norm_sorted_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    embeddings = table(spark, sf_dir, "embeddings")
+    vectors = embeddings.select("vec_id", top_k.integers(F.col("embedding")).alias("vector"))
+    return top_k.top_k(vectors, F.col("vec_id") % 20 == 0, k=20)
+
+
 @query
 def op6_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of all documents, from flat files whose documents end with <|endoftext|>."""
@@ -112,6 +119,22 @@ FROM f
 """,
 )
 
+oracle(
+    "op5_norm_sorted_top_k",
+    """
+WITH good AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+  FROM good q JOIN good c ON c.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score
+FROM scored QUALIFY rank <= 20
+""",
+)
+
 QUALITY_SQL = r"""
 WITH docs AS (
   SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS text FROM documents),
