@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offsetlake.llm import langid, mixing, near_dup, packing, quality, token_files, top_k, warc
+from offsetlake.llm import langid, mixing, near_dup, packing, quality, token_files, top_k, toxicity, warc
 from offsetlake.llm.common import Work, remainder, table, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,6 +89,15 @@ def op7_adaptive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op8_toxicity_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = remainder("doc_id", 5) == 0
+    model = toxicity.fit(documents, labels.filter(~held_out))
+    found = toxicity.score(documents, model)
+    return found.withColumn("held_out", held_out).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 @query
 def op9_icws_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The class of near copies of every document, named after its smallest doc_id."""
