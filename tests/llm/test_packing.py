@@ -1,0 +1,99 @@
+import random
+from collections import defaultdict
+
+import numpy as np
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from offsetlake.llm import packing
+
+CAPS = (4, 8, 16)
+
+
+def brute(lengths, caps, cost):
+    """Best fit by trying every open bin."""
+    bins, rest = [], sum(lengths)
+    places = []
+    for length in lengths:
+        fits = [(room - used, i) for i, (room, used) in enumerate(bins) if room - used >= length]
+        if fits:
+            _, i = min(fits)
+        else:
+            room = min((c for c in caps if c >= length), key=lambda c: (cost(c) / min(c, rest), c))
+            i = len(bins)
+            bins.append((room, 0))
+        places.append((i, bins[i][1]))
+        bins[i] = (bins[i][0], bins[i][1] + length)
+        rest -= length
+    return places, [min(c for c in caps if c >= used) for _, used in bins]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 16), max_size=60))
+def test_best_fit_equals_trying_all_bins(lengths):
+    lengths = sorted(lengths, reverse=True)
+    cost = packing.padded_cost(2)
+    bins, offsets, final = packing.best_fit(lengths, CAPS, cost)
+    places, caps = brute(lengths, CAPS, cost)
+    assert list(zip(bins.tolist(), offsets.tolist(), strict=True)) == places
+    assert final.tolist() == caps
+
+
+def test_least_cost_size_opens():
+    # Three units are left: the bin of 4 is cheaper than one of 16 that stays empty.
+    _, _, final = packing.best_fit([3], CAPS, packing.padded_cost(1))
+    assert final.tolist() == [4]
+    bins, _, final = packing.best_fit([8, 8], CAPS, packing.padded_cost(4))
+    assert bins.tolist() == [0, 0] and final.tolist() == [16]
+
+
+def check(rows, lengths, caps):
+    """Every unit of every document lies in one bin once, and bins are as small as may be."""
+    bins, parts = defaultdict(list), defaultdict(list)
+    for r in rows:
+        parts[r.doc_id, r.doc_length, r.copy].append((r.start, r.length))
+        if r.bin is None:
+            assert r.length == 0 and r.capacity is None and r.bin_offset is None
+        else:
+            bins[r.shard, r.bin].append((r.bin_offset, r.length, r.capacity))
+    assert sorted((k[0], k[1]) for k in parts) == sorted(lengths)
+    for (_, length, _), spans in parts.items():
+        at = 0
+        for start, n in sorted(spans):
+            assert start == at
+            at += n
+        assert at == length
+    for spans in bins.values():
+        at = 0
+        for offset, n, capacity in sorted(spans):
+            assert offset == at
+            at += n
+        assert capacity == min(c for c in caps if c >= at)
+
+
+def test_pack_places_everything(spark):
+    draw = random.Random(3)
+    lengths = [(i, draw.choice([0, 1, 3, 9, 16, 17, 100])) for i in range(300)]
+    frame = spark.createDataFrame([(i, n, "x") for i, n in lengths], "doc_id long, n long, capacity string")
+    rows = packing.pack(frame, "n", capacities=CAPS, shard_pieces=100).collect()
+    check(rows, lengths, CAPS)
+    assert len({r.shard for r in rows if r.shard is not None}) > 3
+    again = packing.pack(frame.repartition(5), "n", capacities=CAPS, shard_pieces=100).collect()
+    assert sorted(map(tuple, rows), key=repr) == sorted(map(tuple, again), key=repr)
+
+
+def test_hard_rows(spark):
+    rows = [(None, 5), (None, 5), (1, None), (2, 0), (3, 7), (3, 7), (3, 8), (2**60, 40)]
+    frame = spark.createDataFrame(rows, "doc_id long, n long")
+    got = packing.pack(frame, "n", capacities=CAPS).collect()
+    nulls_last = lambda k: (k is None, k or 0)
+    assert sorted({r.doc_id for r in got}, key=nulls_last) == [1, 2, 3, 2**60, None]
+    assert sum(r.length for r in got) == sum(n or 0 for _, n in rows)
+    assert {r.copy for r in got if r.doc_id is None} == {1, 2}
+    assert packing.pack(frame.limit(0), "n").collect() == []
+
+
+def test_bins_are_well_filled():
+    lengths = np.sort(np.random.default_rng(0).integers(1, 4000, 5000))[::-1]
+    bins, _, final = packing.best_fit(lengths, packing.CAPACITIES, packing.padded_cost())
+    assert lengths.sum() / final.sum() > 0.98
