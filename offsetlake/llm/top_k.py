@@ -145,7 +145,7 @@ def top_k(
     ``vector`` holds integers. Queries are the rows for which ``is_query`` holds, candidates all rows but
     the query's own key. Equal scores rank by key. Rows with a null key or vector take no part; of
     rows with the same key that with the smallest vector does. Shorter vectors count as filled
-    up with zeros. Queries with fewer than k candidates get all of them; an empty table gives an
+    up with zeros; scores must fit in 64 bits. Queries with fewer than k candidates get all of them; an empty table gives an
     empty result.
 
     The driver holds the block of the longest vectors (``block_rows`` rows), the rotation (dimensions
