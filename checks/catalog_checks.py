@@ -67,6 +67,59 @@ def catalog_lookup(spark, sf):
     )
 
 
+@check(
+    "catalog_audit",
+    """SELECT CASE run % 4 WHEN 0 THEN 'catalog-invalid-json' WHEN 1 THEN 'catalog-key-mismatch'
+                         ELSE 'catalog-unknown-field' END AS rule,
+              CASE WHEN run % 4 = 1 THEN 'other-' || run ELSE backup_id END AS subject,
+              CAST(NULL AS VARCHAR) AS detail
+       FROM runs JOIN latest ON key = backup_id WHERE run % 4 < 3""",
+)
+def catalog_audit(spark, sf):
+    """Of the newest manifests every fourth is cut short, under another key, and with a field of its own."""
+    latest = catalog.latest_by_key(fx.catalog(spark, sf))
+    run = F.regexp_extract("key", r"([0-9]+)\z", 1).try_cast("long")
+    backup = F.col("key") != catalog.STATE_KEY
+    broken = latest.withColumns(
+        {
+            "value": F.when(backup & (run % 4 == 0), F.expr("substr(value, 1, length(value) - 9)"))
+            .when(backup & (run % 4 == 2), F.concat(F.expr("substr(value, 1, length(value) - 1)"), F.lit(',"extra":1}')))
+            .otherwise(F.col("value")),
+            "key": F.when(backup & (run % 4 == 1), F.concat(F.lit("other-"), run.cast("string"))).otherwise(F.col("key")),
+        }
+    )
+    return catalog.audit_catalog(broken)
+
+
+@check(
+    "pipeline_audit",
+    """, p AS (
+         SELECT p_partkey AS n, CASE WHEN p_partkey % 10 = 3 THEN 'a b' ELSE 'c-' || (p_partkey - (p_partkey % 10 = 9)::INT) END AS connector,
+                CASE WHEN p_partkey % 10 = 4 THEN NULL WHEN p_partkey % 10 = 8 THEN 't.same' ELSE 't.' || p_partkey END AS topic,
+                CASE WHEN p_partkey % 10 = 5 THEN '1x' ELSE 'records' END AS tab, p_partkey % 7 AS partitions
+         FROM part)
+       SELECT rule, subject, CAST(NULL AS VARCHAR) AS detail FROM (
+         SELECT 'pipeline-connector' AS rule, connector AS subject FROM p WHERE n % 10 = 3
+         UNION ALL SELECT 'pipeline-topic', connector FROM p WHERE n % 10 = 4
+         UNION ALL SELECT 'pipeline-table', connector FROM p WHERE n % 10 = 5
+         UNION ALL SELECT 'pipeline-partitions', connector FROM p WHERE partitions < 1
+         UNION ALL SELECT 'pipeline-connector-repeated', connector FROM p GROUP BY ALL HAVING count(*) > 1
+         UNION ALL SELECT 'pipeline-topic-repeated', topic FROM p WHERE topic IS NOT NULL GROUP BY ALL HAVING count(*) > 1)""",
+)
+def pipeline_audit(spark, sf):
+    """A pipeline per part: names with a blank, without a topic, no partitions, and repeats."""
+    n = F.col("p_partkey")
+    name = F.concat(F.lit("c-"), (n - (n % 10 == 9).cast("int")).cast("string"))
+    topic = F.when(n % 10 == 8, "t.same").otherwise(F.concat(F.lit("t."), n.cast("string")))
+    pipelines = spark.read.parquet(f"{sf}/part.parquet").select(
+        F.when(n % 10 == 3, "a b").otherwise(name).alias("connector"),
+        F.when(n % 10 != 4, topic).alias("topic"),
+        F.when(n % 10 == 5, "1x").otherwise("records").alias("table"),
+        (n % 7).cast("int").alias("partitions"),
+    )
+    return catalog.audit_pipelines(pipelines)
+
+
 @check(
     "catalog_compact",
     """SELECT key AS "key", log_offset, created_at FROM latest""",
@@ -406,7 +459,7 @@ def delivery_lag(spark, sf):
 @check(
     "retention_headroom",
     """SELECT 'run-' || c.run AS backup_id, c.topic, c.part AS "partition", c.off - b.low AS headroom
-       FROM ckpt c JOIN bounds b ON b.topic = c.topic AND b.part = c.part""",
+       FROM ckpt c LEFT JOIN bounds b ON b.topic = c.topic AND b.part = c.part""",
 )
 def retention_headroom(spark, sf):
     low_high = fx.retained_bounds(fx.wide_log(spark, sf))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import functions as F
 
@@ -53,7 +52,7 @@ def backed_up(spark, sf):
     log = packed(spark, sf)
     source = target(spark)
     archive = storage.work_dir(spark, "archive")
-    names = [f"b-{uuid.uuid4().hex}" for _ in range(2)]
+    names = ["b-full", "b-next"]
     parts = [before(log, "2024-01-10"), since(before(log, "2024-01-20"), "2024-01-10")]
     parent = None
     for name, part in zip(names, parts, strict=True):
@@ -144,10 +143,18 @@ def restore_chain(spark, sf):
     return tables.read_table(spark, to.path, to.schema).select(*ROWS, "note")
 
 
-@check("backup_metrics")
+@check(
+    "backup_metrics",
+    """SELECT b.backup, 'records' AS "table", count(*) AS "rows", true AS has_files, true AS has_bytes
+       FROM good JOIN (VALUES ('b-full', DATE '2000-01-01', DATE '2024-01-10'),
+                              ('b-next', DATE '2024-01-10', DATE '2024-01-20')) AS b(backup, low, high)
+         ON ts >= low AND ts < high
+       WHERE topic = 'events.input' GROUP BY ALL""",
+)
 def backup_metrics(spark, sf):
     _, archive, _, _ = backed_up(spark, sf)
-    return backups.backup_metrics(spark, archive)
+    found = backups.backup_metrics(spark, archive)
+    return found.select("backup", "table", "rows", (F.col("files") > 0).alias("has_files"), (F.col("bytes") > 0).alias("has_bytes"))
 
 
 @check(

@@ -8,20 +8,23 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
+from offsetlake.functions.hashing import plain
+
 
 class ViolationError(RuntimeError):
     """Raised by :func:`require`; carries the first violations found."""
 
-    def __init__(self, rows):
-        self.rows = rows
-        super().__init__("; ".join(f"{r.rule}: {r.subject} {r.detail or ''}".strip() for r in rows))
+    def __init__(self, rows, more: bool = False):
+        self.rows, self.more = rows, more
+        told = [f"{r.rule}: {r.subject} {r.detail or ''}".strip() for r in rows]
+        super().__init__("; ".join([*told, "and more"] if more else told))
 
 
 def require(violations: DataFrame, show: int = 20) -> None:
     # One job over all branches; take() would try the partitions of the union little by little.
-    rows = violations.limit(show).toArrow().to_pylist()
+    rows = violations.limit(show + 1).toArrow().to_pylist()
     if rows:
-        raise ViolationError([Row(**row) for row in rows])
+        raise ViolationError([Row(**row) for row in rows[:show]], more=len(rows) > show)
 
 
 def violation(rows: DataFrame, rule: str, subject: Column, detail: Column | None = None):
@@ -62,9 +65,11 @@ def diff_rows(left: DataFrame, right: DataFrame) -> DataFrame:
     """Rows on one side only, with how many copies are missing on the other; order is ignored.
 
     One grouped sum over both sides instead of two ``exceptAll``; equal rows cancel out before
-    the shuffle when they meet in one task, and empty output means equal multisets.
+    the shuffle when they meet in one task, and empty output means equal multisets. Maps come
+    back as arrays of their entries in the order of the keys.
     """
     columns = left.columns
+    left, right = (side.select(*[plain(side[c], side.schema[c].dataType).alias(c) for c in columns]) for side in (left, right))
     both = left.withColumn("_n", F.lit(1)).unionByName(right.withColumn("_n", F.lit(-1)))
     copies = both.groupBy(*columns).agg(F.sum("_n").alias("_n")).filter("_n <> 0")
     return copies.select(

@@ -25,9 +25,10 @@ def log_bounds(log: DataFrame) -> DataFrame:
 
 def all_partitions(pipelines: DataFrame) -> DataFrame:
     """Every configured topic-partition, with or without records."""
-    return pipelines.select(
-        "topic", F.explode(F.sequence(F.lit(0), F.col("partitions") - 1)).alias("partition")
-    ).distinct()
+    # A sequence to -1 would count down; a pipeline without partitions has none.
+    some = pipelines.filter("partitions > 0")
+    numbers = F.sequence(F.lit(0), F.col("partitions") - 1, F.lit(1))
+    return some.select("topic", F.explode(numbers).alias("partition")).distinct()
 
 
 def end_offsets(committed_log: DataFrame, pipelines: DataFrame) -> DataFrame:

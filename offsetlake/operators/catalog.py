@@ -54,11 +54,11 @@ def parse_state(latest: DataFrame) -> DataFrame:
 
 
 def audit_catalog(latest: DataFrame) -> DataFrame:
-    """Values must parse, name their own key, and hold no unknown fields."""
+    """Values must parse, name their own key, and hold no unknown fields; chain states too, but for the name."""
     manifests = parse_manifests(latest)
     known = F.array(*[F.lit(name) for name in schemas.MANIFESTS.names])
     extra = F.size(F.array_except(F.json_object_keys("value"), known)) > 0
-    return broken_rules(
+    broken = broken_rules(
         manifests,
         F.col("key"),
         {
@@ -68,6 +68,37 @@ def audit_catalog(latest: DataFrame) -> DataFrame:
             "catalog-unknown-field": F.coalesce(extra, F.lit(False)),
         },
     )
+    fields = F.array(*[F.lit(name) for name in schemas.CHAIN_STATE.names])
+    unknown = F.size(F.array_except(F.json_object_keys("value"), fields)) > 0
+    states = latest.filter(F.col("key") == STATE_KEY)
+    broken_states = broken_rules(
+        states.withColumn("_tip", F.from_json("value", schemas.CHAIN_STATE)["tip"]),
+        F.col("key"),
+        {
+            "catalog-invalid-json": F.col("_tip").isNull(),
+            "catalog-unknown-field": F.coalesce(unknown, F.lit(False)),
+        },
+    )
+    return broken.unionByName(broken_states)
+
+
+def audit_pipelines(pipelines: DataFrame) -> DataFrame:
+    """The configuration of all pipelines: valid names, one partition at least, and no topic or connector twice."""
+    once = {
+        rule: duplicates(pipelines.filter(F.col(c).isNotNull()), [c]).select(F.col(c).alias("name"))
+        for rule, c in (("pipeline-connector-repeated", "connector"), ("pipeline-topic-repeated", "topic"))
+    }
+    single = broken_rules(
+        pipelines,
+        F.coalesce("connector", "topic"),
+        {
+            "pipeline-connector": ~names.is_log_name(F.col("connector")),
+            "pipeline-topic": ~names.is_log_name(F.col("topic")),
+            "pipeline-table": ~names.is_identifier(F.col("table")),
+            "pipeline-partitions": F.coalesce(F.col("partitions") < 1, F.lit(True)),
+        },
+    )
+    return union([single, *(violation(rows, rule, F.col("name")) for rule, rows in once.items())])
 
 
 def flatten_offsets(manifests: DataFrame) -> DataFrame:

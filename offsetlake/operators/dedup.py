@@ -41,6 +41,8 @@ def accepted_blocks(
     equals the serial answer. Blocks that were tried once are accepted in every round; a few
     rounds settle ordinary retries.
     """
+    if window < 1:
+        raise ValueError("a deduplication window holds one block at least")
     identity = [table, "topic", "partition", "min_offset", "max_offset", "rows", "content"]
     slot = F.expr(f"{order} div {bucket}")
     columns = attempts.columns

@@ -17,8 +17,11 @@ def delivery_lag(bounds: DataFrame, exact: DataFrame) -> DataFrame:
 
 
 def retention_headroom(manifests: DataFrame, bounds: DataFrame) -> DataFrame:
-    """How far each checkpoint is from being lost to retention; negative means it is lost."""
-    return flatten_offsets(manifests).join(bounds, TP).select(
+    """How far each checkpoint is from being lost to retention; negative means it is lost.
+
+    Null means that the log has no such topic-partition any more.
+    """
+    return flatten_offsets(manifests).join(bounds, TP, "left").select(
         "backup_id", *TP, (F.col("offset") - F.col("low")).alias("headroom")
     )
 

@@ -37,6 +37,15 @@ def pin(control: DataFrame, max_rows: int = CONTROL_ROWS) -> DataFrame | None:
     return control.sparkSession.createDataFrame(table, control.schema)
 
 
+def _salt_columns(records: DataFrame) -> list[Column]:
+    """What tells records apart without their payloads: the position, else numbers and times, else the place."""
+    names = [c for c in ("topic", "partition", "offset") if c in records.columns]
+    if "offset" not in names:
+        fixed = (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)
+        names = [f.name for f in records.schema.fields if isinstance(f.dataType, fixed)]
+    return [F.col(c) for c in names] or [F.spark_partition_id()]
+
+
 def join_control(
     records: DataFrame,
     control: DataFrame,
@@ -54,7 +63,7 @@ def join_control(
     side = pin(control, max_rows)
     if side is not None:
         return records.join(F.broadcast(side), list(on), how)
-    salt = F.pmod(F.xxhash64(*records.columns), F.lit(spread)).cast("int")
+    salt = F.pmod(F.xxhash64(*_salt_columns(records)), F.lit(spread)).cast("int")
     repeated = control.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
     return (
         records.withColumn("_salt", salt).join(repeated, [*on, "_salt"], how).drop("_salt")

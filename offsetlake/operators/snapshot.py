@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,26 +9,18 @@ from offsetlake.operators.bounds import TP
 from offsetlake.operators.ledger import exact_offsets, fold_ledger
 from offsetlake.operators.skew import join_control, pin
 
-PUSHED_TOPICS = 64
-
 
 def _coarse_bounds(ranges: DataFrame) -> Column:
-    """A literal filter that every row of the held ranges passes: per topic, its offset hull.
+    """A literal filter that every row of the held ranges passes: the topics, and the hull of all offsets.
 
     Literals reach the Parquet scan, where they prune topic directories and row groups; the join
     that follows is exact.
     """
-    hulls: dict[str, tuple[int, int]] = {}
-    for r in ranges.collect():
-        low, high = hulls.get(r.topic, (r._start, r._target))
-        hulls[r.topic] = (min(low, r._start), max(high, r._target))
-    if len(hulls) > PUSHED_TOPICS:
-        return F.lit(True)
-    terms = [
-        (F.col("topic") == topic) & (F.col("offset") >= low) & (F.col("offset") < high)
-        for topic, (low, high) in hulls.items()
-    ]
-    return reduce(or_, terms, F.lit(False))
+    rows = ranges.collect()
+    if not rows:
+        return F.lit(False)
+    low, high = min(r._start for r in rows), max(r._target for r in rows)
+    return F.col("topic").isin(sorted({r.topic for r in rows})) & (F.col("offset") >= low) & (F.col("offset") < high)
 
 
 def read_range(records: DataFrame, starts: DataFrame, targets: DataFrame) -> DataFrame:

@@ -15,8 +15,10 @@ from offsetlake.functions import ledger_key
 from offsetlake.operators.audit import require
 from offsetlake.operators.bounds import audit_replayable
 from offsetlake.operators.catalog import (
+    audit_catalog,
     audit_chain,
     audit_manifests,
+    audit_pipelines,
     audit_walk,
     latest_by_key,
     next_backup,
@@ -35,6 +37,7 @@ from offsetlake.sources.storage import settled, written
 def load_chain(spark: SparkSession, catalog: str, pipelines: DataFrame):
     """The current chain: its state and audited manifests, or (None, None) for an empty catalog."""
     latest = written(latest_by_key(read_catalog(spark, catalog)), "catalog")
+    require(audit_catalog(latest))
     states = parse_state(latest)
     state = next(iter(states.collect()), None)
     if state is None:
@@ -108,6 +111,7 @@ def run_backup(
     whatever fails before it leaves an archive that no manifest names, and the chain unchanged.
     Vectors and ledger rows reach the driver, bounded by the partition count; table rows do not.
     """
+    require(audit_pipelines(pipelines))
     configured = pipelines.collect()
     state, chain = load_chain(spark, catalog, pipelines)
     plan = next_backup(state, max_incrementals, run_id)

@@ -105,7 +105,7 @@ def copy_range(
             }
         )
         path = f"{dest}/data/step={done}"
-        rows.select(*COPIED.names).write.mode("overwrite").parquet(path)
+        storage.overwriting(rows.select(*COPIED.names)).parquet(path)
         copied = {
             (r.topic, r.partition): r.high
             for r in log_bounds(spark.read.schema(COPIED).parquet(path)).collect()

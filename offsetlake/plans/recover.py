@@ -12,6 +12,7 @@ from offsetlake import schemas
 from offsetlake.operators.audit import ViolationError, require
 from offsetlake.operators.bounds import audit_ranges
 from offsetlake.operators.catalog import (
+    audit_catalog,
     audit_manifests,
     audit_walk,
     latest_by_key,
@@ -21,7 +22,7 @@ from offsetlake.operators.catalog import (
 from offsetlake.operators.recovery import audit_recoveries, audit_targets, recovery_plan
 from offsetlake.operators.snapshot import read_range
 from offsetlake.sources import table as tables
-from offsetlake.sources.backup import audit_projection, project, read_chain
+from offsetlake.sources.backup import audit_projection, project, read_blocks, read_chain
 from offsetlake.sources.catalog import read_catalog
 from offsetlake.sources.log import decode_json, only_good
 from offsetlake.sources.storage import settled, written
@@ -64,13 +65,16 @@ def restore(
     if target.schema != source_schema:
         require(audit_projection(rows, target.schema))
         rows = project(rows, target.schema, drop_missing)
-    tables.bulk_load(rows, target.path, target.order_by, commit, cluster=False)
+    listed = read_blocks(spark, archive, backup_ids[-1], name)
+    tables.bulk_load(rows, target.path, target.order_by, commit, cluster=False, batches=listed)
     return True
 
 
 def chain_of(spark: SparkSession, catalog: str, backup_id: str) -> tuple[DataFrame, list[str]]:
     """The audited manifest of a backup, and the ids of its chain up to it, full backup first."""
-    manifests = parse_manifests(written(latest_by_key(read_catalog(spark, catalog)), "catalog"))
+    latest = written(latest_by_key(read_catalog(spark, catalog)), "catalog")
+    require(audit_catalog(latest))
+    manifests = parse_manifests(latest)
     tip = spark.createDataFrame([(backup_id,)], "backup_id STRING")
     walked = settled(walk_chain(manifests, tip))
     require(audit_walk(walked))
@@ -94,10 +98,14 @@ def recover(
 ) -> str:
     """Run one recovery request; returns ``Complete``, or ``Streaming`` when ``follow`` is next.
 
-    The request, its vectors and the log range are all checked before the first row is written.
+    ``request`` holds exactly one request; anything else is refused, so that vectors of several never
+    mix. It, its vectors and the log range are all checked before the first row is written.
     Every step is safe to run again with the same request id.
     """
-    row = request.collect()[0]
+    rows = request.limit(2).collect()
+    if len(rows) != 1:
+        raise ViolationError([Row(rule="recovery-not-one-request", subject=None, detail=None)])
+    row = rows[0]
     manifest, ids = chain_of(spark, catalog, row.backup_id)
     require(audit_recoveries(request, manifest))
     plan = recovery_plan(request, manifest)

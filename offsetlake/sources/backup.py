@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from offsetlake import schemas
 from offsetlake.functions import content_hash
+from offsetlake.functions.hashing import plain
 from offsetlake.operators.audit import ViolationError, broken_rules, diff_rows
 from offsetlake.operators.bounds import TP, position_name
 from offsetlake.operators.skew import join_control
@@ -90,8 +91,8 @@ def write_backup(
     if order_by:
         rows = rows.sortWithinPartitions("batch_id", *order_by)
     path = f"{archive}/data/backup={backup_id}/table={name}"
-    rows.write.mode("overwrite").partitionBy("batch_id").parquet(path)
-    blocks.write.mode("overwrite").parquet(listed)
+    storage.overwriting(rows).partitionBy("batch_id").parquet(path)
+    storage.overwriting(blocks).parquet(listed)
 
 
 def read_chain(
@@ -99,7 +100,8 @@ def read_chain(
 ) -> DataFrame:
     """Rows of one table from a chain of backups, as one scan over their directories.
 
-    The list is bounded by the chain length. A backup that was not finished is refused.
+    The list is bounded by the chain length. A backup that was not finished is refused. Only batches
+    that the last backup lists are read, whatever else lies in the directories.
     """
     schema = T.StructType([*tables.table_schema(user).fields, tables.BATCH])
     for backup_id in backup_ids:
@@ -108,7 +110,8 @@ def read_chain(
     base = f"{archive}/data"
     paths = [f"{base}/backup={backup_id}/table={name}" for backup_id in backup_ids]
     reader = spark.read.schema(T.StructType([*schema.fields, BACKUP, TABLE]))
-    return reader.option("basePath", base).parquet(*paths).select(*schema.names)
+    rows = reader.option("basePath", base).parquet(*paths).select(*schema.names)
+    return tables.only_batches(rows, read_blocks(spark, archive, backup_ids[-1], name))
 
 
 def project(rows: DataFrame, schema: T.StructType, drop_missing: bool = False) -> DataFrame:
@@ -156,7 +159,9 @@ def backup_metrics(spark: SparkSession, archive: str) -> DataFrame:
 
 def fingerprint(rows: DataFrame, keys: Sequence[str] = ("topic", "partition")) -> DataFrame:
     """Count, offset range and order-free row hash per key: fixed-width, so a hash aggregation."""
-    content = [c for c in rows.columns if c not in ("batch_id", "table", *keys)]
+    content = [
+        plain(F.col(c), rows.schema[c].dataType) for c in rows.columns if c not in ("batch_id", "table", *keys)
+    ]
     return rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("rows"),
         F.min("offset").alias("min_offset"),

@@ -10,7 +10,7 @@ import tempfile
 import uuid
 from functools import cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 
 from offsetlake.operators.skew import pin
 
@@ -38,6 +38,11 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def overwriting(rows: DataFrame) -> DataFrameWriter:
+    """A writer that replaces all of its target, whatever overwrite mode the session has."""
+    return rows.write.mode("overwrite").option("partitionOverwriteMode", "static")
+
+
 def written(rows: DataFrame, name: str = "step") -> DataFrame:
     """Cut lineage: write the rows to the shared folder and read them back."""
     path = work_dir(rows.sparkSession, name)
@@ -69,6 +74,12 @@ def has_files(spark: SparkSession, path: str, suffix: str = ".parquet") -> bool:
     )
 
 
+def has_children(spark: SparkSession, path: str) -> bool:
+    """Is there anything in the directory? Looks at its first entry only."""
+    fs, target = _fs(spark, path)
+    return fs.exists(target) and fs.listStatusIterator(target).hasNext()
+
+
 def children(spark: SparkSession, path: str) -> list[str]:
     fs, target = _fs(spark, path)
     if not fs.exists(target):

@@ -44,12 +44,12 @@ def table_schema(user: T.StructType) -> T.StructType:
 def write_ledger(spark: SparkSession, table: str, batch_id: str, rows: Iterable[Row]) -> None:
     """Commit one batch: its block ranges as a single file, which appears whole or not at all."""
     rows = spark.createDataFrame(list(rows), schemas.LEDGER).coalesce(1)
-    rows.write.mode("overwrite").parquet(f"{table}/ledger/commit={batch_id}")
+    storage.overwriting(rows).parquet(f"{table}/ledger/commit={batch_id}")
 
 
 def read_ledger(spark: SparkSession, table: str) -> DataFrame:
     """All committed blocks, one row per topic, partition and batch."""
-    if not storage.children(spark, f"{table}/ledger"):
+    if not storage.has_children(spark, f"{table}/ledger"):
         return spark.createDataFrame([], schemas.LEDGER)
     schema = T.StructType([*schemas.LEDGER.fields, T.StructField("commit", T.StringType())])
     return spark.read.schema(schema).parquet(f"{table}/ledger").drop("commit")
@@ -61,7 +61,7 @@ def is_committed(spark: SparkSession, table: str, batch_id: str) -> bool:
 
 def read_table(spark: SparkSession, table: str, user: T.StructType) -> DataFrame:
     """Delivered rows of committed batches."""
-    if not storage.children(spark, f"{table}/ledger"):
+    if not storage.has_children(spark, f"{table}/ledger"):
         return spark.createDataFrame([], T.StructType([*table_schema(user).fields, BATCH]))
     committed = read_ledger(spark, table).filter(F.col("state") == FINISHED)
     return only_batches(read_data(spark, table, user), committed)
@@ -84,7 +84,7 @@ def read_dead_letters(spark: SparkSession, table: str) -> DataFrame:
 def _scan(spark: SparkSession, table: str, schema: T.StructType) -> DataFrame:
     schema = T.StructType([*schema.fields, DEAD])
     path = f"{table}/data"
-    if not storage.children(spark, path):
+    if not storage.has_children(spark, path):
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).parquet(path)
 
@@ -154,7 +154,7 @@ def append_batch(
     path = f"{table}/data/batch_id={batch_id}"
     if order_by:
         rows = rows.sortWithinPartitions("dead", *order_by)
-    rows.write.mode("overwrite").partitionBy("dead").parquet(path)
+    storage.overwriting(rows).partitionBy("dead").parquet(path)
     positions = T.StructType([*POSITION_FIELDS, DEAD])
     blocks = block_ranges(spark.read.schema(positions).parquet(path), ("topic", "partition", "dead"))
     # One or two rows per topic-partition of the batch reach the driver.
@@ -201,24 +201,28 @@ def bulk_load(
     order_by: Sequence[str] = (),
     commit: str | None = None,
     cluster: bool = True,
+    batches: DataFrame | None = None,
 ) -> None:
     """Load rows that carry their ``batch_id`` into an empty table, many batches in one job.
 
     With ``cluster`` rows are shuffled by batch and offset bucket, so that each batch is written by
     few tasks and a large one by several. Rows that are already stored by batch need no shuffle.
-    All blocks are committed by one ledger file at the end.
+    All blocks are committed by one ledger file at the end; ``batches``, rows with a ``batch_id``, says
+    which batches may be in it.
     """
     spark = rows.sparkSession
-    if storage.children(spark, f"{table}/ledger"):
+    if storage.has_children(spark, f"{table}/ledger"):
         raise ViolationError([Row(rule="load-not-empty", subject=table, detail=None)])
     if cluster:
         rows = rows.repartition("batch_id", F.expr(f"offset div {LOAD_BUCKET}"))
     if order_by:
         rows = rows.sortWithinPartitions("batch_id", *order_by)
     rows = rows.withColumn("dead", F.lit(0))
-    rows.write.mode("overwrite").partitionBy("batch_id", "dead").parquet(f"{table}/data")
+    storage.overwriting(rows).partitionBy("batch_id", "dead").parquet(f"{table}/data")
     positions = T.StructType([*POSITION_FIELDS, BATCH])
     data = spark.read.schema(positions).parquet(f"{table}/data")
+    if batches is not None:
+        data = only_batches(data, batches)
     ledger = block_ranges(data, schemas.BLOCK_ID).withColumn("state", F.lit(FINISHED))
     ledger = ledger.select(*schemas.LEDGER.names).repartition(1)
-    ledger.write.mode("overwrite").parquet(f"{table}/ledger/commit={commit or uuid.uuid4().hex}")
+    storage.overwriting(ledger).parquet(f"{table}/ledger/commit={commit or uuid.uuid4().hex}")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -23,18 +24,24 @@ def stream_accepted_blocks(attempts: DataFrame, window: int, order: str = "seq")
     micro-batch are taken in ``order``, micro-batches as they arrive. Only block rows pass through
     here, one per batch and topic-partition; records are joined to the accepted ones afterwards.
     """
+    if window < 1:
+        raise ValueError("a deduplication window holds one block at least")
     identity = F.concat_ws("/", *[F.col(c).cast("string") for c in IDENTITY])
 
     def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState):
-        recent = list(state.get[0]) if state.exists else []
+        recent = deque(state.get[0] if state.exists else [])
+        known = set(recent)
         tried = pd.concat(list(batches)).sort_values(order)
         kept = []
         for block in tried["_id"]:
-            fresh = block not in recent
+            fresh = block not in known
             kept.append(fresh)
             if fresh:
-                recent = [*recent, block][-window:]
-        state.update((recent,))
+                recent.append(block)
+                known.add(block)
+            while len(recent) > window:
+                known.discard(recent.popleft())
+        state.update((list(recent),))
         yield tried[kept].drop(columns="_id")
 
     return (

@@ -142,12 +142,14 @@ def deliver(
         key = f"{epoch_of(batch.sparkSession, checkpoint)}-{batch_id}"
         if len(targets) > 1:
             batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
-        for target in targets:
-            routed = batch.filter(F.col("topic").isin(list(target.topics)))
-            fresh = above(routed, floors[target.path])
-            append_decoded(fresh, target, key, tolerance, context, dead_letters)
-        if len(targets) > 1:
-            batch.unpersist()
+        try:
+            for target in targets:
+                routed = batch.filter(F.col("topic").isin(list(target.topics)))
+                fresh = above(routed, floors[target.path])
+                append_decoded(fresh, target, key, tolerance, context, dead_letters)
+        finally:
+            if len(targets) > 1:
+                batch.unpersist()
 
     writer = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     if interval is None:
