@@ -15,7 +15,7 @@ MICROS = 1_000_000
 
 
 def lease_sessions(events: DataFrame, ttl_seconds: float) -> DataFrame:
-    """The life of every token: (token, connectors, start, end, ended_by, expires_at).
+    """The life of every token: (token, connectors, start, end, ended_by).
 
     A token expires ``ttl`` after its pause or last accepted renewal. A renewal at or after that
     moment is refused, and so is every later one; a resume before it ends the lease.

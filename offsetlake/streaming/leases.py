@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -19,7 +20,10 @@ SESSIONS = schemas.struct(
     ended_by=schemas.STRING,
 )
 STATE = schemas.struct(
-    start=schemas.LONG, last=schemas.LONG, connectors=schemas.LEASE_EVENTS["connectors"].dataType
+    start=schemas.LONG,
+    last=schemas.LONG,
+    connectors=schemas.LEASE_EVENTS["connectors"].dataType,
+    slots=schemas.STRING,  # undecided ones, as JSON
 )
 
 
@@ -30,7 +34,7 @@ def _fold(batches: Iterable[pd.DataFrame], ttl: int) -> list[dict]:
         micros = events["ts"].astype("int64") // (1000 if "ns" in str(events["ts"].dtype) else 1)
         for slot, part in events.assign(us=micros).groupby(micros // ttl):
             seen = slots.setdefault(
-                int(slot), {"first": None, "last": None, "pause": None, "resume": None, "connectors": None}
+                int(slot), {"slot": int(slot), "first": None, "last": None, "pause": None, "resume": None, "connectors": None}
             )
             first, last = int(part["us"].min()), int(part["us"].max())
             seen["first"] = first if seen["first"] is None else min(first, seen["first"])
@@ -61,49 +65,72 @@ def _life(token: str, life: tuple, end: int, ended_by: str) -> pd.DataFrame:
     )
 
 
+def _merge(slots: list[dict], new: list[dict]) -> list[dict]:
+    """Slots of one token with those of a later micro-batch."""
+    merged = {s["slot"]: s for s in slots}
+    for slot in new:
+        old = merged.setdefault(slot["slot"], slot)
+        if old is slot:
+            continue
+        old["first"], old["last"] = min(old["first"], slot["first"]), max(old["last"], slot["last"])
+        for event in ("pause", "resume"):
+            if slot[event] is not None and (old[event] is None or slot[event] < old[event]):
+                old[event] = slot[event]
+                if event == "pause":
+                    old["connectors"] = slot["connectors"]
+    return [merged[slot] for slot in sorted(merged)]
+
+
+def _decide(life: tuple | None, slots: list[dict], ttl: int, watermark: int):
+    """The life after all slots below the watermark, the open slots, and the end if there is one.
+
+    Every event before the watermark has arrived, so a slot that ends there will not change any more,
+    and neither will a gap that reaches as far as the watermark.
+    """
+    while slots and (slots[0]["slot"] + 1) * ttl <= watermark:
+        slot = slots[0]
+        if life is None and slot["pause"] is not None:
+            life = (slot["pause"], slot["pause"], slot["connectors"])
+        if life is not None:
+            if slot["first"] - life[1] >= ttl:
+                return life, slots, (life[1] + ttl, "expired")
+            if slot["resume"] is not None:
+                return life, slots, (slot["resume"], "resumed")
+            life = (life[0], max(life[1], slot["last"]), life[2])
+        slots = slots[1:]
+    if life is not None and life[1] + ttl <= watermark and (not slots or slots[0]["first"] - life[1] >= ttl):
+        return life, slots, (life[1] + ttl, "expired")
+    return life, slots, None
+
+
 def stream_sessions(events: DataFrame, ttl_seconds: float, delay: str) -> DataFrame:
     """``lease_sessions`` for a stream: (token, connectors, start, end, ended_by), in append mode.
 
-    ``delay`` is how late an event may arrive. A lease expires once the watermark passes its
-    expiry, so a renewal that was made in time is never beaten by the timer. The state of a token
-    is three values, and is dropped when its life ends.
+    ``delay`` is how late an event may arrive. Nothing is decided before the watermark has passed it, so
+    pauses, renewals and resumes may come in any order within the delay. The state of a token is its life
+    so far and its undecided slots, at most delay / TTL and a few; it is dropped when the life ends.
     """
     ttl = int(ttl_seconds * MICROS)
 
     def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState):
-        token = key[0]
-        if state.hasTimedOut:
-            life = tuple(state.get)
-            state.remove()
-            yield _life(token, life, life[1] + ttl, "expired")
-            return
-        life = tuple(state.get) if state.exists else None
-        for slot in _fold(batches, ttl):
-            if life is None:
-                if slot["pause"] is None:
-                    continue
-                life = (slot["pause"], slot["pause"], slot["connectors"])
-            if slot["first"] - life[1] >= ttl:
-                ended = life[1] + ttl, "expired"
-            elif slot["resume"] is not None:
-                ended = slot["resume"], "resumed"
-            else:
-                life = (life[0], max(life[1], slot["last"]), life[2])
-                continue
-            yield _life(token, life, *ended)
-            if state.exists:
-                state.remove()
-            return
-        if life is None:
-            return
-        expiry_ms = -(-(life[1] + ttl) // 1000)
-        if expiry_ms <= state.getCurrentWatermarkMs():
-            yield _life(token, life, life[1] + ttl, "expired")
+        life, slots = None, []
+        if state.exists:
+            start, last, connectors, waiting = state.get
+            life = (start, last, connectors) if start is not None else None
+            slots = json.loads(waiting)
+        if not state.hasTimedOut:
+            slots = _merge(slots, _fold(batches, ttl))
+        life, slots, ended = _decide(life, slots, ttl, state.getCurrentWatermarkMs() * 1000)
+        if ended is not None or life is None and not slots:
             if state.exists:
                 state.remove()
+            if ended is not None:
+                yield _life(key[0], life, *ended)
             return
-        state.update(life)
-        state.setTimeoutTimestamp(expiry_ms)
+        next_end = [(slots[0]["slot"] + 1) * ttl] if slots else []
+        expiry = [life[1] + ttl] if life is not None and (not slots or slots[0]["first"] - life[1] >= ttl) else []
+        state.update((*(life or (None, None, None)), json.dumps(slots)))
+        state.setTimeoutTimestamp(-(-min(next_end + expiry) // 1000))
 
     return (
         events.withWatermark("ts", delay)

@@ -107,8 +107,6 @@ def test_sessions_intervals_and_holders_by_simulation(spark, seed):
 
 def test_stream_equals_batch(spark, path):
     """Events arrive in four batches; the last, far later one lets every lease run out."""
-    from offsetlake.streaming.leases import stream_sessions
-
     rng = random.Random(5)
     rows = []
     for token in range(12):
@@ -118,20 +116,45 @@ def test_stream_equals_batch(spark, path):
         for _ in range(rng.randrange(12)):
             s += rng.choice([1, 20, TTL - 1, TTL, 90])
             rows.append((f"t{token}", connectors, rng.choice(["renew"] * 5 + ["resume"]), s))
-    source, out = path("events"), path("out")
-    want = simulate(rows)
     parts = [[r for r in rows if low <= r[3] < low + 300] for low in range(0, 1500, 300)]
+    assert streamed(spark, path, parts, "10 seconds") == simulate(rows)
+
+
+def streamed(spark, path, parts, delay):
+    """Sessions of events that arrive in these micro-batches, and a far later one."""
+    from offsetlake.streaming.leases import stream_sessions
+
+    source, out = path("events"), path("out")
     for part in [*parts, [("late", ["u"], "pause", 10_000)]]:
         if part:
             events(spark, part).coalesce(1).write.mode("append").parquet(source)
             stream = spark.readStream.schema(schemas.LEASE_EVENTS).parquet(source)
             query = (
-                stream_sessions(stream, TTL, "10 seconds")
+                stream_sessions(stream, TTL, delay)
                 .writeStream.option("checkpointLocation", f"{out}-checkpoint")
                 .trigger(availableNow=True)
                 .start(out)
             )
             query.awaitTermination()
     found = spark.read.parquet(out).select("token", "connectors", at("start"), at("end"), "ended_by")
-    got = sorted((r.token, tuple(r.connectors), r.start, r.end, r.ended_by) for r in found.collect())
-    assert got == want
+    return sorted((r.token, tuple(r.connectors), r.start, r.end, r.ended_by) for r in found.collect())
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_events_may_arrive_in_any_order_within_the_delay(spark, path, seed):
+    rng = random.Random(seed)
+    rows = []
+    for token in range(15):
+        s = rng.randrange(400)
+        rows.append((f"t{token}", rng.sample("uvw", 2), "pause", s))
+        for _ in range(rng.randrange(12)):
+            s += rng.choice([1, 20, TTL - 1, TTL, 90])
+            rows.append((f"t{token}", ["u"], rng.choice(["renew"] * 5 + ["resume"]), s))
+    arrival = sorted(rows, key=lambda r: r[3] + rng.randrange(400))
+    parts = [arrival[i : i + 25] for i in range(0, len(arrival), 25)]
+    assert streamed(spark, path, parts, "500 seconds") == simulate(rows)
+
+
+def test_a_renewal_in_time_is_not_beaten_by_a_later_event(spark, path):
+    parts = [[("t", ["u"], "pause", 0), ("t", ["u"], "renew", TTL + 20)], [("t", ["u"], "renew", TTL - 5)]]
+    assert streamed(spark, path, parts, "1 hour") == simulate([r for part in parts for r in part])
