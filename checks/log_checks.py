@@ -18,10 +18,11 @@ def events_log(spark, sf):
     return fx.wide_log(spark, sf).filter(F.col("topic") == fx.EVENTS)
 
 
-def committed_events(spark, sf):
-    """Transactions of 50 records; every eleventh was aborted."""
-    rows = events_log(spark, sf).withColumn("txn", F.expr("id div 50"))
-    aborted = rows.filter("txn % 11 = 5").select("txn")
+def committed_log(spark, sf):
+    """Both topics in transactions of 50 records; every eleventh of a topic was aborted."""
+    number = F.expr("id div 50")
+    rows = fx.wide_log(spark, sf).withColumn("txn", F.concat_ws("/", "topic", number.cast("string")))
+    aborted = rows.filter(number % 11 == 5).select("txn")
     return logs.read_committed(rows, aborted, "txn")
 
 
@@ -65,7 +66,7 @@ def range_scan(spark, sf):
     """SELECT topic, part AS "partition", off AS "offset", id FROM committed""",
 )
 def read_committed(spark, sf):
-    return committed_events(spark, sf).select(*POSITION, "id")
+    return committed_log(spark, sf).select(*POSITION, "id")
 
 
 @check(
@@ -273,7 +274,7 @@ def duplicate_keys(spark, sf):
        FROM parts p LEFT JOIN committed c ON c.topic = p.topic AND c.part = p.part GROUP BY ALL""",
 )
 def replay_end_offsets(spark, sf):
-    return bounds.end_offsets(committed_events(spark, sf), fx.pipelines(spark))
+    return bounds.end_offsets(committed_log(spark, sf), fx.pipelines(spark))
 
 
 @check(
@@ -283,7 +284,7 @@ def replay_end_offsets(spark, sf):
        FROM committed WINDOW w AS (PARTITION BY topic, part ORDER BY off)""",
 )
 def resequence(spark, sf):
-    rows = committed_events(spark, sf).select(*POSITION)
+    rows = committed_log(spark, sf).select(*POSITION)
     return bounds.resequence(rows, batch_records=500, bucket=1000)
 
 
@@ -294,7 +295,7 @@ def resequence(spark, sf):
          FROM committed) WHERE nxt > off + 1""",
 )
 def offset_gaps(spark, sf):
-    return bounds.offset_gaps(committed_events(spark, sf), bucket=1000)
+    return bounds.offset_gaps(committed_log(spark, sf), bucket=1000)
 
 
 @check(
