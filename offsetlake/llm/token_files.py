@@ -436,4 +436,5 @@ def scanned_documents(documents: DataFrame, tokenizer: str, separator: int, key:
     work = Work(documents.sparkSession, "flat-ids")
     files = work.keep(write_flat(documents, f"{work.path}/ids", tokenizer, separator, key, text), "files")
     keys = files.select("path", F.posexplode("keys").alias("document", "key"))
-    return scan_flat(files, separator).join(keys, ["path", "document"]).select("key", "n_tokens")
+    # Sorted keys compress so well that Spark takes their list for small; it has a row per document.
+    return scan_flat(files, separator).hint("merge").join(keys.hint("merge"), ["path", "document"]).select("key", "n_tokens")
