@@ -3,7 +3,7 @@
 A page becomes an HTTP response with chunked transfer framing. Blocks beyond ``SEGMENT_BYTES`` go on in
 continuation records. Of equal payloads of some size, one is a response and the others are
 revisit records that refer to it. Spark's text writer stores the records, with the four bytes
-that end a WARC record as its line separator, so files are committed like any other output.
+that end a WARC record as its line separator and in gzip, so files are committed like any other output.
 
 Reading parses each file by its records' Content-Length, regroups segments by the identifier of
 their first record, in the order of their numbers, checks the total length and decodes the
@@ -12,6 +12,7 @@ chunks. Only segments are shuffled; a whole record is decoded where it was read.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 from collections.abc import Iterator
 
@@ -75,7 +76,9 @@ def record(kind: str, block: bytes, **fields: object) -> bytes:
 
 
 def parsed(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields (lower case) and block of each record of an uncompressed archive."""
+    """Header fields (lower case) and block of each record of an archive, plain or in gzip members."""
+    if data.startswith(b"\x1f\x8b"):
+        data = gzip.decompress(data)
     at = 0
     while at < len(data):
         head = data.find(END, at)
@@ -166,7 +169,8 @@ def write_archives(
 
     records = rows.join(first, "digest", "left").mapInArrow(recorded, "record binary")
     writer = records.select(F.col("record").cast("string").alias("value")).write
-    writer.mode("overwrite").option("lineSep", END.decode()).option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    writer = writer.mode("overwrite").option("lineSep", END.decode()).option("maxRecordsPerFile", FILE_RECORDS)
+    writer.option("compression", "gzip").text(path)
 
 
 FOUND = "record_id string, kind string, refers_to string, digest string, payload_bytes long, payload binary, problem string"
