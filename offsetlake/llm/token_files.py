@@ -110,14 +110,16 @@ class Encoder:
         array = np.empty(len(words), object)
         array[:] = words
         codes, distinct = pd.factorize(array)
-        fresh = [w for w in distinct if w not in self.known]
-        if fresh:
+        places = list(map(self.known.get, distinct))
+        if None in places:
+            fresh = [w for w, place in zip(distinct, places, strict=True) if place is None]
             ids, lengths = self._encode_words([w.decode() for w in fresh])
             self.known.update(zip(fresh, range(len(self.known), len(self.known) + len(fresh)), strict=True))
+            places = list(map(self.known.get, distinct))
             self.lengths = np.concatenate([self.lengths, lengths])
             self.ids = np.concatenate([self.ids, ids])
         starts = np.cumsum(self.lengths) - self.lengths
-        word = np.array([self.known[w] for w in distinct], np.int64)[codes]
+        word = np.array(places, np.int64)[codes]
         lengths = self.lengths[word]
         ends = np.cumsum(lengths)
         ids = self.ids[np.arange(ends[-1]) + np.repeat(starts[word] - ends + lengths, lengths)]
@@ -269,7 +271,7 @@ def write_packed(
             writer.close()
             return record_batch(schema, [[part], [number], [name], [writer.documents], [writer.n_ids]])
 
-        for batch, texts in text_slices(batches, "text", 1_000_000):
+        for batch, texts in text_slices(batches, "text", 3_000_000):
             if writer is None:
                 name = f"{path}/{_task_name()}-{number:04d}.bits"
                 fs.create_dir(root, recursive=True)
@@ -350,7 +352,7 @@ def write_flat(
             arrays = [pa.array([name]), pa.array([ids], pa.int64()), pa.array([width], pa.int32()), listed]
             return pa.RecordBatch.from_arrays(arrays, names=["path", "ids", "width", "keys"])
 
-        for batch, texts in text_slices(batches, "text", 1_000_000):
+        for batch, texts in text_slices(batches, "text", 3_000_000):
             if stream is None:
                 name = f"{path}/{_task_name()}-{number:04d}.ids"
                 fs.create_dir(root, recursive=True)
