@@ -1,0 +1,147 @@
+"""Filters in every order against a plain count, and the tries that find repeated texts."""
+
+import random
+import re
+from collections import defaultdict
+from itertools import permutations
+
+from llm import hard
+
+from offsetlake.llm import filter_audit
+from offsetlake.llm.common import Work
+from offsetlake.llm.tries import Trie
+
+LABELS = "doc_id long, quality int, toxic int, n int"
+
+
+def brute(rows, labels):
+    """All counts of every part, order and step, document by document."""
+    says = defaultdict(lambda: [0, 0])
+    for key, good, toxic in labels:
+        if key is not None:
+            says[key][0] |= good == 1
+            says[key][1] |= toxic == 1
+    smallest = {}
+    for key, text, *_ in rows:
+        if key is not None:
+            smallest[text or ""] = min(key, smallest.get(text or "", key))
+    documents = []
+    for key, text, lang, _ in rows:
+        text = text or ""
+        words = re.findall(r"[^\x20\x09-\x0D]+", text)
+        fails = {
+            "A": len(words) < 100,
+            "B": 100 * len(set(words)) < 80 * len(words),
+            "C": 100 * len(re.findall("[A-Z]", text)) > 10 * len(text),
+            "D": bool(re.search(r"[#$%&*|]", text)),
+            "E": key is not None and smallest[text] < key,
+        }
+        documents.append((lang or "", {f for f, bad in fails.items() if bad}, says[key] if key is not None else [0, 0]))
+    out, shapley = {}, defaultdict(int)
+    for order in permutations("ABCDE"):
+        for step, one in enumerate(order):
+            before = set(order[:step])
+            for part in {d[0] for d in documents}:
+                mine = [d for d in documents if d[0] == part]
+                fresh = [d for d in mine if not d[1] & before]
+                removed = [d for d in fresh if one in d[1]]
+                shapley[part, one] += len(removed)
+                out[part, "".join(order), step + 1] = [
+                    len(fresh) - len(removed),
+                    len(removed),
+                    sum(one in d[1] and bool(d[1] & before) for d in mine),
+                    sum(d[1] == {one} for d in mine),
+                    sum(d[2][0] for d in removed),
+                    sum(d[2][1] for d in removed),
+                ]
+    return {k: (*v, shapley[k[0], k[1][k[2] - 1]]) for k, v in out.items()}
+
+
+def audited(spark, rows, labels, extra=True):
+    found = filter_audit.audit(hard.documents(spark, rows, extra), spark.createDataFrame([(*r, 1) for r in labels], LABELS))
+    assert found.columns[:3] == ["part", "filter_order", "step"]
+    got = found.collect()
+    result = {tuple(r[:3]): tuple(r[3:]) for r in got}
+    assert len(result) == len(got)
+    return result
+
+
+def texts(seed, n):
+    """Texts with shared beginnings, repeats, capitals, signs and few or many words."""
+    draw = random.Random(seed)
+    passage = " ".join(f"shared{i}" for i in range(200))
+    made = []
+    for i in range(n):
+        kind = draw.randrange(6)
+        words = [draw.choice(["ab", "Cd", "EF", "gh$", "ij"]) + str(draw.randrange(30 if kind < 2 else 3000)) for _ in range(draw.randrange(160))]
+        made.append((passage + " " if kind == 3 else "") + " ".join(words))
+        if kind == 4 and i:
+            made[-1] = draw.choice(made)
+    return made
+
+
+def test_equals_plain_counts(spark):
+    draw = random.Random(5)
+    made = texts(1, 150)
+    keys = draw.sample(range(1000), 150)
+    rows = [(k, t, draw.choice(["en", "de", None, ""]), "s") for k, t in zip(keys, made, strict=True)]
+    rows += hard.hard_rows()
+    labels = [(k, draw.randrange(2), draw.choice([0, 1, None])) for k in keys[::2]] + [(keys[0], 1, 1), (None, 1, 1), (99_999, 1, 1)]
+    assert audited(spark, rows, labels) == brute(rows, labels)
+
+
+def test_small_tries_and_ranges_change_nothing(spark, monkeypatch):
+    """Tries that are emptied after every few texts, and beginnings that are all heavy."""
+    rows = [(i, t, "en", "s") for i, t in enumerate(texts(2, 120))]
+    rows += [(500 + i, "hot " * 150, "en", "s") for i in range(200)]
+    labels = [(i, 1, 0) for i in range(60)]
+    whole = audited(spark, rows, labels, extra=False)
+    monkeypatch.setattr(filter_audit, "TRIE_BYTES", 2_000)
+    assert audited(spark, rows, labels, extra=False) == whole == brute(rows, labels)
+
+
+def test_a_task_sends_a_repeated_text_once(spark):
+    rows = [(i, "the same words " * 40, "en", "s") for i in range(400)]
+    frame = hard.documents(spark, rows).coalesce(1)
+    found = filter_audit.candidates(frame, "doc_id", "text", "lang").filter("text is not null").collect()
+    assert [(r.key, r.n) for r in found] == [(0, 1)]
+
+
+def test_beginnings_are_lengthened_until_they_differ(spark):
+    shared = "p" * 300
+    rows = [(shared + f"{i:03d}" + "x" * 500, 803) for i in range(50)] + [("short", 5), ("", 0)]
+    frame = spark.createDataFrame(rows, "text string, bytes long")
+    heavy = {}
+    for r in filter_audit.heavy_prefixes(frame, 4_000).collect():
+        heavy.setdefault(r.level, []).append(r.hash)
+    assert sorted(heavy) == [16, 64, 256]
+    found = frame.select(filter_audit.adaptive_prefix(heavy).alias("p")).collect()
+    assert len({r.p for r in found}) == 52 and max(len(r.p) for r in found) == 803
+
+
+def test_empty_tables(spark):
+    assert audited(spark, [], []) == {}
+    rows = [(1, None, None, None)]
+    assert audited(spark, rows, []) == brute(rows, [])
+
+
+def test_masks_of_equal_rows_are_counted(spark):
+    rows = [(1, "a b", "en", "s")] * 3 + [(None, "a b", "en", "s")]
+    found = filter_audit.masks(hard.documents(spark, rows), Work(spark, "t")).groupBy("key").sum("n").collect()
+    assert {(r[0], r[1]) for r in found} == {(1, 3), (None, 1)}
+
+
+def test_trie_holds_whole_texts():
+    draw = random.Random(3)
+    made = ["".join(draw.choices("ab", k=draw.randrange(12))).encode() for _ in range(2000)]
+    made += [b"x" * 100_000, b"x" * 100_000 + b"y", b"x" * 50_000]
+    trie = Trie()
+    for i, text in enumerate(made):
+        trie.insert(text, i, None if i % 3 == 0 else i)
+    found = {text: node for text, node in trie.terminals()}
+    assert list(found) == sorted(set(made))
+    for text, node in found.items():
+        rows = [i for i, t in enumerate(made) if t == text]
+        assert node.rows == rows
+        assert node.least == min((i for i in rows if i % 3), default=None)
+    assert trie.bytes <= sum(map(len, set(made)))
