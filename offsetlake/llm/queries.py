@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offsetlake.llm import filter_audit, langid, mixing, near_dup, packing, quality, token_files, top_k, toxicity, warc
+from offsetlake.llm import filter_audit, langid, mixing, near_dup, packing, pu_quality, quality, token_files, top_k, toxicity, warc
 from offsetlake.llm.common import Work, remainder, table, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -119,6 +119,15 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query
+def op12_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = remainder("doc_id", 4) == 2
+    model = pu_quality.fit(documents.filter(~held_out), labels.filter(~held_out))
+    found = pu_quality.score(documents, model)
+    return found.withColumn("held_out", held_out).withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
 oracle(
     "op1_warc_segments",
     """
