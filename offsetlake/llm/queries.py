@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offsetlake.llm import filter_audit, langid, mixing, near_dup, packing, pu_quality, quality, token_files, top_k, toxicity, warc
+from offsetlake.llm import filter_audit, hard_negatives, langid, mixing, near_dup, packing, pu_quality, quality, token_files, top_k, toxicity, warc
 from offsetlake.llm.common import Work, remainder, table, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -128,6 +128,14 @@ def op12_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("held_out", held_out).withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 
 
+@query
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = rows.select("vec_id", label.alias("label"), top_k.integers(F.col("embedding"), 256.0).alias("vector"))
+    return hard_negatives.mine(vectors, F.col("id") % 100 == 0)
+
+
 oracle(
     "op1_warc_segments",
     """
@@ -260,3 +268,28 @@ SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS B
 FROM counted
 """,
 )
+
+oracle(
+    "op13_hard_negatives",
+    """
+WITH good AS (
+  SELECT row_number() OVER () AS rid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         CAST(list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS DOUBLE[]) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+scored AS (
+  SELECT a.rid AS anchor, a.vec_id AS anchor_id, c.rid AS other, c.vec_id, a.label = c.label AS same,
+         CAST(list_inner_product(a.v, c.v) AS BIGINT) AS score
+  FROM good a JOIN good c ON a.rid <> c.rid WHERE a.vec_id % 100 = 0),
+positives AS (
+  SELECT anchor, anchor_id, other, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id, other) <= 5)
+SELECT p.anchor_id, p.positive_id,
+       CAST(row_number() OVER (PARTITION BY p.anchor, p.other ORDER BY n.score DESC, n.vec_id, n.other) AS INT) AS rank,
+       n.vec_id AS negative_id, p.positive_score, n.score AS negative_score
+FROM positives p JOIN scored n ON n.anchor = p.anchor AND NOT n.same
+ AND 30 * p.positive_score <= 100 * n.score AND 100 * n.score <= 90 * p.positive_score
+QUALIFY rank <= 10
+""",
+)
