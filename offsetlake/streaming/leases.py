@@ -1,16 +1,21 @@
-"""Leases over an unbounded event stream: each token's life is emitted when it ends."""
+"""Leases over an unbounded event stream: each token's life is emitted when it ends.
+
+A token's state is its life so far, one value, and its undecided slots of one TTL, a map; an event touches
+its own slot only. A timer in event time wakes the token up when a slot or the life may be decided.
+"""
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from offsetlake import schemas
 from offsetlake.operators.lease import MICROS
+from offsetlake.streaming.dedup import typed_state
 
 SESSIONS = schemas.struct(
     token=schemas.STRING,
@@ -19,12 +24,10 @@ SESSIONS = schemas.struct(
     end=schemas.TIME,
     ended_by=schemas.STRING,
 )
-STATE = schemas.struct(
-    start=schemas.LONG,
-    last=schemas.LONG,
-    connectors=schemas.LEASE_EVENTS["connectors"].dataType,
-    slots=schemas.STRING,  # undecided ones, as JSON
-)
+CONNECTORS = schemas.LEASE_EVENTS["connectors"].dataType
+LIFE = schemas.struct(start=schemas.LONG, last=schemas.LONG, connectors=CONNECTORS)
+SLOT = schemas.struct(slot=schemas.LONG)
+SEEN = schemas.struct(first=schemas.LONG, last=schemas.LONG, pause=schemas.LONG, resume=schemas.LONG, connectors=CONNECTORS)
 
 
 def _fold(batches: Iterable[pd.DataFrame], ttl: int) -> list[dict]:
@@ -103,6 +106,61 @@ def _decide(life: tuple | None, slots: list[dict], ttl: int, watermark: int):
     return life, slots, None
 
 
+class LeaseLives(StatefulProcessor):
+    """Decides lives of tokens on the watermark."""
+
+    def __init__(self, ttl: int):
+        self.ttl = ttl
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.life = handle.getValueState("life", LIFE)
+        self.slots = handle.getMapState("slots", SLOT, SEEN)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        for slot in _fold(rows, self.ttl):
+            at = (slot["slot"],)
+            old = [_named(slot["slot"], self.slots.getValue(at))] if self.slots.containsKey(at) else []
+            self.slots.updateValue(at, _plain(_merge(old, [slot])[0]))
+        return self._advance(key, timerValues)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        return self._advance(key, timerValues)
+
+    def _advance(self, key, timerValues) -> Iterator[pd.DataFrame]:
+        before = sorted((_named(at[0], seen) for at, seen in self.slots.iterator()), key=lambda s: s["slot"])
+        life = self.life.get() if self.life.exists() else None
+        life = (life[0], life[1], list(life[2])) if life is not None else None
+        life, left, ended = _decide(life, before, self.ttl, timerValues.getCurrentWatermarkInMs() * 1000)
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if ended is not None:
+            self.life.clear()
+            self.slots.clear()
+            yield _life(key[0], life, *ended)
+            return
+        for slot in before[: len(before) - len(left)]:
+            self.slots.removeKey((slot["slot"],))
+        if life is not None:
+            self.life.update(life)
+        wake = [(left[0]["slot"] + 1) * self.ttl] if left else []
+        if life is not None and (not left or left[0]["first"] - life[1] >= self.ttl):
+            wake.append(life[1] + self.ttl)
+        if wake:
+            self.handle.registerTimer(-(-min(wake) // 1000))
+
+    def close(self) -> None:
+        pass
+
+
+def _plain(slot: dict) -> tuple:
+    return tuple(slot[name] for name in SEEN.names)
+
+
+def _named(slot: int, seen: tuple) -> dict:
+    return {"slot": int(slot), **dict(zip(SEEN.names, seen, strict=True))}
+
+
 def stream_sessions(events: DataFrame, ttl_seconds: float, delay: str) -> DataFrame:
     """``lease_sessions`` for a stream: (token, connectors, start, end, ended_by), in append mode.
 
@@ -110,32 +168,16 @@ def stream_sessions(events: DataFrame, ttl_seconds: float, delay: str) -> DataFr
     pauses, renewals and resumes may come in any order within the delay. The state of a token is its life
     so far and its undecided slots, at most delay / TTL and a few; it is dropped when the life ends.
     """
-    ttl = int(ttl_seconds * MICROS)
-
-    def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState):
-        life, slots = None, []
-        if state.exists:
-            start, last, connectors, waiting = state.get
-            life = (start, last, connectors) if start is not None else None
-            slots = json.loads(waiting)
-        if not state.hasTimedOut:
-            slots = _merge(slots, _fold(batches, ttl))
-        life, slots, ended = _decide(life, slots, ttl, state.getCurrentWatermarkMs() * 1000)
-        if ended is not None or life is None and not slots:
-            if state.exists:
-                state.remove()
-            if ended is not None:
-                yield _life(key[0], life, *ended)
-            return
-        next_end = [(slots[0]["slot"] + 1) * ttl] if slots else []
-        expiry = [life[1] + ttl] if life is not None and (not slots or slots[0]["first"] - life[1] >= ttl) else []
-        state.update((*(life or (None, None, None)), json.dumps(slots)))
-        state.setTimeoutTimestamp(-(-min(next_end + expiry) // 1000))
-
+    typed_state(events.sparkSession)
     return (
         events.withWatermark("ts", delay)
         .groupBy("token")
-        .applyInPandasWithState(
-            advance, SESSIONS, STATE, "append", GroupStateTimeout.EventTimeTimeout
-        )
+        .transformWithStateInPandas(LeaseLives(int(ttl_seconds * MICROS)), SESSIONS, "Append", "EventTime")
     )
+
+
+def live_tokens(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """``token, connectors, start, last`` of the lives that a stopped stream has begun and not ended."""
+    state = spark.read.format("statestore").option("stateVarName", "life").load(checkpoint)
+    moment = lambda name: F.timestamp_micros(F.col("value")[name]).alias(name)
+    return state.select(F.col("key")["token"].alias("token"), F.col("value")["connectors"].alias("connectors"), moment("start"), moment("last"))
