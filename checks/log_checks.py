@@ -56,9 +56,9 @@ def log_scan(spark, sf):
        WHERE l.off >= s.off AND l.off < t.off""",
 )
 def range_scan(spark, sf):
-    events = events_log(spark, sf)
-    starts, targets = fx.vector(events, "2024-01-05"), fx.vector(events, fx.TARGET_CUT)
-    return snapshot.read_range(fx.wide_log(spark, sf), starts, targets).select(*POSITION, "id")
+    log = fx.wide_log(spark, sf)
+    starts, targets = fx.vector(log, "2024-01-05"), fx.vector(log, fx.TARGET_CUT)
+    return snapshot.read_range(log, starts, targets).select(*POSITION, "id")
 
 
 @check(
@@ -141,39 +141,41 @@ def observed_ahead(spark, sf):
     "range_audit",
     """SELECT rule, subject, CAST(NULL AS VARCHAR) AS detail FROM (
          SELECT 'range-start-expired' AS rule, s.topic || '-' || s.part AS subject
-         FROM (SELECT topic, part, max(off) + 1 AS off FROM log
-               WHERE topic = 'events.input' AND part = 0 AND ts < TIMESTAMP '2024-01-02'
-               GROUP BY ALL) s JOIN bounds b ON b.topic = s.topic AND b.part = s.part
-         WHERE s.off < b.low
+         FROM cuts s JOIN bounds b ON b.topic = s.topic AND b.part = s.part
+         WHERE s.d = 2 AND s.part = 0 AND s.off < b.low
          UNION ALL SELECT 'range-target-beyond-end', topic || '-1' FROM bounds WHERE part = 1
          UNION ALL SELECT 'range-no-start', topic || '-2' FROM bounds WHERE part = 2)""",
 )
 def range_audit(spark, sf):
-    events = events_log(spark, sf)
-    early = fx.vector(events, "2024-01-02").filter("partition = 0")
-    later = fx.vector(events, "2024-01-05").filter("partition = 1")
+    log = fx.wide_log(spark, sf)
+    early = fx.vector(log, "2024-01-02").filter("partition = 0")
+    later = fx.vector(log, "2024-01-05").filter("partition = 1")
     beyond = F.when(F.col("partition") == 1, F.col("offset") + 1_000_000_000)
-    targets = fx.vector(events, fx.TARGET_CUT).withColumn("offset", F.coalesce(beyond, "offset"))
-    return bounds.audit_ranges(early.unionByName(later), targets, fx.retained_bounds(events))
+    targets = fx.vector(log, fx.TARGET_CUT).withColumn("offset", F.coalesce(beyond, "offset"))
+    return bounds.audit_ranges(early.unionByName(later), targets, fx.retained_bounds(log))
 
 
 @check(
     "replayable_audit",
-    """, c AS (SELECT * FROM ckpt WHERE run = 0 AND NOT (topic = 'events.input' AND part = 2))
+    """, c AS (SELECT *, 'run-' || run || '/' || topic AS of_run FROM ckpt WHERE NOT (topic = 'events.input' AND part = 2)),
+       b AS (SELECT * FROM bounds WHERE NOT (topic = 'orders.input' AND part = 1)),
+       j AS (SELECT c.*, b.low, b.high FROM c LEFT JOIN b ON b.topic = c.topic AND b.part = c.part)
        SELECT rule, subject, CAST(NULL AS VARCHAR) AS detail FROM (
-         SELECT 'replay-expired' AS rule, c.topic || '-' || c.part AS subject
-         FROM c JOIN bounds b ON b.topic = c.topic AND b.part = c.part WHERE c.off < b.low
-         UNION ALL SELECT 'replay-no-bounds', topic || '-' || part FROM c
-         WHERE topic = 'orders.input'
-         UNION ALL SELECT 'replay-incomplete-log', c.topic || '-' || c.part
-         FROM c JOIN bounds b ON b.topic = c.topic AND b.part = c.part WHERE b.low <> 0
-         UNION ALL SELECT DISTINCT 'replay-partition-count', topic FROM c)""",
+         SELECT 'replay-expired' AS rule, of_run || '-' || part AS subject FROM j WHERE off < low
+         UNION ALL SELECT 'replay-beyond-end', of_run || '-' || part FROM j WHERE off > high
+         UNION ALL SELECT 'replay-no-bounds', of_run || '-' || part FROM j WHERE low IS NULL
+         UNION ALL SELECT 'replay-incomplete-log', of_run || '-' || part FROM j WHERE low <> 0
+         UNION ALL
+         SELECT 'replay-partition-count', of_run FROM c GROUP BY of_run, topic
+         HAVING count(*) <> (SELECT count(*) FROM b WHERE b.topic = c.topic))""",
 )
 def replayable_audit(spark, sf):
-    first = fx.checkpoints(spark, sf).filter("run = 0").select(*POSITION)
-    first = first.filter(~((F.col("topic") == fx.EVENTS) & (F.col("partition") == 2)))
+    """All checkpoints of the history; one lacks a partition, and the log lost another."""
+    every = fx.checkpoints(spark, sf).withColumn("backup", F.format_string("run-%d", "run"))
+    every = every.filter(~((F.col("topic") == fx.EVENTS) & (F.col("partition") == 2)))
     low_high = fx.retained_bounds(fx.wide_log(spark, sf))
-    return bounds.audit_replayable(first, low_high, complete=True)
+    low_high = low_high.filter(~((F.col("topic") == fx.ORDERS) & (F.col("partition") == 1)))
+    return bounds.audit_replayable(every.select("backup", *POSITION), low_high, complete=True, by=["backup"])
 
 
 @check(

@@ -37,21 +37,21 @@ ledger AS (
 exact AS (
   SELECT p.connector, p.tab, p.topic, p.part, coalesce(max(l.max_offset) + 1, 0) AS off
   FROM parts p LEFT JOIN ledger l ON l.topic = p.topic AND l.part = p.part GROUP BY ALL),
+cuts AS (
+  SELECT d, topic, part, CASE WHEN topic = 'events.input'
+         THEN coalesce(max(off) FILTER (WHERE ts < TIMESTAMP '2024-01-01' + to_days(d - 1)) + 1, 0)
+         ELSE (max(off) + 1) * d // 30 END AS off
+  FROM log, (VALUES (2), (3), (5), (10), (15), (20), (28)) AS days(d) GROUP BY d, topic, part),
 bounds AS (
-  SELECT topic, part, min(CASE WHEN ts >= TIMESTAMP '2024-01-03' THEN off END) AS low,
-         max(off) + 1 AS high
-  FROM log WHERE topic = 'events.input' GROUP BY ALL),
+  SELECT c.topic, c.part, c.off AS low, h.high
+  FROM cuts c JOIN (SELECT topic, part, max(off) + 1 AS high FROM log GROUP BY ALL) h USING (topic, part) WHERE c.d = 3),
 committed AS (
   SELECT * FROM log WHERE (id // 50) % 11 <> 5),
 good AS (
   SELECT *, CAST(regexp_extract(payload, '"k": ([0-9]+)', 1) AS INT) AS k FROM log
   WHERE topic = 'orders.input' OR id % 101 <> 0),
-at05 AS (
-  SELECT topic, part, max(off) + 1 AS off FROM log
-  WHERE topic = 'events.input' AND ts < TIMESTAMP '2024-01-05' GROUP BY ALL),
-at28 AS (
-  SELECT topic, part, max(off) + 1 AS off FROM log
-  WHERE topic = 'events.input' AND ts < TIMESTAMP '2024-01-28' GROUP BY ALL),
+at05 AS (SELECT topic, part, off FROM cuts WHERE d = 5),
+at28 AS (SELECT topic, part, off FROM cuts WHERE d = 28),
 ckpt AS (
   SELECT CASE WHEN topic = 'events.input' THEN id // 500 ELSE id // 750 END AS run,
          topic, part, max(off) + 1 AS off
@@ -92,6 +92,11 @@ sessions AS (
 """
 
 
+def until(day: int, rows: str = "good") -> str:
+    """SQL rows of the log below the cut of a day."""
+    return f"SELECT l.* FROM {rows} l JOIN cuts c ON c.topic = l.topic AND c.part = l.part AND c.d = {day} WHERE l.off < c.off"
+
+
 def check(name: str, sql: str | None = None):
     def register(query):
         QUERIES[name] = query

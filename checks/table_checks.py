@@ -5,57 +5,59 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.log_checks import POSITION, committed_log, events_log
-from checks.registry import check
+from checks.log_checks import POSITION, committed_log
+from checks.registry import check, until
 from offsetlake import fixtures as fx
 from offsetlake import schemas
-from offsetlake.operators import bounds, dedup, ledger, lease
+from offsetlake.operators import bounds, dedup, ledger, lease, snapshot, splits
 from offsetlake.plans import copy
 from offsetlake.plans import recover as recovery
 from offsetlake.sources import backup as backups
 from offsetlake.sources import log as logs
 from offsetlake.sources import storage
 from offsetlake.sources import table as tables
+from offsetlake.streaming import dedup as dedup_stream
 from offsetlake.streaming import deliver as delivery
 from offsetlake.streaming import follow as following
 from offsetlake.streaming import leases
 
 ROWS = [*POSITION, "k"]
-ALL_GOOD = """SELECT topic, part AS "partition", off AS "offset", k FROM good"""
-GOOD = ALL_GOOD + " WHERE topic = 'events.input'"
+PLACE = """topic, part AS "partition", off AS "offset\""""
+ALL_GOOD = f"SELECT {PLACE}, k FROM good"
 
 
-def target(spark, name="table", order_by=()):
-    return delivery.Target(storage.work_dir(spark, name), fx.PAYLOAD, [fx.EVENTS], order_by)
-
-
-def packed(spark, sf):
-    return fx.log(spark, sf).filter(F.col("topic") == fx.EVENTS)
+def good_until(day):
+    return f"SELECT {PLACE}, k FROM ({until(day)})"
 
 
-def before(log, cut):
-    return log.filter(F.col("timestamp") < F.lit(cut).cast("timestamp"))
+def target(spark, name="table", order_by=()):
+    return delivery.Target(storage.work_dir(spark, name), fx.PAYLOAD, fx.TOPICS, order_by)
 
 
-def since(log, cut):
-    return log.filter(F.col("timestamp") >= F.lit(cut).cast("timestamp"))
+def parted(spark, sf, *days):
+    """The log cut at the vectors of some days: the pieces, the last one open, and the vectors."""
+    log, wide = fx.log(spark, sf), fx.wide_log(spark, sf)
+    vectors = [fx.vector(wide, f"2024-01-{day:02d}") for day in days]
+    pieces = [snapshot.snapshot_at(log, vectors[0])]
+    for start, end in zip(vectors, [*vectors[1:], fx.vector(wide)], strict=True):
+        pieces.append(snapshot.read_range(log, start, end))
+    return pieces, vectors
 
 
 def run_stream(spark, journal, to, checkpoint=None):
-    stream = logs.read_log(spark, journal, [fx.EVENTS], streaming=True)
+    stream = logs.read_log(spark, journal, fx.TOPICS, streaming=True)
     query = delivery.deliver(stream, [to], checkpoint or storage.work_dir(spark, "checkpoint"))
     query.awaitTermination()
 
 
 def backed_up(spark, sf):
     """A table delivered in two parts, with a full backup after the first, an increment after both."""
-    log = packed(spark, sf)
     source = target(spark)
     archive = storage.work_dir(spark, "archive")
     names = ["b-full", "b-next"]
-    parts = [before(log, "2024-01-10"), since(before(log, "2024-01-20"), "2024-01-10")]
+    parts, _ = parted(spark, sf, 10, 20)
     parent = None
-    for name, part in zip(names, parts, strict=True):
+    for name, part in zip(names, parts[:2], strict=True):
         delivery.append_decoded(part, source, name)
         folded = ledger.fold_ledger(tables.read_ledger(spark, source.path))
         vector = folded.select("topic", "partition", (F.col("max_offset") + 1).alias("offset"))
@@ -69,8 +71,8 @@ def backed_up(spark, sf):
 @check("delivered_rows", ALL_GOOD)
 def delivered_rows(spark, sf):
     """Two parts of the log, the first of them tried twice."""
-    log, to = fx.log(spark, sf), target(spark)
-    first, second = before(log, "2024-01-15"), since(log, "2024-01-15")
+    to = target(spark)
+    (first, second), _ = parted(spark, sf, 15)
     delivery.append_decoded(first, to, "e-0")
     delivery.append_decoded(first, to, "e-0")
     delivery.append_decoded(second, to, "e-1")
@@ -112,7 +114,7 @@ def ordered_storage(spark, sf):
     )
 
 
-@check("backup_full", GOOD + " AND ts < TIMESTAMP '2024-01-10'")
+@check("backup_full", good_until(10))
 def backup_full(spark, sf):
     _, archive, names, _ = backed_up(spark, sf)
     return backups.read_chain(spark, archive, names[:1], "records", fx.PAYLOAD).select(*ROWS)
@@ -120,7 +122,7 @@ def backup_full(spark, sf):
 
 @check(
     "backup_incremental",
-    GOOD + " AND ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-20'",
+    f"{good_until(20)} EXCEPT {good_until(10)}",
 )
 def backup_incremental(spark, sf):
     """Only what the second backup holds itself."""
@@ -130,9 +132,7 @@ def backup_incremental(spark, sf):
 
 @check(
     "restore_chain",
-    """SELECT topic, part AS "partition", off AS "offset", CAST(k AS BIGINT) AS k,
-              CAST(NULL AS VARCHAR) AS note
-       FROM good WHERE topic = 'events.input' AND ts < TIMESTAMP '2024-01-20'""",
+    f"""SELECT {PLACE}, CAST(k AS BIGINT) AS k, CAST(NULL AS VARCHAR) AS note FROM ({until(20)})""",
 )
 def restore_chain(spark, sf):
     """Restored into a table with a wider type and one more column."""
@@ -145,11 +145,9 @@ def restore_chain(spark, sf):
 
 @check(
     "backup_metrics",
-    """SELECT b.backup, 'records' AS "table", count(*) AS "rows", true AS has_files, true AS has_bytes
-       FROM good JOIN (VALUES ('b-full', DATE '2000-01-01', DATE '2024-01-10'),
-                              ('b-next', DATE '2024-01-10', DATE '2024-01-20')) AS b(backup, low, high)
-         ON ts >= low AND ts < high
-       WHERE topic = 'events.input' GROUP BY ALL""",
+    f"""SELECT backup, 'records' AS "table", count(*) AS "rows", true AS has_files, true AS has_bytes
+       FROM (SELECT 'b-full' AS backup, * FROM ({until(10)})
+             UNION ALL SELECT 'b-next', * FROM ({until(20)} EXCEPT {until(10)})) GROUP BY ALL""",
 )
 def backup_metrics(spark, sf):
     _, archive, _, _ = backed_up(spark, sf)
@@ -159,9 +157,8 @@ def backup_metrics(spark, sf):
 
 @check(
     "backup_verified",
-    """SELECT rule, topic || '-' || part AS subject, CAST(NULL AS VARCHAR) AS detail
-       FROM (SELECT topic, part FROM good WHERE topic = 'events.input'
-             AND ts < TIMESTAMP '2024-01-20' GROUP BY ALL),
+    f"""SELECT rule, topic || '-' || part AS subject, CAST(NULL AS VARCHAR) AS detail
+       FROM (SELECT topic, part FROM ({until(20)}) GROUP BY ALL),
             (VALUES ('backup-row-count', 0), ('backup-offset-range', 0), ('backup-content', 0),
                     ('backup-content', 1)) AS v(rule, p)
        WHERE part = p""",
@@ -179,6 +176,12 @@ def backup_verified(spark, sf):
     return backups.verify_backup(copied, cut.select(*copied.columns))
 
 
+def ranged(spark, sf, start):
+    """A start vector, the target vector, and the bounds of the log."""
+    wide = fx.wide_log(spark, sf)
+    return fx.vector(wide, start), fx.vector(wide, fx.TARGET_CUT), bounds.log_bounds(wide)
+
+
 @check(
     "copy_range",
     """SELECT c.topic, c.part AS "partition",
@@ -192,12 +195,8 @@ def backup_verified(spark, sf):
 )
 def copy_range(spark, sf):
     """In two steps; the second call finds everything copied."""
-    events = committed_log(spark, sf)
-    log = packed(spark, sf).join(events.select(*POSITION), POSITION, "left_semi")
-    starts, targets = fx.vector(events_log(spark, sf), "2024-01-05"), fx.vector(
-        events_log(spark, sf), fx.TARGET_CUT
-    )
-    limits = bounds.log_bounds(events_log(spark, sf))
+    log = fx.log(spark, sf).join(committed_log(spark, sf).select(*POSITION), POSITION, "left_semi")
+    starts, targets, limits = ranged(spark, sf, "2024-01-05")
     dest = storage.work_dir(spark, "copy")
     half = targets.join(starts.withColumnRenamed("offset", "s"), ["topic", "partition"]).agg(
         F.max(F.expr("(offset - s) div 2 + 1")).alias("half")
@@ -213,13 +212,34 @@ def copy_range(spark, sf):
     )
 
 
-@check("point_in_time", GOOD + " AND ts < TIMESTAMP '2024-01-28'")
+@check(
+    "replay_splits",
+    """, inside AS (
+         SELECT c.topic, c.part, c.off, s.off AS first, t.off AS target,
+                row_number() OVER (PARTITION BY c.topic, c.part ORDER BY c.off) - 1 AS idx
+         FROM committed c JOIN at05 s ON s.topic = c.topic AND s.part = c.part
+         JOIN at28 t ON t.topic = c.topic AND t.part = c.part WHERE c.off >= s.off AND c.off < t.off),
+       begun AS (
+         SELECT topic, part, idx // 300 AS split, any_value(target) AS target, count(*) AS n,
+                CASE WHEN idx // 300 = 0 THEN any_value(first) ELSE min(off) END AS start
+         FROM inside GROUP BY topic, part, idx // 300)
+       SELECT topic, part AS "partition", split, start, n AS "rows",
+              coalesce(lead(start) OVER (PARTITION BY topic, part ORDER BY split), target) AS "end"
+       FROM begun""",
+)
+def replay_splits(spark, sf):
+    """Splits of 300 committed records each, over a log with gaps."""
+    starts, targets, _ = ranged(spark, sf, "2024-01-05")
+    return splits.plan_splits(committed_log(spark, sf), starts, targets, 300, bucket=1000)
+
+
+@check("point_in_time", good_until(28))
 def point_in_time(spark, sf):
     """A restored chain and the log range from its vector to the target."""
     _, archive, names, vector = backed_up(spark, sf)
     restored = backups.read_chain(spark, archive, names, "records", fx.PAYLOAD)
-    targets = fx.vector(events_log(spark, sf), fx.TARGET_CUT)
-    rows = recovery.point_in_time(restored, packed(spark, sf), vector, targets, fx.PAYLOAD)
+    targets = fx.vector(fx.wide_log(spark, sf), fx.TARGET_CUT)
+    rows = recovery.point_in_time(restored, fx.log(spark, sf), vector, targets, fx.PAYLOAD)
     return rows.select(*ROWS)
 
 
@@ -227,14 +247,14 @@ def point_in_time(spark, sf):
     "reconcile_tables",
     """SELECT side, topic, part AS "partition", off AS "offset", k, 1 AS copies FROM (
          SELECT 'left' AS side, topic, part, off, k FROM good
-         WHERE topic = 'events.input' AND part = 1 AND (off % 1000 = 7 OR off % 1500 = 3)
+         WHERE part = 1 AND (off % 1000 = 7 OR off % 1500 = 3)
          UNION ALL
          SELECT 'right', topic, part, off, -1 FROM good
-         WHERE topic = 'events.input' AND part = 1 AND off % 1000 = 7 AND NOT off % 1500 = 3)""",
+         WHERE part = 1 AND off % 1000 = 7 AND NOT off % 1500 = 3)""",
 )
 def reconcile_tables(spark, sf):
     """In partition 1 the right side has other values and lost rows; the others are equal."""
-    decoded = logs.decode_json(events_log(spark, sf), fx.PAYLOAD, "payload")
+    decoded = logs.decode_json(fx.wide_log(spark, sf), fx.PAYLOAD, "payload")
     left = logs.only_good(decoded).select(*POSITION, "row.k")
     touched = F.col("partition") == 1
     lost = touched & (F.col("offset") % 1500 == 3)
@@ -243,62 +263,68 @@ def reconcile_tables(spark, sf):
     return backups.reconcile(left, right, bucket=100)
 
 
-@check("stream_delivery", GOOD)
+@check("stream_delivery", ALL_GOOD)
 def stream_delivery(spark, sf):
     """A growing journal, a restart from the checkpoint, and a replay after the checkpoint is lost."""
-    log, to = packed(spark, sf), target(spark)
+    to = target(spark)
     journal, checkpoint = storage.work_dir(spark, "journal"), storage.work_dir(spark, "checkpoint")
-    logs.write_journal(before(log, "2024-01-15"), journal)
+    (first, second), _ = parted(spark, sf, 15)
+    logs.write_journal(first, journal)
     run_stream(spark, journal, to, checkpoint)
-    logs.write_journal(since(log, "2024-01-15"), journal)
+    logs.write_journal(second, journal)
     run_stream(spark, journal, to, checkpoint)
     run_stream(spark, journal, to)
     return tables.read_table(spark, to.path, fx.PAYLOAD).select(*ROWS)
 
 
-@check("stream_follow", GOOD)
+@check("stream_follow", ALL_GOOD)
 def stream_follow(spark, sf):
     """A restored table follows the log from the vector of its backup."""
     _, archive, names, vector = backed_up(spark, sf)
     to = target(spark, "followed")
     recovery.restore(spark, archive, names, "records", fx.PAYLOAD, to, "r-1")
     journal = storage.work_dir(spark, "journal")
-    logs.write_journal(packed(spark, sf), journal)
-    stream = logs.read_log(spark, journal, [fx.EVENTS], streaming=True)
-    limits = bounds.log_bounds(events_log(spark, sf))
+    logs.write_journal(fx.log(spark, sf), journal)
+    stream = logs.read_log(spark, journal, fx.TOPICS, streaming=True)
+    limits = bounds.log_bounds(fx.wide_log(spark, sf))
     query = following.follow(stream, vector, limits, to, storage.work_dir(spark, "checkpoint"))
     query.awaitTermination()
     return tables.read_table(spark, to.path, fx.PAYLOAD).select(*ROWS)
 
 
-@check("stream_replay", GOOD + " AND ts < TIMESTAMP '2024-01-28'")
+@check("stream_replay", good_until(28))
 def stream_replay(spark, sf):
-    """A restored table is replayed to its target and stops there; a second run adds nothing."""
+    """A restored table is replayed to its target in splits and stops there; a second run adds nothing."""
     _, archive, names, vector = backed_up(spark, sf)
     to = target(spark, "replayed")
     recovery.restore(spark, archive, names, "records", fx.PAYLOAD, to, "r-1")
-    targets = fx.vector(events_log(spark, sf), fx.TARGET_CUT)
-    limits = bounds.log_bounds(events_log(spark, sf))
+    _, targets, limits = ranged(spark, sf, "2024-01-20")
+    # Three splits or so, whatever the size of the log.
+    records = 1 + targets.agg(F.max("offset")).first()[0] // 8
     for _ in range(2):
-        following.replay_until(packed(spark, sf), vector, targets, limits, to, "r-1")
+        following.replay_until(fx.log(spark, sf), vector, targets, limits, to, "r-1", records_per_split=records)
     following.require_at(to, targets)
     return tables.read_table(spark, to.path, fx.PAYLOAD).select(*ROWS)
 
 
-@check(
-    "dedup_blocks",
-    """, b AS (
-         SELECT topic, part, off // 100 AS batch, count(*) AS n FROM log
-         WHERE topic = 'events.input' GROUP BY ALL),
+WINDOW = 20
+DEDUP = """, b AS (
+         SELECT topic, part, off // 100 AS batch, count(*) AS n FROM log GROUP BY ALL),
        late AS (
-         SELECT *, (SELECT count(*) FROM b a WHERE (a.batch, a.part) > (b.batch, b.part)) AS others
-         FROM b WHERE (part + batch) % 7 = 0)
-       SELECT topic, part AS "partition", batch, attempt, n AS "rows" FROM (
+         SELECT *, (SELECT count(*) FROM b a WHERE a.topic = b.topic AND (a.batch, a.part) > (b.batch, b.part)) AS others
+         FROM b WHERE (part + batch) % 7 = 0),
+       kept AS (
          SELECT topic, part, batch, 1 AS attempt, n FROM b
          UNION ALL
          SELECT topic, part, batch, 3, n FROM late l
          WHERE others + (SELECT count(*) FROM late e
-                         WHERE e.others + 1 > 20 AND (e.batch, e.part) < (l.batch, l.part)) >= 20)""",
+                         WHERE e.topic = l.topic AND e.others + 1 > 20 AND (e.batch, e.part) < (l.batch, l.part)) >= 20)
+"""
+
+
+@check(
+    "dedup_blocks",
+    DEDUP + """SELECT topic, part AS "partition", batch, attempt, n AS "rows" FROM kept""",
 )
 def dedup_blocks(spark, sf):
     """Blocks in log order; some are retried at once, others again after the whole pass.
@@ -306,7 +332,15 @@ def dedup_blocks(spark, sf):
     The window is 20 blocks: immediate retries are refused, and late ones are refused only for
     blocks that are still among the last 20.
     """
-    rows = events_log(spark, sf).withColumn("batch", F.expr("offset div 100"))
+    kept = dedup.dedup_blocks(attempted(spark, sf), ["table", "seq"], ["id", "payload"], window=WINDOW)
+    return kept.groupBy("topic", "partition", "batch", "attempt").agg(
+        F.count(F.lit(1)).alias("rows")
+    )
+
+
+def attempted(spark, sf):
+    """Records of attempted blocks; each topic has a table of its own."""
+    rows = fx.wide_log(spark, sf).withColumn("batch", F.expr("offset div 100"))
     first = rows.withColumn("attempt", F.lit(1))
     again = rows.filter("(partition + batch) % 4 = 0").withColumn("attempt", F.lit(2))
     late = rows.filter("(partition + batch) % 7 = 0").withColumn("attempt", F.lit(3))
@@ -314,11 +348,61 @@ def dedup_blocks(spark, sf):
     seq = F.when(F.col("attempt") == 3, F.lit(1 << 40)).otherwise(F.lit(0)) + (
         F.col("batch") * 3 + F.col("partition")
     ) * 2 + F.when(F.col("attempt") == 2, 1).otherwise(0)
-    tried = tried.withColumns({"seq": seq, "table": F.lit("records")})
-    kept = dedup.dedup_blocks(tried, ["table", "seq"], ["id", "payload"], window=20)
-    return kept.groupBy("topic", "partition", "batch", "attempt").agg(
-        F.count(F.lit(1)).alias("rows")
+    return tried.withColumns({"seq": seq, "table": F.col("topic")})
+
+
+def streamed_dedup(spark, sf):
+    """First attempts and immediate retries as a batch, the late ones as a stream that begins there."""
+    blocks = storage.written(
+        dedup.block_ids(attempted(spark, sf), ["table", "seq", "batch", "attempt"], ["id", "payload"]), "attempts"
+    )
+    accepted = storage.written(dedup.accepted_blocks(blocks.filter("attempt < 3"), WINDOW), "accepted")
+    source, out, checkpoint = (storage.work_dir(spark, n) for n in ("late", "kept", "checkpoint"))
+    blocks.filter("attempt = 3").write.parquet(source)
+    stream = spark.readStream.schema(blocks.schema).parquet(source)
+    query = (
+        dedup_stream.stream_accepted_blocks(stream, WINDOW, initial=dedup_stream.handed_over(accepted, WINDOW))
+        .writeStream.option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start(out)
+    )
+    query.awaitTermination()
+    return accepted.unionByName(spark.read.schema(blocks.schema).parquet(out)), checkpoint
+
+
+@check(
+    "stream_dedup_blocks",
+    DEDUP + """SELECT topic, part AS "partition", batch, attempt, n AS "rows" FROM kept""",
+)
+def stream_dedup_blocks(spark, sf):
+    """The blocks that a stream accepts after a batch are those that one batch over everything accepts."""
+    kept, _ = streamed_dedup(spark, sf)
+    return kept.select("topic", "partition", "batch", "attempt", "rows")
+
+
+@check(
+    "stream_state_audit",
+    DEDUP.replace("kept AS (", "whole AS (")
+    + """, placed AS (
+         SELECT *, row_number() OVER (PARTITION BY topic ORDER BY attempt = 3 DESC, batch DESC, part DESC) AS back FROM whole)
+       SELECT topic AS "table", topic || '/' || part || '/' || min(o.off) || '/' || max(o.off) || '/' || count(*) AS block,
+              CAST(20 - back AS BIGINT) AS place, 'held' AS rule
+       FROM placed p JOIN (SELECT topic, part, off, off // 100 AS batch FROM log) o USING (topic, part, batch)
+       WHERE back <= 20 GROUP BY topic, part, batch, attempt, back""",
+)
+def stream_state_audit(spark, sf):
+    """The window of every table in the state store of the stopped stream, and what its audit finds."""
+    _, checkpoint = streamed_dedup(spark, sf)
+    state = dedup_stream.window_state(spark, checkpoint)
+    first = state.groupBy("table").agg(F.min("number").alias("first"))
+    held = state.join(first, "table").select(
+        "table",
+        F.substring_index("identity", "/", 5).alias("block"),
+        (F.col("number") - F.col("first")).alias("place"),
+        F.lit("held").alias("rule"),
     )
+    found = dedup_stream.audit_window(spark, checkpoint, WINDOW)
+    return held.unionByName(found.select(F.col("subject").alias("table"), F.col("detail").alias("block"), F.lit(0).cast("long").alias("place"), "rule"))
 
 
 TTL = 6 * 3600

@@ -15,6 +15,7 @@ from offsetlake.operators.catalog import backup_struct, configured_pipelines
 from offsetlake.operators.ledger import FINISHED, block_ranges
 
 EVENTS, ORDERS = "events.input", "orders.input"
+TOPICS = [EVENTS, ORDERS]
 LEDGER_CUT = "2024-01-25"
 TARGET_CUT = "2024-01-28"
 RETENTION_CUT = "2024-01-03"
@@ -114,20 +115,26 @@ def raw_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vector(records: DataFrame, cut: str | None = None) -> DataFrame:
-    """Next offsets of the records, or of those before a time."""
-    if cut is not None:
-        records = records.filter(F.col("ts") < F.lit(cut).cast("timestamp_ntz"))
-    return records.groupBy("topic", "partition").agg((F.max("offset") + 1).alias("offset"))
+    """Next offsets of the records, or of those before a day of January 2024.
+
+    Events come in the order of their time. Orders do not, so they are cut by offset: after as many
+    thirtieths of them as days.
+    """
+    high = F.max("offset") + 1
+    if cut is None:
+        return records.groupBy("topic", "partition").agg(high.alias("offset"))
+    timed = F.max(F.when(F.col("ts") < F.lit(cut).cast("timestamp_ntz"), F.col("offset"))) + 1
+    ends = records.groupBy("topic", "partition").agg(timed.alias("timed"), high.alias("high"))
+    share = F.expr(f"high * {int(cut[-2:])} div 30")
+    offset = F.when(F.col("topic") == EVENTS, F.coalesce("timed", F.lit(0))).otherwise(share)
+    return ends.select("topic", "partition", offset.cast("long").alias("offset"))
 
 
 def retained_bounds(records: DataFrame) -> DataFrame:
-    """Log bounds when records before the retention cut are gone (events topic only)."""
-    low = F.min(F.when(F.col("ts") >= F.lit(RETENTION_CUT).cast("timestamp_ntz"), F.col("offset")))
-    return (
-        records.filter(F.col("topic") == EVENTS)
-        .groupBy("topic", "partition")
-        .agg(low.alias("low"), (F.max("offset") + 1).alias("high"))
-    )
+    """Log bounds when records before the retention cut are gone."""
+    low = vector(records, RETENTION_CUT).withColumnRenamed("offset", "low")
+    high = vector(records).withColumnRenamed("offset", "high")
+    return low.join(high, ["topic", "partition"])
 
 
 def checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:

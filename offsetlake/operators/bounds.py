@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -66,11 +68,13 @@ def audit_ranges(starts: DataFrame, targets: DataFrame, bounds: DataFrame) -> Da
     )
 
 
-def audit_replayable(checkpoint: DataFrame, bounds: DataFrame, complete: bool = False):
+def audit_replayable(checkpoint: DataFrame, bounds: DataFrame, complete: bool = False, by: Sequence[str] = ()):
     """Is every checkpoint offset inside the retained log, and is the partition count the same?
 
-    ``complete`` also wants the log to start at 0, as a bounded copy must.
+    ``complete`` also wants the log to start at 0, as a bounded copy must. ``by`` names the columns that tell
+    several checkpoints apart; subjects begin with them.
     """
+    name = lambda place: F.concat_ws("/", *by, place)
     joined = checkpoint.join(bounds, TP, "left")
     missing = F.col("low").isNull()
     low, high, offset = F.col("low"), F.col("high"), F.col("offset")
@@ -82,15 +86,15 @@ def audit_replayable(checkpoint: DataFrame, bounds: DataFrame, complete: bool =
     }
     if complete:
         rules["replay-incomplete-log"] = ~missing & (low != 0)
-    expected = checkpoint.groupBy("topic").agg(F.count(F.lit(1)).alias("expected"))
+    expected = checkpoint.groupBy(*by, "topic").agg(F.count(F.lit(1)).alias("expected"))
     actual = bounds.groupBy("topic").agg(F.count(F.lit(1)).alias("actual"))
     counts = expected.join(actual, "topic", "left").filter(
         F.coalesce("actual", F.lit(0)) != F.col("expected")
     )
     return union(
         [
-            broken_rules(joined, position_name(), rules),
-            violation(counts, "replay-partition-count", F.col("topic")),
+            broken_rules(joined, name(position_name()), rules),
+            violation(counts, "replay-partition-count", name(F.col("topic"))),
         ]
     )
 

@@ -23,6 +23,7 @@ from offsetlake.operators.recovery import audit_targets
 from offsetlake.operators.skew import join_control
 from offsetlake.operators.snapshot import read_range
 from offsetlake.sources import storage
+from offsetlake.streaming.follow import Bounds, current
 
 STEP = T.StructField("step", T.IntegerType())
 COPIED = T.StructType(
@@ -67,7 +68,7 @@ def copy_range(
     log: DataFrame,
     starts: DataFrame,
     targets: DataFrame,
-    bounds: DataFrame,
+    bounds: Bounds,
     dest: str,
     batch_records: int = 500,
     step_offsets: int | None = None,
@@ -78,7 +79,7 @@ def copy_range(
     ``batch_records`` records per partition. All partitions and batches are written in parallel.
     Progress is saved per step of ``step_offsets`` source offsets (default: one step); a step is
     an offset range, so with gaps it holds fewer records. Gaps are legal as long as the log still
-    reaches back to the step's start, which is checked before each step.
+    reaches back to the step's start, which is checked before each step; a call as ``bounds`` fetches them again.
     """
     spark = log.sparkSession
     require(audit_targets(starts, targets))
@@ -90,7 +91,7 @@ def copy_range(
     while any(source < ends[tp] for tp, (source, _) in at.items()):
         low = {tp: source for tp, (source, _) in at.items()}
         high = {tp: min(ends[tp], low[tp] + (step_offsets or ends[tp])) for tp in at}
-        require(audit_ranges(_vector(spark, low), targets, bounds))
+        require(audit_ranges(_vector(spark, low), targets, current(bounds)))
         rows = read_range(log, _vector(spark, low), _vector(spark, high))
         base = _vector(spark, {tp: new for tp, (_, new) in at.items()})
         rows = join_control(

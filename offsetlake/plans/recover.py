@@ -27,7 +27,7 @@ from offsetlake.sources.catalog import read_catalog
 from offsetlake.sources.log import decode_json, only_good
 from offsetlake.sources.storage import settled, written
 from offsetlake.streaming.deliver import Target
-from offsetlake.streaming.follow import replay_until, require_at
+from offsetlake.streaming.follow import Bounds, current, replay_until, require_at
 
 
 def point_in_time(
@@ -91,7 +91,7 @@ def recover(
     catalog: str,
     archive: str,
     log: DataFrame,
-    bounds: DataFrame,
+    bounds: Bounds,
     source_schema: T.StructType,
     target: Target,
     tolerance: str = "all",
@@ -112,7 +112,7 @@ def recover(
     starts = plan.select("topic", "partition", F.col("start").alias("offset"))
     bounded = row.targets is not None
     targets = plan.select("topic", "partition", F.col("target").alias("offset")) if bounded else starts
-    require(audit_ranges(starts, targets, bounds))
+    require(audit_ranges(starts, targets, current(bounds)))
     restore(spark, archive, ids, row.source_table, source_schema, target, row.id)
     if not bounded:
         tables.set_vector(spark, target.path, starts, f"{row.id}-vector")

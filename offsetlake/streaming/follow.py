@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from offsetlake.functions import ledger_key
 from offsetlake.operators.audit import ViolationError, diff_rows, require
-from offsetlake.operators.bounds import audit_ranges
+from offsetlake.operators.bounds import TP, audit_ranges
 from offsetlake.operators.ledger import (
     audit_progress,
     fold_ledger,
@@ -17,10 +19,16 @@ from offsetlake.operators.ledger import (
 )
 from offsetlake.operators.recovery import audit_targets
 from offsetlake.operators.snapshot import read_range
-from offsetlake.schemas import OFFSETS
+from offsetlake.operators.splits import Vector, plan_splits, waves
+from offsetlake.schemas import INT, LONG, OFFSETS, STRING, struct
+from offsetlake.sources import storage
 from offsetlake.sources import table as tables
 from offsetlake.streaming.deliver import Target, append_decoded, deliver
 
+Bounds = DataFrame | Callable[[], DataFrame]
+SPLIT_RECORDS = 5_000_000
+SPLITS = struct(topic=STRING, partition=INT, split=LONG, start=LONG, end=LONG, rows=LONG)
+
 
 def state_rows(target: Target, spark: SparkSession) -> DataFrame:
     """The folded ledger of a table as (key, min_offset, max_offset, state)."""
@@ -33,30 +41,77 @@ def state_rows(target: Target, spark: SparkSession) -> DataFrame:
     )
 
 
+def current(bounds: Bounds) -> DataFrame:
+    """The bounds of the log as they are now: a frame, or a call that fetches them again."""
+    return bounds() if callable(bounds) else bounds
+
+
+def replay_plan(log: DataFrame, starts: DataFrame, targets: DataFrame, path: str, records: int) -> list[Row]:
+    """The splits of a run, planned once and stored beside the table; one row each reaches the driver.
+
+    A run that goes on must cut where it cut before, even if the log has lost records since. A stored plan
+    of another range is refused.
+    """
+    spark = log.sparkSession
+    if not storage.exists(spark, f"{path}/_SUCCESS"):
+        storage.overwriting(plan_splits(log, starts, targets, records).coalesce(1)).parquet(path)
+    stored = spark.read.schema(SPLITS).parquet(path)
+    covered = stored.groupBy("topic", "partition").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    wanted = starts.withColumnRenamed("offset", "start").join(targets.withColumnRenamed("offset", "end"), TP).filter("start < end")
+    order = [*TP, "start", "end"]
+    if diff_rows(covered.select(order), wanted.select(order)).take(1):
+        raise ViolationError([Row(rule="replay-plan-differs", subject=path, detail=None)])
+    return stored.collect()
+
+
 def replay_until(
     log: DataFrame,
     starts: DataFrame,
     targets: DataFrame,
-    bounds: DataFrame,
+    bounds: Bounds,
     target: Target,
     run_id: str,
     tolerance: str = "all",
+    records_per_split: int = SPLIT_RECORDS,
 ) -> bool:
     """Append ``[start, target)`` of a log once, and leave the table exactly at the vector.
 
-    Everything is checked before the first row is written. Running it again with the same
-    ``run_id`` does nothing. A bounded read needs no stream; with Kafka it is a batch read with
-    ``endingOffsets``.
+    The range is cut into splits of ``records_per_split`` records of each partition, whatever its gaps. Split n of all
+    partitions is one ledger commit, ``<run>-replay-<n>``, so a run that died goes on after its last commit
+    and writes none of the earlier ones again. Before each split the bounds are fetched, if ``bounds`` is a
+    call, and all that is still to be read must lie inside. The first check comes before the first row.
+    Running it again with the same ``run_id`` does nothing. A bounded read needs no stream; with Kafka it
+    is a batch read with ``endingOffsets``.
     """
     spark = log.sparkSession
     require(audit_targets(starts, targets))
-    require(audit_ranges(starts, targets, bounds))
+    first, last = (_held(v) for v in (starts, targets))
+    plan_path = f"{target.path}/replay/run={run_id}"
+    if not storage.exists(spark, f"{plan_path}/_SUCCESS"):
+        require(audit_ranges(starts, targets, current(bounds)))
+    steps = waves(replay_plan(log, starts, targets, plan_path, records_per_split), first, last)
     target.ends = tables.folded_ends(spark, target.path)
-    done = append_decoded(read_range(log, starts, targets), target, f"{run_id}-replay", tolerance)
+    done = False
+    for n, (low, high) in enumerate(steps):
+        key = f"{run_id}-replay-{n}"
+        if tables.is_committed(spark, target.path, key):
+            continue
+        low_vector, high_vector = (_vector(spark, v) for v in (low, high))
+        ahead = _vector(spark, {tp: offset for tp, offset in low.items() if offset < last[tp]})
+        require(audit_ranges(ahead, targets.join(ahead.select(*TP), TP, "left_semi"), current(bounds)))
+        done |= append_decoded(read_range(log, low_vector, high_vector), target, key, tolerance)
     tables.set_vector(spark, target.path, targets, f"{run_id}-vector")
     return done
 
 
+def _held(vector: DataFrame) -> Vector:
+    return {(r.topic, r.partition): r.offset for r in vector.collect()}
+
+
+def _vector(spark: SparkSession, offsets: Vector) -> DataFrame:
+    return spark.createDataFrame([(t, p, o) for (t, p), o in offsets.items()], OFFSETS)
+
+
 def require_at(target: Target, targets: DataFrame) -> None:
     """A bounded recovery must still stand at its vector."""
     folded = fold_ledger(tables.read_ledger(targets.sparkSession, target.path))

@@ -66,3 +66,35 @@ def test_stream_equals_serial_fold(spark, path):
         query.awaitTermination()
     got = {(r.table, r.seq) for r in spark.read.parquet(out).collect()}
     assert got == serial(attempts, 4)
+
+
+@pytest.mark.parametrize("cut", [0, 33])
+def test_a_stream_that_begins_with_a_batch_equals_one_batch(spark, path, cut):
+    """The batch hands its window over; the state of the stream is the window at the end."""
+    from offsetlake.streaming import dedup as streams
+
+    rng = random.Random(4)
+    attempts = [(rng.choice("ab"), seq, rng.randrange(9)) for seq in range(70)]
+    rows = [(t, s, "t", 0, b, f"v{b}") for t, s, b in attempts]
+    blocks = dedup.block_ids(spark.createDataFrame(rows, SCHEMA), ["table", "seq"], ["v"])
+    accepted = dedup.accepted_blocks(blocks.filter(f"seq < {cut}"), 4)
+    source, out = path("attempts"), path("accepted")
+    blocks.filter(f"seq >= {cut}").coalesce(1).write.parquet(source)
+    stream = spark.readStream.schema(blocks.schema).parquet(source)
+    query = (
+        streams.stream_accepted_blocks(stream, 4, initial=streams.handed_over(accepted, 4))
+        .writeStream.option("checkpointLocation", f"{out}-checkpoint")
+        .trigger(availableNow=True)
+        .start(out)
+    )
+    query.awaitTermination()
+    got = {(r.table, r.seq) for r in accepted.collect()} | {(r.table, r.seq) for r in spark.read.parquet(out).collect()}
+    wanted = serial(attempts, 4)
+    assert got == wanted
+    of = {seq: block for _, seq, block in attempts}
+    state = streams.window_state(spark, f"{out}-checkpoint").collect()
+    for table in "ab":
+        held = [r.identity.split("/")[2] for r in sorted(state, key=lambda r: r.number) if r.table == table]
+        assert held == [str(of[s]) for t, s in sorted(wanted, key=lambda x: x[1]) if t == table][-4:]
+    assert streams.audit_window(spark, f"{out}-checkpoint", 4).collect() == []
+    assert {r.rule for r in streams.audit_window(spark, f"{out}-checkpoint", 3).collect()} == {"window-too-large"}
