@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from checks.registry import check
 from offsetlake import fixtures as fx
+from offsetlake import schemas
 from offsetlake.operators import audit, bounds, ledger, snapshot
+from offsetlake.sources import compaction, storage
 from offsetlake.sources import log as logs
-from offsetlake.sources import storage
 from offsetlake.sources import table as tables
 
 POSITION = ["topic", "partition", "offset"]
@@ -104,6 +105,31 @@ def ledger_rows(spark, sf):
     return tables.read_ledger(spark, path)
 
 
+@check(
+    "ledger_checkpoint",
+    """SELECT topic, part AS "partition", batch_id, min(off) AS min_offset, max(off) AS max_offset, count(*) AS "rows",
+              count(*) AS stored
+       FROM (SELECT *, 'e-' || (off * 8 // high) AS batch_id
+             FROM log JOIN (SELECT topic, part, max(off) + 1 AS high FROM log GROUP BY ALL) USING (topic, part))
+       GROUP BY topic, part, batch_id""",
+)
+def ledger_checkpoint(spark, sf):
+    """Eight commits, folded and merged on the way; what was replaced is removed, and the blocks stay."""
+    path, user = storage.work_dir(spark, "table"), schemas.struct(id=schemas.LONG)
+    high = fx.vector(fx.wide_log(spark, sf)).withColumnRenamed("offset", "high")
+    rows = fx.wide_log(spark, sf).join(F.broadcast(high), ["topic", "partition"]).withColumn("n", F.expr("offset * 8 div high"))
+    letter = F.lit(None).cast(tables.LETTER.dataType).alias("letter")
+    rows = storage.written(rows.select("id", *POSITION, letter, F.lit(0).alias("dead"), "n"), "rows")
+    for n in range(8):
+        tables.append_batch(rows.filter(F.col("n") == n).drop("n"), path, f"e-{n}")
+        if n in (2, 4, 6):
+            compaction.checkpoint_ledger(spark, path)
+            compaction.compact(spark, path, user)
+            compaction.vacuum(spark, path)
+    stored = tables.read_table(spark, path, user).groupBy(*schemas.BLOCK_ID).agg(F.count(F.lit(1)).alias("stored"))
+    return tables.read_ledger(spark, path).drop("state").join(stored, schemas.BLOCK_ID)
+
+
 @check(
     "snapshot_cut",
     """SELECT l.topic, l.part AS "partition", l.off AS "offset", l.id

@@ -87,6 +87,12 @@ def children(spark: SparkSession, path: str) -> list[str]:
     return sorted(status.getPath().getName() for status in fs.listStatus(target))
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a file or directory; nothing happens if it is gone."""
+    fs, target = _fs(spark, path)
+    fs.delete(target, True)
+
+
 def read_text(spark: SparkSession, path: str) -> str | None:
     """A small control file, or None."""
     fs, target = _fs(spark, path)

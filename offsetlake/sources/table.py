@@ -5,10 +5,16 @@ Layout of a table directory::
     data/batch_id=<epoch>-<n>/dead=0/*.parquet   user columns, topic, partition, offset
     data/batch_id=<epoch>-<n>/dead=1/*.parquet   dead letters: the position and the raw record
     ledger/commit=<epoch>-<n>/*.parquet          one file: block ranges of the batch
+    checkpoints/n=<n>/*.parquet                  all commits so far in one table, with their names
+    segments/n=<n>/rows/dead=0/*.parquet         rows of many small batches, sorted by batch
+    segments/n=<n>/batches/*.parquet             the batches that the segment holds
 
 Rows and dead letters come out of one pass over the source. A batch is visible once its ledger
 file exists. Its data directory is overwritten until then and
 never touched afterwards, so a failed attempt leaves nothing that a reader can see.
+
+Checkpoints and segments are made by ``compaction``. A reader takes the newest complete checkpoint and the commits
+that it does not name, and each batch from the complete segment that holds it, else from its directory.
 """
 
 from __future__ import annotations
@@ -47,21 +53,49 @@ def write_ledger(spark: SparkSession, table: str, batch_id: str, rows: Iterable[
     storage.overwriting(rows).parquet(f"{table}/ledger/commit={batch_id}")
 
 
+def complete(spark: SparkSession, path: str, marker: str = "_SUCCESS") -> list[int]:
+    """Numbers of the finished entries ``n=<n>`` of a directory, ascending."""
+    names = [n for n in storage.children(spark, path) if n.startswith("n=")]
+    return sorted(int(n[2:]) for n in names if storage.exists(spark, f"{path}/{n}/{marker}"))
+
+
+COMMITTED = T.StructType([*schemas.LEDGER.fields, T.StructField("commit", T.StringType())])
+
+
+def read_commits(spark: SparkSession, table: str) -> DataFrame:
+    """All committed blocks with the commit each belongs to: the newest checkpoint and the commits after it."""
+    done = complete(spark, f"{table}/checkpoints")
+    base = spark.read.schema(COMMITTED).parquet(f"{table}/checkpoints/n={done[-1]}") if done else None
+    if not storage.has_children(spark, f"{table}/ledger"):
+        return spark.createDataFrame([], COMMITTED) if base is None else base
+    tail = spark.read.schema(COMMITTED).parquet(f"{table}/ledger")
+    if base is None:
+        return tail
+    return base.unionByName(join_control(tail, base.select("commit").distinct(), ["commit"], "left_anti"))
+
+
 def read_ledger(spark: SparkSession, table: str) -> DataFrame:
     """All committed blocks, one row per topic, partition and batch."""
-    if not storage.has_children(spark, f"{table}/ledger"):
-        return spark.createDataFrame([], schemas.LEDGER)
-    schema = T.StructType([*schemas.LEDGER.fields, T.StructField("commit", T.StringType())])
-    return spark.read.schema(schema).parquet(f"{table}/ledger").drop("commit")
+    return read_commits(spark, table).drop("commit")
 
 
 def is_committed(spark: SparkSession, table: str, batch_id: str) -> bool:
-    return storage.has_files(spark, f"{table}/ledger/commit={batch_id}")
+    if storage.has_files(spark, f"{table}/ledger/commit={batch_id}"):
+        return True
+    done = complete(spark, f"{table}/checkpoints")
+    if not done:
+        return False
+    named = spark.read.schema(COMMITTED).parquet(f"{table}/checkpoints/n={done[-1]}").filter(F.col("commit") == batch_id)
+    return not named.isEmpty()
+
+
+def has_commits(spark: SparkSession, table: str) -> bool:
+    return storage.has_children(spark, f"{table}/ledger") or bool(complete(spark, f"{table}/checkpoints"))
 
 
 def read_table(spark: SparkSession, table: str, user: T.StructType) -> DataFrame:
     """Delivered rows of committed batches."""
-    if not storage.has_children(spark, f"{table}/ledger"):
+    if not has_commits(spark, table):
         return spark.createDataFrame([], T.StructType([*table_schema(user).fields, BATCH]))
     committed = read_ledger(spark, table).filter(F.col("state") == FINISHED)
     return only_batches(read_data(spark, table, user), committed)
@@ -84,9 +118,25 @@ def read_dead_letters(spark: SparkSession, table: str) -> DataFrame:
 def _scan(spark: SparkSession, table: str, schema: T.StructType) -> DataFrame:
     schema = T.StructType([*schema.fields, DEAD])
     path = f"{table}/data"
-    if not storage.has_children(spark, path):
+    loose = spark.read.schema(schema).parquet(path) if storage.has_children(spark, path) else spark.createDataFrame([], schema)
+    done = complete(spark, f"{table}/segments", "batches/_SUCCESS")
+    if not done:
+        return loose
+    roots = [f"{table}/segments/n={n}" for n in done]
+    held = segment_batches(spark, table, done)
+    merged = None
+    for root in roots:
+        part = spark.read.schema(schema).parquet(f"{root}/rows")
+        merged = part if merged is None else merged.unionByName(part)
+    return merged.unionByName(join_control(loose, held.select("batch_id"), ["batch_id"], "left_anti"))
+
+
+def segment_batches(spark: SparkSession, table: str, segments: Sequence[int]) -> DataFrame:
+    """The batches that segments hold, each in one of them."""
+    schema = T.StructType([BATCH])
+    if not segments:
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(path)
+    return spark.read.schema(schema).parquet(*[f"{table}/segments/n={n}/batches" for n in segments])
 
 
 def only_batches(data: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -211,7 +261,7 @@ def bulk_load(
     which batches may be in it.
     """
     spark = rows.sparkSession
-    if storage.has_children(spark, f"{table}/ledger"):
+    if has_commits(spark, table):
         raise ViolationError([Row(rule="load-not-empty", subject=table, detail=None)])
     if cluster:
         rows = rows.repartition("batch_id", F.expr(f"offset div {LOAD_BUCKET}"))
