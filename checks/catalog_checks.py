@@ -130,6 +130,23 @@ def catalog_compact(spark, sf):
     )
 
 
+@check(
+    "catalog_segments",
+    """SELECT key AS "key", log_offset, created_at FROM latest""",
+)
+def catalog_segments(spark, sf):
+    """The same from segments: a base, deltas merged among themselves, and a last delta, at uneven cuts."""
+    records = fx.catalog(spark, sf)
+    last = fx.checkpoints(spark, sf).agg(F.max("run")).first()[0]
+    cuts = [0, last // 2, last + 1, 1_000_000_000 + last, 2_000_000_000 + last // 3, 1 << 62]
+    pieces = [records.filter((F.col("log_offset") >= a) & (F.col("log_offset") < b)) for a, b in zip(cuts, cuts[1:], strict=False)]
+    folded = [catalog.fold_segment(p) for p in pieces]
+    base = storage.written(catalog.merge_segments(folded[0].limit(0), folded[:1]), "base")
+    middle = storage.written(catalog.merge_segments(None, [folded[3], folded[1]]), "middle")
+    merged = catalog.merge_segments(base, [folded[4], middle, folded[2]])
+    return merged.select("key", "log_offset", F.get_json_object("value", "$.created_at").alias("created_at"))
+
+
 @check(
     "catalog_commit",
     """SELECT (run + 1) * 2 + i AS log_offset,

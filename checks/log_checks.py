@@ -8,7 +8,7 @@ from checks.registry import check
 from offsetlake import fixtures as fx
 from offsetlake import schemas
 from offsetlake.operators import audit, bounds, ledger, snapshot
-from offsetlake.sources import compaction, storage
+from offsetlake.sources import compaction, storage, zones
 from offsetlake.sources import log as logs
 from offsetlake.sources import table as tables
 
@@ -62,6 +62,33 @@ def range_scan(spark, sf):
     return snapshot.read_range(log, starts, targets).select(*POSITION, "id")
 
 
+@check(
+    "file_pruning",
+    """SELECT l.topic, l.part AS "partition", l.low, l.high, count(*) FILTER (WHERE l.off >= s.off AND l.off < t.off) AS "rows"
+       FROM (SELECT *, min(off) OVER w AS low, max(off) OVER w + 1 AS high FROM log
+             WINDOW w AS (PARTITION BY topic, part, off // 200)) l
+       JOIN cuts s ON s.topic = l.topic AND s.part = l.part AND s.d = CASE WHEN l.part = 1 THEN 5 ELSE 20 END
+       JOIN at28 t ON t.topic = l.topic AND t.part = l.part
+       WHERE l.low < t.off AND l.high > s.off GROUP BY ALL""",
+)
+def file_pruning(spark, sf):
+    """The files that a read opens when partition 1 starts early and the others late, and what they give."""
+    path, wide = storage.work_dir(spark, "journal"), fx.wide_log(spark, sf)
+    logs.write_segments(fx.log(spark, sf), path, 200)
+    zones.update_zones(spark, path)
+    early, late = fx.vector(wide, "2024-01-05"), fx.vector(wide, "2024-01-20")
+    starts = early.filter("partition = 1").unionByName(late.filter("partition <> 1"))
+    targets = fx.vector(wide, fx.TARGET_CUT)
+    read = zones.read_pruned(spark, path, starts, targets)
+    segment = F.expr("offset div 200").alias("segment")
+    taken = read.groupBy("topic", "partition", segment).agg(F.count(F.lit(1)).alias("taken"))
+    # What the plan opens, and not what it might have opened.
+    opened = spark.createDataFrame([(f.replace("file:///", "file:/"),) for f in read.inputFiles()], "file STRING")
+    listed = zones.read_zones(spark, path).join(opened, "file").withColumn("segment", F.expr("low div 200"))
+    found = listed.join(taken, ["topic", "partition", "segment"], "left")
+    return found.select("topic", "partition", "low", "high", F.coalesce("taken", F.lit(0)).alias("rows"))
+
+
 @check(
     "read_committed",
     """SELECT topic, part AS "partition", off AS "offset", id FROM committed""",

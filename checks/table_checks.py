@@ -15,6 +15,7 @@ from offsetlake.plans import recover as recovery
 from offsetlake.sources import backup as backups
 from offsetlake.sources import log as logs
 from offsetlake.sources import storage
+from offsetlake.sources import sweep as sweeping
 from offsetlake.sources import table as tables
 from offsetlake.streaming import dedup as dedup_stream
 from offsetlake.streaming import deliver as delivery
@@ -212,6 +213,36 @@ def copy_range(spark, sf):
     )
 
 
+@check(
+    "orphans",
+    f"""SELECT * FROM (VALUES
+         ('uncommitted-batch', 'e-lost', 1), ('unfinished-backup', 'b-dead', 1), ('uncommitted-backup', 'b-crashed', 2),
+         ('closed-chain', 'b-full', 2), ('closed-chain', 'b-next', 2)) AS v(reason, unit, paths),
+       (SELECT count(*) AS reachable FROM ({until(20)}))""",
+)
+def orphans(spark, sf):
+    """A lost batch, a backup without its block list, one without a manifest, and a closed chain; one root."""
+    source, archive, names, vector = backed_up(spark, sf)
+    (_, _, rest), _ = parted(spark, sf, 10, 20)
+    delivery.append_decoded(rest, source, "e-lost")
+    storage.remove(spark, f"{source.path}/ledger/commit=e-lost")
+    for name in ("b-open", "b-crashed", "b-dead"):
+        backups.write_backup(spark, source.path, "records", fx.PAYLOAD, vector, archive, name)
+    storage.remove(spark, f"{archive}/blocks/backup=b-dead")
+    manifests = spark.createDataFrame(
+        [("b-full", None), ("b-next", "b-full"), ("b-open", None)], "backup_id STRING, parent_id STRING"
+    )
+    roots = manifests.filter("backup_id = 'b-open'")
+    found = sweeping.table_orphans(spark, source.path).unionByName(
+        sweeping.archive_orphans(spark, archive, manifests, roots)
+    )
+    found = storage.written(found.groupBy("reason", "unit").agg(F.count(F.lit(1)).cast("int").alias("paths")), "found")
+    sweeping.sweep(spark, sweeping.table_orphans(spark, source.path), [source.path])
+    sweeping.sweep(spark, sweeping.archive_orphans(spark, archive, manifests, roots), [archive])
+    left = backups.read_chain(spark, archive, ["b-open"], "records", fx.PAYLOAD).count()
+    return found.withColumn("reachable", F.lit(left).cast("long"))
+
+
 @check(
     "replay_splits",
     """, inside AS (

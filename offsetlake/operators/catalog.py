@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +38,23 @@ def latest_by_key(catalog: DataFrame) -> DataFrame:
     )
 
 
+def fold_segment(records: DataFrame) -> DataFrame:
+    """The last record of every key of a piece of the catalog log; a null value, which deletes the key, stays."""
+    last = F.max(F.struct("log_offset", "value"))
+    return records.groupBy("key").agg(last.alias("_last")).select("_last.log_offset", "key", "_last.value")
+
+
+def merge_segments(base: DataFrame | None, deltas: Sequence[DataFrame]) -> DataFrame:
+    """A new base from the old one and the segments after it, in any order.
+
+    Records merge by log offset. With a base that covers the log from its start, a deletion has nothing left to
+    delete and goes; a delta merged without a base keeps it.
+    """
+    parts = [base, *deltas] if base is not None else list(deltas)
+    merged = fold_segment(reduce(DataFrame.unionByName, parts))
+    return merged if base is None else merged.filter("value IS NOT NULL")
+
+
 def lookup(catalog: DataFrame, key: str) -> DataFrame:
     """The live value of one key: the filter comes first, so nothing else is folded."""
     return latest_by_key(catalog.filter(F.col("key") == key))
@@ -229,7 +248,7 @@ def walk_chain(manifests: DataFrame, tips: DataFrame) -> DataFrame:
     ends its walk with ``found`` false. An id that a walk meets again has ``repeated`` set; it is
     kept once, so a cycle adds no more rows than it has manifests.
     """
-    nodes = manifests.select("backup_id", "parent_id").distinct()
+    nodes = settled(manifests.select("backup_id", "parent_id").distinct(), "nodes")
     count = nodes.count()
     jumps = settled(
         nodes.filter("parent_id IS NOT NULL").select(

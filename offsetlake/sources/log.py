@@ -36,6 +36,16 @@ def write_journal(log: DataFrame, path: str, mode: str = "append", segment: bool
     )
 
 
+def write_segments(log: DataFrame, path: str, segment_offsets: int, mode: str = "append") -> None:
+    """Append records to a journal with one file for every ``segment_offsets`` offsets of a topic-partition.
+
+    Rows are shuffled by segment, so a hot partition is written by as many tasks as it has segments.
+    """
+    log = log.select(*schemas.LOG.names).withColumn("segment", F.expr(f"offset div {segment_offsets}"))
+    keys = ["topic", "partition", "segment"]
+    log.repartition(*keys).sortWithinPartitions(*keys, "offset").write.mode(mode).partitionBy(*keys).parquet(path)
+
+
 def read_log(
     spark: SparkSession,
     path: str,

@@ -87,6 +87,12 @@ def children(spark: SparkSession, path: str) -> list[str]:
     return sorted(status.getPath().getName() for status in fs.listStatus(target))
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its scheme, in the form that scans report."""
+    fs, target = _fs(spark, path)
+    return fs.makeQualified(target).toString()
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a file or directory; nothing happens if it is gone."""
     fs, target = _fs(spark, path)
