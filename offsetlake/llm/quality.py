@@ -4,13 +4,16 @@ Every document gets a few whole-text measures. Per language and source their dis
 as quantile sketches: counts by bucket, where a bucket holds the integers that agree in
 their seven leading bits. Such a sketch is exact below 128, within 1/64 above, has at most a few
 hundred buckets, and is merged by adding counts, so Spark builds it as one partial aggregation.
-A threshold is the upper quartile plus a multiple of the spread, and at least a floor that
-separates noise of short texts; rules join each document with the thresholds of its own group.
+The sketches are of documents that pass the base rules. A threshold is the upper quartile of the group
+plus a multiple of the spread of its quartiles, or of the sketch's own resolution where they agree; a group of few
+documents borrows from the merged sketch of its language. A document breaks a rule if its count is
+beyond the threshold by more than counts of its size vary by chance, so a stray sign in a short text
+is no outlier, and a few in every hundred words of a long one are.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 from functools import reduce
 
 import numpy as np
@@ -27,8 +30,15 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 LEADING_BITS = 7
 SPREADS = 6
-# Rates per 1,000 words or lines: a rule never rejects at or below its floor.
-FLOORS = {"symbol_rate": 200, "dup_line_rate": 400, "repeat_rate": 400, "word_length": 12_000}
+DEVIATIONS = 3  # of a count
+FULL_GROUP = 30  # documents of a group that needs nothing from its language
+# What each rule counts, per what, and how much one incident adds: a line that comes twice repeats many words.
+RULES = {
+    "symbol_rate": ("n_symbols", "n_words", 1),
+    "dup_line_rate": ("n_dup_lines", "n_lines", 1),
+    "repeat_rate": ("n_repeat_words", "n_words", 30),
+    "word_length": ("word_chars", "n_words", 1),
+}
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 
 
@@ -115,7 +125,7 @@ def rates(measured: DataFrame) -> DataFrame:
     )
 
 
-def sketches(rated: DataFrame, rules: Mapping[str, int] = FLOORS) -> DataFrame:
+def sketches(rated: DataFrame, rules: Iterable[str] = RULES) -> DataFrame:
     """Quantile sketches ``lang, source, rule, bucket, rows``; sketches of parts add up.
 
     Counts are summed before the shuffle, so a source with a third of all rows costs no more
@@ -129,51 +139,75 @@ def sketches(rated: DataFrame, rules: Mapping[str, int] = FLOORS) -> DataFrame:
     )
 
 
-def thresholds(sketch: DataFrame, rules: Mapping[str, int] = FLOORS, spreads: int = SPREADS) -> DataFrame:
-    """One row per language and source with the threshold of each rule.
+def limits(sketch: DataFrame, by: Sequence[str], spreads: int = SPREADS) -> DataFrame:
+    """``by, rule, size, limit``: what the upper quartile and the spread of each sketch allow.
 
-    Upper quartile plus ``spreads`` times the distance between the quartiles, at least the floor.
+    The spread is at least the width of the sketch's bucket at the upper quartile.
     """
-    group = W.partitionBy("lang", "source", "rule")
+    group = W.partitionBy(*by, "rule")
     upto = group.orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)
     ranked = sketch.withColumn("_upto", F.sum("rows").over(upto)).withColumn("_all", F.sum("rows").over(group))
     quartile = lambda q: F.min(F.when(4 * F.col("_upto") >= q * F.col("_all"), F.col("bucket")))
-    quartiles = ranked.groupBy("lang", "source", "rule").agg(quartile(1).alias("low"), quartile(3).alias("high"))
-    floor = F.create_map(*[F.lit(x) for pair in rules.items() for x in pair])
-    limit = F.greatest(F.element_at(floor, F.col("rule")), F.col("high") + spreads * (F.col("high") - F.col("low")))
-    limits = quartiles.withColumn("limit", limit)
-    return limits.groupBy("lang", "source").agg(
-        *[F.max(F.when(F.col("rule") == r, F.col("limit"))).alias(f"max_{r}") for r in rules]
+    found = ranked.groupBy(*by, "rule").agg(quartile(1).alias("low"), quartile(3).alias("high"), F.sum("rows").alias("size"))
+    width = F.pow(F.lit(2.0), F.greatest(F.lit(0), F.length(F.bin("high")) - LEADING_BITS)).cast("long")
+    return found.select(*by, "rule", "size", (F.col("high") + spreads * F.greatest(F.col("high") - F.col("low"), width)).alias("limit"))
+
+
+def thresholds(sketch: DataFrame, rules: Iterable[str] = RULES, spreads: int = SPREADS) -> DataFrame:
+    """One row per language and source with the threshold of each rule, from their own sketch.
+
+    A group of n < ``FULL_GROUP`` documents takes the rest of its weight from the sketch of its language, to which
+    the sketches of all its sources add up.
+    """
+    own = limits(sketch, ["lang", "source"], spreads)
+    whole = sketch.groupBy("lang", "rule", "bucket").agg(F.sum("rows").alias("rows"))
+    whole = limits(whole, ["lang"], spreads).select(F.col("lang").alias("_lang"), F.col("rule").alias("_rule"), F.col("limit").alias("_limit"))
+    both = own.join(whole, F.col("lang").eqNullSafe(F.col("_lang")) & (F.col("rule") == F.col("_rule")))
+    weight = F.least("size", F.lit(FULL_GROUP))
+    mixed = (weight * F.col("limit") + (FULL_GROUP - weight) * F.col("_limit")) / FULL_GROUP
+    return both.groupBy("lang", "source").agg(
+        *[F.max(F.when(F.col("rule") == r, F.floor(mixed))).alias(f"max_{r}") for r in rules], F.max("size").alias("group_size")
     )
 
 
+def beyond(count: Column, size: Column, limit: Column, incident: int = 1) -> Column:
+    """Is a count of things among ``size`` more than ``limit`` in a thousand, by more than chance?
+
+    Things come in incidents of about so many, which vary like independent events, one more or less included.
+    """
+    size, limit = size.cast("double"), limit.cast("double")
+    excess = F.lit(1000.0) * count.cast("double") - limit * size
+    chance = F.lit(1000.0 * DEVIATIONS**2 * incident) * (limit * size + F.lit(1000.0 * incident))
+    return (excess > 0) & (excess * excess > chance)
+
+
 def judge(
     documents: DataFrame,
     key: str = "doc_id",
     text: str = "text",
     lang: str = "lang",
     source: str = "source",
-    rules: Mapping[str, int] = FLOORS,
+    rules: Mapping[str, tuple[str, str, int]] = RULES,
     spreads: int = SPREADS,
 ) -> DataFrame:
     """Measures and verdict of every document: ``key, MEASURES, rates, limits, base_failed, kept``.
 
     ``base_failed`` marks too few words or too many repeated ones. ``kept`` is false for those and
-    for documents above a threshold of their language and source; null languages and sources
+    for documents beyond a threshold of their language and source; null languages and sources
     are groups like others. A null or empty text has no words and fails. Equal rows get equal
-    verdicts; an empty table gives an empty result.
+    verdicts, very long texts are measured whole, and other columns are left out, whatever they are called;
+    an empty table gives an empty result.
     """
     work = Work(documents.sparkSession, "quality")
-    rated = rates(work.keep(measure(documents, key, text, lang, source), "measured"))
-    limits = work.keep(thresholds(sketches(rated, rules), rules, spreads), "thresholds")
-    limits = limits.withColumnsRenamed({"lang": "_lang", "source": "_source"})
-    same = F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source"))
-    over = reduce(lambda a, b: a | b, [F.col(r) > F.col(f"max_{r}") for r in rules])
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+    rated = rates(work.keep(measure(documents, key, text, lang, source), "measured")).withColumn("base_failed", failed)
+    found = work.keep(thresholds(sketches(rated.filter("NOT base_failed"), rules), rules, spreads), "thresholds")
+    found = found.withColumnsRenamed({"lang": "_lang", "source": "_source"})
+    same = F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source"))
+    over = reduce(lambda a, b: a | b, [beyond(F.col(count), F.col(size), F.col(f"max_{r}"), one) for r, (count, size, one) in rules.items()])
     return (
-        rated.join(limits, same, "left")
-        .withColumn("base_failed", failed)
-        .withColumn("kept", ~failed & ~F.coalesce(over, F.lit(False)))
+        rated.join(found, same, "left")
+        .withColumn("kept", ~F.col("base_failed") & ~F.coalesce(over, F.lit(False)))
         .drop("_lang", "_source")
     )
 

@@ -194,37 +194,46 @@ rated AS (
          CASE WHEN n_words > 0 THEN 1000 * n_repeat_words // n_words ELSE 0 END AS repeat_rate,
          CASE WHEN n_words > 0 THEN 1000 * word_chars // n_words ELSE 0 END AS word_length
   FROM measured),
-rules(rule, floor) AS (VALUES {floors}),
+failing AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM rated),
 valued AS (
-  SELECT rid, lang, source, rule, floor,
-         CASE rule WHEN 'symbol_rate' THEN symbol_rate WHEN 'dup_line_rate' THEN dup_line_rate
-                   WHEN 'repeat_rate' THEN repeat_rate ELSE word_length END AS v
-  FROM rated, rules),
+  SELECT f.rid, lang, source, base_failed, r.rule, CAST(r.c AS DOUBLE) AS c, CAST(r.n AS DOUBLE) AS n, r.v, r.one
+  FROM failing f, LATERAL (VALUES
+    ('symbol_rate', n_symbols, n_words, symbol_rate, 1), ('dup_line_rate', n_dup_lines, n_lines, dup_line_rate, 1),
+    ('repeat_rate', n_repeat_words, n_words, repeat_rate, 30), ('word_length', word_chars, n_words, word_length, 1)) AS r(rule, c, n, v, one)),
 buckets AS (
-  SELECT *, v - v % CAST(pow(2, greatest(0, length(ltrim(bin(v), '0')) - {bits})) AS BIGINT) AS b FROM valued),
+  SELECT lang, source, rule, v - v % CAST(pow(2, greatest(0, length(ltrim(bin(v), '0')) - {bits})) AS BIGINT) AS b
+  FROM valued WHERE NOT base_failed),
 ranked AS (
-  SELECT *, count(*) OVER (PARTITION BY lang, source, rule ORDER BY b) AS upto,
-         count(*) OVER (PARTITION BY lang, source, rule) AS total
+  SELECT *, count(*) OVER (PARTITION BY lang, source, rule ORDER BY b) AS upto, count(*) OVER (PARTITION BY lang, source, rule) AS total,
+         count(*) OVER (PARTITION BY lang, rule ORDER BY b) AS l_upto, count(*) OVER (PARTITION BY lang, rule) AS l_total
   FROM buckets),
-limits AS (
-  SELECT lang, source, rule, greatest(any_value(floor),
-         min(b) FILTER (WHERE 4 * upto >= 3 * total) + {spreads} * (min(b) FILTER (WHERE 4 * upto >= 3 * total)
-         - min(b) FILTER (WHERE 4 * upto >= total))) AS most
+quartiles AS (
+  SELECT lang, source, rule, count(*) AS size, min(b) FILTER (WHERE 4 * upto >= total) AS low, min(b) FILTER (WHERE 4 * upto >= 3 * total) AS high
+  FROM ranked GROUP BY ALL),
+l_quartiles AS (
+  SELECT lang, rule, min(b) FILTER (WHERE 4 * l_upto >= l_total) AS l_low, min(b) FILTER (WHERE 4 * l_upto >= 3 * l_total) AS l_high
   FROM ranked GROUP BY ALL),
+limits AS (
+  SELECT q.lang, source, q.rule, floor((least(size, {full}) * (high + {spreads} * greatest(high - low,
+           CAST(pow(2, greatest(0, length(ltrim(bin(high), '0')) - {bits})) AS BIGINT)))
+         + ({full} - least(size, {full})) * (l_high + {spreads} * greatest(l_high - l_low,
+           CAST(pow(2, greatest(0, length(ltrim(bin(l_high), '0')) - {bits})) AS BIGINT)))) / CAST({full} AS DOUBLE)) AS most
+  FROM quartiles q JOIN l_quartiles l ON q.rule = l.rule AND q.lang IS NOT DISTINCT FROM l.lang),
 outliers AS (
   SELECT DISTINCT v.rid FROM valued v JOIN limits l
   ON v.rule = l.rule AND v.lang IS NOT DISTINCT FROM l.lang AND v.source IS NOT DISTINCT FROM l.source
-  WHERE v.v > l.most)
+  WHERE CAST(1000 AS DOUBLE) * c - most * n > 0
+    AND (CAST(1000 AS DOUBLE) * c - most * n) * (CAST(1000 AS DOUBLE) * c - most * n) > CAST({chance} * one AS DOUBLE) * (most * n + 1000 * one))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, symbol_rate, dup_line_rate,
-       repeat_rate, word_length, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND o.rid IS NULL AS kept
-FROM rated r LEFT JOIN outliers o USING (rid)
+       repeat_rate, word_length, base_failed, NOT base_failed AND o.rid IS NULL AS kept
+FROM failing r LEFT JOIN outliers o USING (rid)
 """
 oracle(
     "op7_adaptive_quality",
-    QUALITY_SQL.replace("{floors}", ", ".join(f"('{r}', {n})" for r, n in quality.FLOORS.items()))
-    .replace("{bits}", str(quality.LEADING_BITS))
-    .replace("{spreads}", str(quality.SPREADS)),
+    QUALITY_SQL.replace("{bits}", str(quality.LEADING_BITS))
+    .replace("{spreads}", str(quality.SPREADS))
+    .replace("{full}", str(quality.FULL_GROUP))
+    .replace("{chance}", str(1000 * quality.DEVIATIONS**2)),
 )
 
 oracle(

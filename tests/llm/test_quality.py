@@ -64,6 +64,50 @@ def test_thresholds_adapt_to_language_and_source(spark):
     assert got[201].base_failed and not got[201].kept
 
 
+def words(i, n):
+    return " ".join(f"w{i}x{k}" for k in range(n))
+
+
+def test_a_group_decides_by_its_own_sketch(spark):
+    """Far below any cutoff that suits all sources: 5 signs in 100 words, where no other text has one."""
+    signs = lambda i, n, every: " ".join(w + "#" * (k % every == 0) for k, w in enumerate(words(i, n).split()))
+    rows = [(i, words(i, 200), "en", "plain") for i in range(60)] + [(100 + i, signs(i, 200, 20 + i % 3), "en", "code") for i in range(60)]
+    rows += [(300, signs(300, 400, 20), "en", "plain"), (301, signs(301, 60, 40), "en", "plain"), (302, signs(302, 400, 2), "en", "code")]
+    got = {r.key: r for r in quality.judge(documents(spark, rows)).collect()}
+    assert all(got[i].kept for i in range(60)) and all(got[100 + i].kept for i in range(60))
+    assert got[300].symbol_rate == 50 and not got[300].kept
+    # Two signs in a short text are chance; half of all words are an outlier anywhere.
+    assert got[301].kept and not got[302].kept
+
+
+def test_small_groups_borrow_from_their_language(spark):
+    bulk = [(i, words(i, 100), "en", "bulk") for i in range(90)]
+    few = [(200 + i, words(i, 100).replace(" w", " # w"), "en", "few") for i in range(3)]
+    rated = quality.rates(quality.measure(documents(spark, bulk + few)))
+    found = {r.source: r for r in quality.thresholds(quality.sketches(rated)).collect()}
+    own = {r.source: r.limit for r in quality.limits(quality.sketches(rated), ["lang", "source"]).filter("rule = 'symbol_rate'").collect()}
+    whole = quality.limits(quality.sketches(rated).groupBy("lang", "rule", "bucket").agg({"rows": "sum"}).withColumnRenamed("sum(rows)", "rows"), ["lang"])
+    lang = whole.filter("rule = 'symbol_rate'").first().limit
+    assert found["bulk"].max_symbol_rate == own["bulk"] == quality.SPREADS and found["bulk"].group_size == 90
+    assert found["few"].max_symbol_rate == (3 * own["few"] + 27 * lang) // 30 < own["few"]
+
+
+def test_documents_that_fail_the_base_rules_set_no_threshold(spark):
+    rows = [(i, words(i, 100), "en", "s") for i in range(40)] + [(100 + i, "# " * 30, "en", "s") for i in range(200)]
+    rows += [(500, words(500, 300).replace(" w", " #w"), "en", "s")]
+    got = {r.key: r for r in quality.judge(documents(spark, rows)).collect()}
+    assert got[500].max_symbol_rate == quality.SPREADS and not got[500].kept and got[0].kept
+
+
+def test_chance_is_that_of_incidents(spark):
+    rows = [(10, 1000, 6), (16, 1000, 6), (17, 1000, 6), (3, 100, 6), (6, 100, 6), (0, 0, 6), (5, 0, 0)]
+    frame = spark.createDataFrame(rows, "c long, n long, l long")
+    for one in (1, 5):
+        for r in frame.select("c", "n", "l", quality.beyond(frame.c, frame.n, frame.l, one).alias("b")).collect():
+            mean = r.l * r.n / 1000
+            assert r.b == (r.c > mean and (r.c - mean) ** 2 > quality.DEVIATIONS**2 * one * (mean + one))
+
+
 def test_hard_rows(spark):
     frame = documents(spark, hard_rows())
     got = quality.judge(frame).collect()
