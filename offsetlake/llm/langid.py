@@ -104,19 +104,25 @@ class Model:
 
 
 def labelled_sample(labelled: DataFrame, key: str, text: str, lang: str, per_language: int, seed: int) -> DataFrame:
-    """At most ``per_language`` rows of each language, by a seeded hash.
+    """``text, lang, draw`` of at most ``per_language`` rows of each language, by a seeded hash.
 
-    Spark limits each task to as many rows of a language before the shuffle.
+    Keys and hashes are ranked, no texts; equal rows count once. The few chosen keys are broadcast, at most
+    ``per_language`` of at most ``MAX_LANGUAGES`` languages, and texts stay where they are. More languages are refused.
     """
-    first = W.partitionBy("lang").orderBy("_draw", "key", "text")
-    return (
-        labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
-        .select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang"))
-        .withColumn("_draw", F.xxhash64(F.lit(seed), "key"))
-        .withColumn("_rank", F.row_number().over(first))
-        .filter(F.col("_rank") <= per_language)
-        .drop("_rank")
+    rows = labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
+        F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(text).alias("hash")
     )
+    draw = F.xxhash64(F.lit(seed), "key", "hash")
+    first = W.partitionBy("lang").orderBy("draw", "key", "hash")
+    ranked = rows.select("key", "lang", "hash").distinct().withColumn("draw", draw).withColumn("rank", F.row_number().over(first))
+    most = per_language * MAX_LANGUAGES
+    chosen = ranked.filter(F.col("rank") <= per_language).drop("rank").limit(most + 1).toArrow()
+    languages = len(set(chosen.column("lang").to_pylist()))
+    if languages > MAX_LANGUAGES or chosen.num_rows > most:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    side = labelled.sparkSession.createDataFrame(chosen, ranked.drop("rank").schema)
+    same = rows["key"].eqNullSafe(side["key"]) & (rows["lang"] == side["lang"]) & (rows["hash"] == side["hash"])
+    return rows.join(F.broadcast(side), same).select(rows["text"], rows["lang"], "draw")
 
 
 def fit(
@@ -142,9 +148,9 @@ def fit(
         schema = pa.schema([("lang", pa.string()), ("draw", pa.int64()), ("bits", pa.binary())])
         for batch, texts in text_slices(batches, "text", 1_000_000):
             packed = [np.packbits(p.astype(bool)).tobytes() for p in presence(texts)]
-            yield record_batch(schema, [batch.column("lang"), batch.column("_draw"), packed])
+            yield record_batch(schema, [batch.column("lang"), batch.column("draw"), packed])
 
-    found = rows.mapInArrow(bits, "lang string, draw long, bits binary").toArrow().to_pandas()
+    found = rows.mapInArrow(bits, "lang string, draw long, bits binary").distinct().toArrow().to_pandas()
     found = found.sort_values(["lang", "draw", "bits"], kind="stable").reset_index(drop=True)
     languages = tuple(sorted(found["lang"].unique()))
     if len(languages) > MAX_LANGUAGES:
@@ -172,9 +178,14 @@ def fit(
 def predict(documents: DataFrame, model: Model, text: str = "text", lang_pred: str = "lang_pred", score: str = "score") -> DataFrame:
     """Documents with two more columns: the language of the whole text, and a score from 0 to 1.
 
-    ``und`` and 0 for a null text or one without a letter. Nothing is shuffled; the model, a few
+    ``und`` and 0 for a null text or one without a letter. Texts are read whole, however long; equal texts get equal
+    answers (ties go to the first language), repeated rows stay, and an empty table gives an empty result. Documents
+    that have a column of one of the new names already are refused. Nothing is shuffled; the model, a few
     hundred vectors of fixed size, travels as a broadcast variable.
     """
+    taken = {c.lower() for c in documents.columns} & {lang_pred.lower(), score.lower()}
+    if taken:
+        raise ValueError(f"the documents have columns {sorted(taken)}; name the new ones otherwise")
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,6 +202,12 @@ def predict(documents: DataFrame, model: Model, text: str = "text", lang_pred: s
 
 
 def known_documents(documents: DataFrame, model: Model, text: str = "text", least_score: float = 0.0) -> DataFrame:
-    """The documents whose text has a language: not ``und``, and a score of at least ``least_score``."""
-    named = predict(documents, model, text, "_lang_pred", "_score")
-    return named.filter((F.col("_lang_pred") != UNKNOWN) & (F.col("_score") >= least_score)).select(*documents.columns)
+    """The documents whose text has a language: not ``und``, and a score of at least ``least_score``.
+
+    They keep their columns, whatever these are called; null, empty and letterless texts go, repeated rows stay.
+    """
+    columns = documents.columns
+    free = lambda name: name if name not in {c.lower() for c in columns} else free(name + "_")
+    lang_pred, score = free("_lang_pred"), free("_score")
+    named = predict(documents, model, text, lang_pred, score)
+    return named.filter((F.col(lang_pred) != UNKNOWN) & (F.col(score) >= least_score)).select(*columns)

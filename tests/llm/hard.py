@@ -3,7 +3,8 @@
 from pyspark.sql import types as T
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
-CLASHING = ["key", "size", "_size", "rows", "taken", "copies", "id", "_key", "bucket", "lang_pred_", "n_words", "_text"]
+CLASHING = ["key", "size", "_size", "rows", "taken", "copies", "id", "_key", "bucket", "lang_pred_", "n_words", "_text",
+            "_lang_pred", "_score", "score", "lang_pred", "hash", "draw"]
 LONG = "lorem ipsum dolor sit amet " * 40_000
 
 
