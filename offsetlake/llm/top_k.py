@@ -3,7 +3,8 @@
 Candidates lie in blocks of descending length. A query first meets the block of the longest vectors;
 its k-th best score there is a threshold from the start. By Cauchy-Schwarz no block whose longest
 vector times the query's length is below the threshold can matter, so a query block travels only to a
-prefix of the blocks. Inside a block vectors are rotated by the singular vectors of all data, which
+prefix of the blocks. A task takes the blocks of its lane in order, each with the threshold that the ones
+before it raised. Inside a block vectors are rotated by the singular vectors of all data, which
 puts most of a product into its first coordinates: the partial sum plus the product of the residual
 lengths bounds the score, and only candidates whose bound reaches the threshold are scored, in
 integers.
@@ -23,7 +24,8 @@ from offsetlake.llm.common import Work, record_batch
 
 BLOCK_ROWS = 4096
 QUERY_ROWS = 512
-QUERY_GROUP = 16  # query blocks that meet a block in one task
+QUERY_GROUP = 16  # query blocks that meet a lane in one task
+LANE_BLOCKS = 4  # blocks of a lane, about
 STRIP = 512
 HEAD_SHARE = 4  # partial sums cover the first dimensions / HEAD_SHARE coordinates
 
@@ -82,14 +84,23 @@ class Best:
 
 
 def search(
-    queries: np.ndarray, query_ids: np.ndarray, thresholds: np.ndarray, block: np.ndarray, ids: np.ndarray, rotate: np.ndarray, k: int
+    queries: np.ndarray,
+    query_rows: np.ndarray,
+    thresholds: np.ndarray,
+    block: np.ndarray,
+    rows: np.ndarray,
+    ids: np.ndarray,
+    rotate: np.ndarray,
+    k: int,
+    best: Best | None = None,
 ) -> Best:
-    """The best of a block, descending in length, for each query.
+    """The best of a block, descending in length, for each query; ``best`` holds what earlier blocks gave.
 
-    Candidates that cannot reach a query's threshold may be missing.
+    ``rows`` number the rows, and no query meets its own. Candidates that cannot reach a query's
+    threshold may be missing.
     """
-    best = Best(len(queries), k)
-    thresholds = thresholds.copy()
+    best = best or Best(len(queries), k)
+    thresholds = np.maximum(thresholds, [best.least(i) for i in range(len(queries))])
     head = max(1, rotate.shape[1] // HEAD_SHARE)
     q, c = queries.astype(np.float64), block.astype(np.float64)
     q_norm, c_norm = np.linalg.norm(q, axis=1), np.linalg.norm(c, axis=1)
@@ -106,7 +117,7 @@ def search(
             break  # all later vectors are shorter
         bound = q_head[active] @ c_head[strip].T + np.outer(q_rest[active], c_rest[strip]) + slack[active, None]
         hopeful = bound >= thresholds[active, None]
-        hopeful &= ids[strip] != query_ids[active, None]
+        hopeful &= rows[strip] != query_rows[active, None]
         columns = np.flatnonzero(hopeful.any(0))
         if not len(columns):
             continue
@@ -123,12 +134,12 @@ def search(
     return best
 
 
-def _packed_rows(ids: np.ndarray, vectors: np.ndarray) -> tuple[bytes, bytes]:
-    return ids.astype("<i8").tobytes(), vectors.astype("<i8").tobytes()
+def _packed_rows(*parts: np.ndarray) -> list[bytes]:
+    return [part.astype("<i8").tobytes() for part in parts]
 
 
-def _unpacked_rows(ids: bytes, vectors: bytes, dims: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(ids, "<i8"), np.frombuffer(vectors, "<i8").reshape(-1, dims)
+def _unpacked_rows(rows: bytes, ids: bytes, vectors: bytes, dims: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return np.frombuffer(rows, "<i8"), np.frombuffer(ids, "<i8"), np.frombuffer(vectors, "<i8").reshape(-1, dims)
 
 
 def top_k(
@@ -143,30 +154,32 @@ def top_k(
     """The k best candidates of each query: ``query_id, rank, vec_id, score``.
 
     ``vector`` holds integers. Queries are the rows for which ``is_query`` holds, candidates all rows but
-    the query's own key. Equal scores rank by key. Rows with a null key or vector take no part; of
-    rows with the same key that with the smallest vector does. Shorter vectors count as filled
-    up with zeros; scores must fit in 64 bits. Queries with fewer than k candidates get all of them; an empty table gives an
-    empty result.
+    the query's own row. Equal scores rank by key. Rows with a null key or vector take no part. Rows that repeat a
+    key are rows like others: each is a candidate, and each that asks gets a ranking of its own.
+    Shorter vectors count as filled up with zeros; scores must fit in 64 bits. Queries with fewer than k candidates get all
+    of them; an empty table gives an empty result. Other columns, whatever their names, are ignored.
 
     The driver holds the block of the longest vectors (``block_rows`` rows), the rotation (dimensions
     squared), and one length per block.
     """
     spark = vectors.sparkSession
     work = Work(spark, "top-k")
-    out = "query_id long, vec_id long, score long"
+    out = "query_row long, query_id long, vec_id long, score long"
     rows = vectors.filter(F.col(key).isNotNull() & F.col(vector).isNotNull())
     rows = rows.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<long>").alias("vector"), is_query.alias("asks"))
-    rows = rows.groupBy("id").agg(F.min("vector").alias("vector"), F.max("asks").alias("asks"))
+    rows = rows.withColumn("row", F.monotonically_increasing_id())  # fixed by the write that follows
     square = F.aggregate("vector", F.lit(0.0), lambda total, x: total + x.cast("double") * x.cast("double"))
     rows = work.keep(rows.withColumn("norm", F.sqrt(square)), "rows")
-    dims = rows.agg(F.max(F.size("vector"))).first()[0] or 0
-    ranks = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    dims, total = rows.agg(F.coalesce(F.max(F.size("vector")), F.lit(0)), F.count(F.lit(1))).first()
+    ranks = W.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
     if not dims:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     rotate = rotation(rows, dims)
 
+    packed_columns = ("rows", "ids", "vectors")
+
     def in_blocks(size: int, name: str):
-        schema = pa.schema([(name, pa.int64()), ("longest", pa.float64()), ("ids", pa.binary()), ("vectors", pa.binary())])
+        schema = pa.schema([(name, pa.int64()), ("longest", pa.float64()), *((c, pa.binary()) for c in packed_columns)])
 
         def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             from pyspark import TaskContext
@@ -174,9 +187,10 @@ def top_k(
             number, waiting = TaskContext.get().partitionId() << 24, []
 
             def block(table: pa.Table) -> pa.RecordBatch:
-                ids, data = table.column("id").to_numpy(), _matrix(table.column("vector"), dims)
+                numbers, ids = table.column("row").to_numpy(), table.column("id").to_numpy()
+                data = _matrix(table.column("vector"), dims)
                 longest = float(table.column("norm").to_numpy()[0])
-                return record_batch(schema, [[number], [longest], *([v] for v in _packed_rows(ids, data))])
+                return record_batch(schema, [[number], [longest], *([v] for v in _packed_rows(numbers, ids, data))])
 
             for batch in batches:
                 waiting.append(batch)
@@ -190,58 +204,60 @@ def top_k(
 
         return packed
 
-    order = [F.desc("norm"), F.asc("id")]
-    narrow = rows.select("id", "vector", "norm")
-    sorted_rows = narrow.repartitionByRange(*order).sortWithinPartitions(*order)
+    # A lane is a range of lengths, sized by rows whatever the input's partitions.
+    order = [F.desc("norm"), F.asc("id"), F.asc("row")]
+    lanes = -(-total // (LANE_BLOCKS * block_rows))
+    sorted_rows = rows.drop("asks").repartitionByRange(lanes, *order).sortWithinPartitions(*order)
     blocks = work.keep(
-        sorted_rows.mapInArrow(in_blocks(block_rows, "block"), "block long, longest double, ids binary, vectors binary"), "blocks"
+        sorted_rows.mapInArrow(in_blocks(block_rows, "block"), "block long, longest double, rows binary, ids binary, vectors binary"),
+        "blocks",
     )
     lengths = sorted((r.block, r.longest) for r in blocks.select("block", "longest").collect())
     first = blocks.filter(F.col("block") == lengths[0][0]).first()
-    shared = spark.sparkContext.broadcast((rotate, bytes(first.ids), bytes(first.vectors), lengths))
+    shared = spark.sparkContext.broadcast((rotate, *(bytes(first[c]) for c in packed_columns), lengths))
 
     def with_reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rotate, ids, data, lengths = shared.value
-        head_ids, head = _unpacked_rows(ids, data, dims)
+        rotate, *head, lengths = shared.value
+        head_rows, head_ids, head = _unpacked_rows(*head, dims)
         longest = np.array([n for _, n in lengths])
-        schema = pa.schema(
-            [("ids", pa.binary()), ("vectors", pa.binary()), ("least", pa.binary()), ("blocks", pa.list_(pa.int64()))]
-        )
+        schema = pa.schema([*((c, pa.binary()) for c in packed_columns), ("least", pa.binary()), ("lanes", pa.list_(pa.int64()))])
         for batch in batches:
             for start in range(0, batch.num_rows, query_rows):
                 piece = batch.slice(start, query_rows)
-                own, asked = piece.column("id").to_numpy(), _matrix(piece.column("vector"), dims)
-                best = search(asked, own, np.full(len(own), -np.inf), head, head_ids, rotate, k)
+                own, asked = piece.column("row").to_numpy(), _matrix(piece.column("vector"), dims)
+                best = search(asked, own, np.full(len(own), -np.inf), head, head_rows, head_ids, rotate, k)
                 least = np.array([best.least(i) for i in range(len(own))])
                 norms = np.linalg.norm(asked.astype(np.float64), axis=1)
                 # The first block whose longest vector is too short for every query of the piece.
                 reach = (np.outer(norms, longest) * (1 + 1e-6) + 1e-6 >= least[:, None]).any(0)
-                wanted = [lengths[i][0] for i in np.flatnonzero(reach)]
+                wanted = sorted({lengths[i][0] >> 24 for i in np.flatnonzero(reach)})
+                packed = _packed_rows(own, piece.column("id").to_numpy(), asked)
                 yield record_batch(
-                    schema, [*([v] for v in _packed_rows(own, asked)), [least.tobytes()], pa.array([wanted], pa.list_(pa.int64()))]
+                    schema, [*([v] for v in packed), [least.tobytes()], pa.array([wanted], pa.list_(pa.int64()))]
                 )
 
-    asks = rows.filter("asks").select("id", "vector").mapInArrow(
-        with_reach, "ids binary, vectors binary, least binary, blocks array<long>"
+    asks = rows.filter("asks").select("row", "id", "vector").mapInArrow(
+        with_reach, "rows binary, ids binary, vectors binary, least binary, lanes array<long>"
     )
     asks = work.keep(asks, "queries")
     groups = max(1, -(-asks.count() // QUERY_GROUP))
-    asks = asks.withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(groups))).withColumn("block", F.explode("blocks")).drop("blocks")
-    wide = blocks.drop("longest").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
+    asks = asks.withColumn("part", F.pmod(F.xxhash64("rows"), F.lit(groups))).withColumn("lane", F.explode("lanes")).drop("lanes")
+    wide = blocks.drop("longest").withColumn("lane", F.shiftright("block", 24)).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
 
-    def meet(asked: pa.Table, block: pa.Table) -> pa.Table:
-        schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+    def meet(asked: pa.Table, lane: pa.Table) -> pa.Table:
+        schema = pa.schema([("query_row", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+        blocks = [_unpacked_rows(*(r[c] for c in packed_columns), dims) for r in lane.sort_by("block").to_pylist()]
         parts = []
-        for right in block.to_pylist():
-            ids, data = _unpacked_rows(right["ids"], right["vectors"], dims)
-            for left in asked.to_pylist():
-                own, queries = _unpacked_rows(left["ids"], left["vectors"], dims)
-                best = search(queries, own, np.frombuffer(left["least"]), data, ids, shared.value[0], k)
-                found = [len(s) for s in best.scores]
-                parts.append((np.repeat(own, found), np.concatenate(best.ids), np.concatenate(best.scores)))
+        for left in asked.to_pylist():
+            own, own_ids, queries = _unpacked_rows(*(left[c] for c in packed_columns), dims)
+            least, best = np.frombuffer(left["least"]), Best(len(own), k)
+            for numbers, ids, data in blocks:
+                search(queries, own, least, data, numbers, ids, shared.value[0], k, best)
+            found = [len(s) for s in best.scores]
+            parts.append((np.repeat(own, found), np.repeat(own_ids, found), np.concatenate(best.ids), np.concatenate(best.scores)))
         if not parts:
             return schema.empty_table()
         return pa.table([np.concatenate(p) for p in zip(*parts, strict=True)], schema=schema)
 
-    found = asks.groupBy("part", "block").cogroup(wide.groupBy("part", "block")).applyInArrow(meet, out)
+    found = asks.groupBy("part", "lane").cogroup(wide.groupBy("part", "lane")).applyInArrow(meet, out)
     return found.withColumn("rank", F.row_number().over(ranks)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

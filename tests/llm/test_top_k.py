@@ -11,18 +11,17 @@ SCHEMA = "vec_id long, embedding array<float>, vector string, score long"
 
 
 def brute(rows, k):
-    """All inner products; a row per key, that with the smallest vector."""
-    by_key = {}
+    """All inner products of different rows, whatever their keys."""
+    good = []
     for key, v in rows:
         if key is None or v is None or any(x is None or not math.isfinite(x) for x in v):
             continue
-        ints = [math.floor(64 * float(np.float32(x))) for x in v]
-        by_key[key] = min(by_key.get(key, ints), ints)
+        good.append((key, [math.floor(64 * float(np.float32(x))) for x in v]))
     out = []
-    for query, q in by_key.items():
+    for own, (query, q) in enumerate(good):
         if query % 20:
             continue
-        scored = sorted((-sum(map(lambda a, b: a * b, q, v)), key) for key, v in by_key.items() if key != query)
+        scored = sorted((-sum(map(lambda a, b: a * b, q, v)), key) for row, (key, v) in enumerate(good) if row != own)
         out += [(query, rank, key, -score) for rank, (score, key) in enumerate(scored[:k], 1)]
     return sorted(out)
 
@@ -53,6 +52,12 @@ def test_bad_rows_take_no_part(spark):
     assert found(spark, rows) == brute(rows, 5)
 
 
+def test_rows_that_repeat_a_key_are_all_candidates(spark):
+    rows = [(0, [1.0, 1.0]), (1, [5.0, 5.0]), (1, [2.0, 2.0]), (1, [5.0, 5.0]), (0, [1.0, 1.0]), (0, [3.0, -1.0])]
+    rows += [(i % 7 * 10, [float(i % 5), float(i % 3)]) for i in range(60)]
+    assert found(spark, rows, block_rows=4, query_rows=2) == brute(rows, 5)
+
+
 def test_short_vectors_and_empty_tables(spark):
     got = found(spark, [(0, [1.0]), (1, [1.0, 1.0]), (2, [])])
     assert got == [(0, 1, 1, 4096), (0, 2, 2, 0)]
@@ -67,7 +72,7 @@ def test_bounds_prune_and_keep_the_best():
     queries = block[::400]
     rotate = np.linalg.eigh(block.T @ block)[1][:, ::-1]
     ids, own = np.arange(2000), np.full(len(queries), -1)
-    best = top_k.search(queries, own, np.full(len(queries), -np.inf), block, ids, rotate, 10)
+    best = top_k.search(queries, own, np.full(len(queries), -np.inf), block, ids, ids, rotate, 10)
     for i, q in enumerate(queries):
         scores = block @ q
         order = np.lexsort((ids, -scores))[:10]
