@@ -25,7 +25,7 @@ from offsetlake.llm.common import Work, record_batch
 BLOCK_ROWS = 4096
 QUERY_ROWS = 512
 QUERY_GROUP = 16  # query blocks that meet a lane in one task
-LANE_BLOCKS = 4  # blocks of a lane, about
+LANE_BLOCKS = 4  # full blocks that a lane holds the rows of
 STRIP = 512
 HEAD_SHARE = 4  # partial sums cover the first dimensions / HEAD_SHARE coordinates
 
@@ -179,7 +179,7 @@ def top_k(
     packed_columns = ("rows", "ids", "vectors")
 
     def in_blocks(size: int, name: str):
-        schema = pa.schema([(name, pa.int64()), ("longest", pa.float64()), *((c, pa.binary()) for c in packed_columns)])
+        schema = pa.schema([(name, pa.int64()), ("longest", pa.float64()), ("n", pa.int64()), *((c, pa.binary()) for c in packed_columns)])
 
         def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             from pyspark import TaskContext
@@ -190,7 +190,7 @@ def top_k(
                 numbers, ids = table.column("row").to_numpy(), table.column("id").to_numpy()
                 data = _matrix(table.column("vector"), dims)
                 longest = float(table.column("norm").to_numpy()[0])
-                return record_batch(schema, [[number], [longest], *([v] for v in _packed_rows(numbers, ids, data))])
+                return record_batch(schema, [[number], [longest], [len(ids)], *([v] for v in _packed_rows(numbers, ids, data))])
 
             for batch in batches:
                 waiting.append(batch)
@@ -204,22 +204,25 @@ def top_k(
 
         return packed
 
-    # A lane is a range of lengths, sized by rows whatever the input's partitions.
     order = [F.desc("norm"), F.asc("id"), F.asc("row")]
-    lanes = -(-total // (LANE_BLOCKS * block_rows))
-    sorted_rows = rows.drop("asks").repartitionByRange(lanes, *order).sortWithinPartitions(*order)
+    lane_rows = LANE_BLOCKS * block_rows
+    sorted_rows = rows.drop("asks").repartitionByRange(-(-total // lane_rows), *order).sortWithinPartitions(*order)
     blocks = work.keep(
-        sorted_rows.mapInArrow(in_blocks(block_rows, "block"), "block long, longest double, rows binary, ids binary, vectors binary"),
+        sorted_rows.mapInArrow(in_blocks(block_rows, "block"), "block long, longest double, n long, rows binary, ids binary, vectors binary"),
         "blocks",
     )
-    lengths = sorted((r.block, r.longest) for r in blocks.select("block", "longest").collect())
+    # A lane is consecutive blocks with lane_rows rows, whatever partitions they were made in.
+    lengths, before = [], 0
+    for r in blocks.select("block", "longest", "n").orderBy("block").collect():
+        lengths.append((r.block, r.longest, before // lane_rows))
+        before += r.n
     first = blocks.filter(F.col("block") == lengths[0][0]).first()
     shared = spark.sparkContext.broadcast((rotate, *(bytes(first[c]) for c in packed_columns), lengths))
 
     def with_reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rotate, *head, lengths = shared.value
         head_rows, head_ids, head = _unpacked_rows(*head, dims)
-        longest = np.array([n for _, n in lengths])
+        longest = np.array([length for _, length, _ in lengths])
         schema = pa.schema([*((c, pa.binary()) for c in packed_columns), ("least", pa.binary()), ("lanes", pa.list_(pa.int64()))])
         for batch in batches:
             for start in range(0, batch.num_rows, query_rows):
@@ -230,7 +233,7 @@ def top_k(
                 norms = np.linalg.norm(asked.astype(np.float64), axis=1)
                 # The first block whose longest vector is too short for every query of the piece.
                 reach = (np.outer(norms, longest) * (1 + 1e-6) + 1e-6 >= least[:, None]).any(0)
-                wanted = sorted({lengths[i][0] >> 24 for i in np.flatnonzero(reach)})
+                wanted = sorted({lengths[i][2] for i in np.flatnonzero(reach)})
                 packed = _packed_rows(own, piece.column("id").to_numpy(), asked)
                 yield record_batch(
                     schema, [*([v] for v in packed), [least.tobytes()], pa.array([wanted], pa.list_(pa.int64()))]
@@ -242,7 +245,13 @@ def top_k(
     asks = work.keep(asks, "queries")
     groups = max(1, -(-asks.count() // QUERY_GROUP))
     asks = asks.withColumn("part", F.pmod(F.xxhash64("rows"), F.lit(groups))).withColumn("lane", F.explode("lanes")).drop("lanes")
-    wide = blocks.drop("longest").withColumn("lane", F.shiftright("block", 24)).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
+    def with_lane(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lanes = {block: lane for block, _, lane in shared.value[-1]}
+        for batch in batches:
+            yield batch.append_column("lane", pa.array([lanes[b] for b in batch.column("block").to_pylist()], pa.int64()))
+
+    wide = blocks.drop("longest", "n").mapInArrow(with_lane, "block long, rows binary, ids binary, vectors binary, lane long")
+    wide = wide.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
 
     def meet(asked: pa.Table, lane: pa.Table) -> pa.Table:
         schema = pa.schema([("query_row", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
