@@ -37,6 +37,22 @@ def test_equals_serial_fold(spark, window, bucket, seed):
     assert {(r.table, r.seq) for r in accepted.collect()} == serial(attempts, window)
 
 
+@pytest.mark.parametrize(("window", "blocks"), [(1, 2), (2, 3), (3, 3)])
+def test_alternating_retries_take_a_bounded_number_of_rounds(spark, monkeypatch, window, blocks):
+    """Retries at the edge of the window: each round of refinement would settle one of them."""
+    rng = random.Random(window)
+    attempts = [("ab"[i % 2], i, rng.randrange(100, 999) if rng.random() < 0.2 else (i // 2) % blocks) for i in range(160)]
+    rows = [(t, s, "t", 0, b, f"v{b}") for t, s, b in attempts]
+    frame = dedup.block_ids(spark.createDataFrame(rows, SCHEMA), ["table", "seq"], ["v"])
+    steps = []
+    monkeypatch.setattr(dedup, "written", lambda rows, name, original=dedup.written: steps.append(name) or original(rows, name))
+    for rounds in (0, 2, dedup.ROUNDS):
+        steps.clear()
+        accepted = dedup.accepted_blocks(frame, window, bucket=9, rounds=rounds)
+        assert {(r.table, r.seq) for r in accepted.collect()} == serial(attempts, window)
+        assert len(steps) <= 1 + rounds
+
+
 def test_equal_records_in_other_blocks_stay(spark):
     """Same position range but other content is another block; equal rows inside one both stay."""
     rows = [("a", 0, "t", 0, 5, "x"), ("a", 1, "t", 0, 5, "y"), ("a", 2, "t", 0, 5, "x")]
