@@ -56,7 +56,11 @@ def wide_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same records in log form."""
-    return wide_log(spark, sf_dir).select(
+    return packed(wide_log(spark, sf_dir))
+
+
+def packed(wide: DataFrame) -> DataFrame:
+    return wide.select(
         "topic",
         "partition",
         "offset",

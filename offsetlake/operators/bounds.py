@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from offsetlake.operators.audit import broken_rules, union, violation
-from offsetlake.operators.skew import dense_index, following
+from offsetlake.operators.skew import CONTROL_ROWS, dense_index, following, pin, running_sum
 
 TP = ["topic", "partition"]
 BUCKET = 1_000_000
+RUN_SLOT = 1024  # least offsets of a slot of runs
 
 
 def position_name():
@@ -128,3 +130,37 @@ def resequence(rows: DataFrame, batch_records: int, bucket: int = BUCKET) -> Dat
     return dense_index(rows, TP, ["offset"], split, "new_offset").withColumn(
         "batch", F.expr(f"new_offset div {batch_records}")
     )
+
+
+def dense_runs(log: DataFrame, width: int) -> DataFrame:
+    """Runs of consecutive offsets, cut at every ``width`` offsets: ``topic, partition, slot, first, last, new_first``.
+
+    ``new_first`` is the dense offset of the run's first record. Only position columns are shuffled, by slot.
+    """
+    at = W.partitionBy(*TP, "slot").orderBy("offset")
+    rows = log.select(*TP, "offset", F.expr(f"offset div {width}").alias("slot"))
+    runs = (
+        rows.withColumn("_run", F.col("offset") - F.row_number().over(at))
+        .groupBy(*TP, "slot", "_run")
+        .agg(F.min("offset").alias("first"), F.max("offset").alias("last"))
+    )
+    size = F.col("last") - F.col("first") + 1
+    ends = running_sum(runs, TP, "first", size, F.expr(f"first div {BUCKET}"), "_end")
+    return ends.select(*TP, "slot", "first", "last", (F.col("_end") - size).alias("new_first"))
+
+
+def renumber(rows: DataFrame, batch_records: int, span: int, max_rows: int = CONTROL_ROWS) -> DataFrame:
+    """``resequence`` of a stored log, whose records stay where they are.
+
+    The runs between the gaps are found from the positions and broadcast, if there are no more than
+    ``max_rows``; ``span``, how many offsets the rows cover, sets the slots so that half of those are left for
+    gaps, and a record meets the few runs of its slot. With more gaps records are shuffled by offset bucket.
+    """
+    width = max(RUN_SLOT, -(-2 * span // max_rows))
+    runs = pin(dense_runs(rows, width), max_rows)
+    if runs is None:
+        return resequence(rows, batch_records)
+    slotted = rows.withColumn("slot", F.expr(f"offset div {width}"))
+    met = slotted.join(F.broadcast(runs), [*TP, "slot"]).filter("offset BETWEEN first AND last")
+    new_offset = (F.col("new_first") + F.col("offset") - F.col("first")).alias("new_offset")
+    return met.select(*rows.columns, new_offset).withColumn("batch", F.expr(f"new_offset div {batch_records}"))

@@ -2,8 +2,8 @@
 
 Layout::
 
-    data/step=<n>/*.parquet     records of one step
-    progress/<n>.json           per topic-partition: next source offset, next journal offset
+    data/step=<n>/topic=<t>/partition=<p>/*.parquet   records of one step
+    progress/<n>.json                                 per topic-partition: next source offset, next journal offset
 
 A step becomes visible with its progress file; a rerun overwrites a step that has none.
 """
@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from offsetlake import schemas
 from offsetlake.operators.audit import ViolationError, require
-from offsetlake.operators.bounds import TP, audit_ranges, log_bounds, resequence
+from offsetlake.operators.bounds import TP, audit_ranges, log_bounds, renumber
 from offsetlake.operators.recovery import audit_targets
 from offsetlake.operators.skew import join_control
 from offsetlake.operators.snapshot import read_range
@@ -80,6 +80,7 @@ def copy_range(
     Progress is saved per step of ``step_offsets`` source offsets (default: one step); a step is
     an offset range, so with gaps it holds fewer records. Gaps are legal as long as the log still
     reaches back to the step's start, which is checked before each step; a call as ``bounds`` fetches them again.
+    Payloads are read once and not shuffled, unless the step has very many gaps; see ``renumber``.
     """
     spark = log.sparkSession
     require(audit_targets(starts, targets))
@@ -94,8 +95,9 @@ def copy_range(
         require(audit_ranges(_vector(spark, low), targets, current(bounds)))
         rows = read_range(log, _vector(spark, low), _vector(spark, high))
         base = _vector(spark, {tp: new for tp, (_, new) in at.items()})
+        span = sum(high[tp] - low[tp] for tp in at)
         rows = join_control(
-            resequence(rows, batch_records), base.withColumnRenamed("offset", "_base"), TP
+            renumber(rows, batch_records, span), base.withColumnRenamed("offset", "_base"), TP
         )
         new_offset = F.col("_base") + F.col("new_offset")
         rows = rows.withColumns(
@@ -106,7 +108,7 @@ def copy_range(
             }
         )
         path = f"{dest}/data/step={done}"
-        storage.overwriting(rows.select(*COPIED.names)).parquet(path)
+        storage.overwriting(rows.select(*COPIED.names)).partitionBy(*TP).parquet(path)
         copied = {
             (r.topic, r.partition): r.high
             for r in log_bounds(spark.read.schema(COPIED).parquet(path)).collect()
@@ -119,5 +121,7 @@ def copy_range(
 def read_copy(spark: SparkSession, dest: str) -> DataFrame:
     """Records of finished steps."""
     done = len([n for n in storage.children(spark, f"{dest}/progress") if not n.startswith(".")])
+    if not storage.has_children(spark, f"{dest}/data"):
+        return spark.createDataFrame([], COPIED)
     rows = spark.read.schema(T.StructType([*COPIED.fields, STEP])).parquet(f"{dest}/data")
     return rows.filter(F.col("step") < done).select(*COPIED.names)

@@ -352,6 +352,18 @@ def test_copy_resumes_after_a_crash(spark, path, monkeypatch):
     assert 2 not in got
 
 
+@pytest.mark.parametrize("most", [100_000, 40, 3])
+def test_renumbering_equals_resequencing_without_a_shuffle(spark, path, monkeypatch, most):
+    """Few runs are broadcast and records stay in place; beyond the bound they are shuffled."""
+    monkeypatch.setattr(bounds, "RUN_SLOT", 16)
+    log = records(spark, 0, 300).filter("offset % 23 <> 3 AND NOT (partition = 1 AND offset BETWEEN 20 AND 70)")
+    got = bounds.renumber(log, 10, 300, max_rows=most)
+    wanted = bounds.resequence(log, 10)
+    assert sorted(map(tuple, got.select(*wanted.columns).collect())) == sorted(map(tuple, wanted.collect()))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert ("hashpartitioning" in plan) == (most == 3)
+
+
 def test_copy_refuses_expired_progress_and_ranges(spark, path):
     log = records(spark, 0, 90)
     limits, dest = bounds.log_bounds(log), path("copy")
