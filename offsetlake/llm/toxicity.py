@@ -12,7 +12,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from functools import cache
 from itertools import takewhile
@@ -63,6 +63,7 @@ LOOK_ALIKES = {
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g"}
 SIGNS = {"@": "a", "$": "s", "!": "i", "|": "i", "€": "e"}
 _INNER = re.compile(r"(?<=\w)[@$!|€](?=\w)")
+_TOKEN = re.compile(r"[\w@$!|€]+")
 _INVISIBLE = re.compile("[­​-‏⁠﻿]")
 
 
@@ -83,16 +84,32 @@ def _folds() -> dict[int, str]:
     return table | {ord("l"): "i"}
 
 
-def folded(text: str) -> list[str]:
-    """The folded words of a text."""
+def folded(text: str, known: Callable[[str], bool] | None = None) -> list[str]:
+    """The folded words of a text.
+
+    A sign between two letters stands for a letter. Signs at the start of a word or several in a row may as
+    well be prices, mentions or marks, so they only do if ``known`` holds for the word that they spell.
+    """
     if not text.isascii():
         text = _INVISIBLE.sub("", unicodedata.normalize("NFKC", text))
     text = text.casefold()
     if any(sign in text for sign in SIGNS):
-        text = _INNER.sub(lambda m: SIGNS[m.group()], text)
+        text = _TOKEN.sub(lambda m: _spelled(m.group(), known), text)
     return text.translate(_folds()).split()
 
 
+def _spelled(token: str, known: Callable[[str], bool] | None) -> str:
+    """A run of letters and signs, with the signs that stand for letters replaced."""
+    if not any(sign in token for sign in SIGNS):
+        return token
+    plain = _INNER.sub(lambda m: SIGNS[m.group()], token)
+    if known is not None and any(sign in plain for sign in SIGNS):
+        word = "".join(SIGNS.get(c, c) for c in token.rstrip("".join(SIGNS)))
+        if known(word.translate(_folds())):
+            return f" {word} "
+    return plain
+
+
 def terms_of(words: Sequence[str]) -> set[str]:
     """The terms that a text could be matched by: its words, and the stems of its words."""
     found = {f" {word} " for word in words}
@@ -107,6 +124,7 @@ class Lexicon:
     def __init__(self, weights: Mapping[str, float], exceptions: Sequence[str] = EXCEPTIONS):
         import ahocorasick
 
+        self.weights = weights
         self.automaton = ahocorasick.Automaton()
         for phrase in exceptions:
             self.automaton.add_word(f" {' '.join(folded(phrase))} ", (len(" ".join(folded(phrase))) + 2, None))
@@ -114,8 +132,19 @@ class Lexicon:
             self.automaton.add_word(term, (len(term), weight))
         self.automaton.make_automaton()
 
+    def known(self, word: str) -> bool:
+        """Would this folded word match a term?"""
+        return f" {word} " in self.weights or any(f" {word[:n]}" in self.weights for n in STEMS if len(word) > n)
+
+    def words(self, text: str) -> list[str]:
+        """The folded words of a text, with signs read as letters where they spell a term."""
+        return folded(text, self.known)
+
     def match(self, words: Sequence[str]) -> float:
-        """Sum of the weights of all matched words; of several terms at a word the heaviest counts."""
+        """Sum of the weights of all matched words; of several terms at a word the heaviest counts.
+
+        Matches and exception phrases are walked through once, both by their place.
+        """
         text = f" {' '.join(words)} "
         hits: dict[int, float] = {}
         excepted: list[tuple[int, int]] = []
@@ -125,10 +154,17 @@ class Lexicon:
                 excepted.append((start, end))
             elif weight > hits.get(start, 0):
                 hits[start] = weight
-        for start, end in excepted:
-            for at in [at for at in hits if start <= at < end]:
-                del hits[at]
-        return sum(hits.values())
+        if not excepted:
+            return sum(hits.values())
+        excepted.sort()
+        total, reach, i = 0.0, -1, 0
+        for at in sorted(hits):
+            while i < len(excepted) and excepted[i][0] <= at:
+                reach = max(reach, excepted[i][1])
+                i += 1
+            if at >= reach:
+                total += hits[at]
+        return total
 
 
 def features(matched: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -242,7 +278,7 @@ def fit(
         lexicon = Lexicon(shared.value)
         schema = pa.schema([("label", pa.int32()), ("matched", pa.float64()), ("words", pa.int64())])
         for batch, texts in text_slices(batches, "text", 1_000_000):
-            split = [folded(one) for one in texts]
+            split = [lexicon.words(one) for one in texts]
             yield record_batch(schema, [batch.column("label"), [float(lexicon.match(w)) for w in split], [len(w) for w in split]])
 
     seen = rows.mapInArrow(matched, "label int, matched double, words long").toArrow().to_pandas()
@@ -266,7 +302,7 @@ def score(documents: DataFrame, model: Model, key: str = "doc_id", text: str = "
         model = shared.value
         lexicon = Lexicon(model.weights, model.exceptions)
         for batch, texts in text_slices(batches, "_text", 1_000_000):
-            split = [folded(one) for one in texts]
+            split = [lexicon.words(one) for one in texts]
             hits, words = np.array([lexicon.match(w) for w in split], float), np.array([len(w) for w in split], np.int64)
             out = pa.schema([batch.schema.field(0), ("matched", pa.float64()), ("n_words", pa.int64()), ("score", pa.float64())])
             yield record_batch(out, [batch.column(0), hits, words, model.scores(hits, words)])

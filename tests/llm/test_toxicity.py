@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -35,6 +36,48 @@ def test_disguises_fold_to_one_word(text):
     assert toxicity.folded(text) == toxicity.folded("idiot")
 
 
+def test_signs_spell_terms_only():
+    """At the start of a word or in a row signs are letters if the word is a term, else what they were."""
+    weights = {f" {toxicity.folded(word)[0]} ": 3.0 for word in toxicity.SEEDS} | {" zork": 4.0}
+    lexicon = toxicity.Lexicon(weights)
+    for text in ("$tupid", "@sshole!!", "a$$hole", "($hit)", "so $tup!d, really", "!d!0t"):
+        assert lexicon.match(lexicon.words(text)) == 3, text
+    assert lexicon.match(lexicon.words("@zork zorkan$ idiot!!you")) == 4 + 4 + 3
+    for text in ("$100", "@sam and @user", "wow!!great", "a|b", "!!!", "$", "me@idiotic.example", "pay $5, $tupendous"):
+        assert lexicon.match(lexicon.words(text)) == 0 and lexicon.words(text) == toxicity.folded(text), text
+
+
+def naive(lexicon_weights, words):
+    """Every term and exception phrase at every word, one by one."""
+    text = f" {' '.join(words)} "
+    starts = [0, *(i for i in range(1, len(text) - 1) if text[i] == " ")]
+    phrases = [f" {' '.join(toxicity.folded(phrase))} " for phrase in toxicity.EXCEPTIONS]
+    spans = [(at, at + len(p) - 1) for at in starts for p in phrases if text.startswith(p, at)]
+    total = 0
+    for at in starts:
+        weight = max((w for term, w in lexicon_weights.items() if text.startswith(term, at)), default=0)
+        if not any(a <= at < b for a, b in spans):
+            total += weight
+    return total
+
+
+def test_matching_equals_a_naive_scan():
+    weights = {" trash ": 3.0, " idiot ": 2.0, " idio": 1.0, " ciown ": 2.5, " soap": 0.5, " scum ": 3.0}
+    lexicon, draw = toxicity.Lexicon(weights), random.Random(5)
+    pool = "trash can bag idiot idiots proof clown fish class circus soap scum pond sore loser a".split()
+    for n in (0, 1, 2, 5, 40, 200):
+        for _ in range(20):
+            words = toxicity.folded(" ".join(draw.choice(pool) for _ in range(n)))
+            assert lexicon.match(words) == pytest.approx(naive(weights, words))
+
+
+def test_a_very_long_text_of_matches_takes_linear_time():
+    lexicon = toxicity.Lexicon({" idiot ": 3.0, " trash ": 2.0})
+    start = time.process_time()
+    assert lexicon.match(lexicon.words("idiot trash can " * 100_000)) == 300_000
+    assert time.process_time() - start < 20
+
+
 def test_exception_phrases_and_word_ends():
     lexicon = toxicity.Lexicon({" trash ": 3.0, " ciown ": 2.0, " zork": 4.0})
     match = lambda text: lexicon.match(toxicity.folded(text))
