@@ -14,7 +14,7 @@ from offsetlake.plans import copy
 from offsetlake.plans import recover as recovery
 from offsetlake.sources import backup as backups
 from offsetlake.sources import log as logs
-from offsetlake.sources import storage
+from offsetlake.sources import prints, storage
 from offsetlake.sources import sweep as sweeping
 from offsetlake.sources import table as tables
 from offsetlake.streaming import dedup as dedup_stream
@@ -196,7 +196,7 @@ def ranged(spark, sf, start):
 )
 def copy_range(spark, sf):
     """In two steps; the second call finds everything copied."""
-    log = fx.log(spark, sf).join(committed_log(spark, sf).select(*POSITION), POSITION, "left_semi")
+    log = fx.packed(committed_log(spark, sf))
     starts, targets, limits = ranged(spark, sf, "2024-01-05")
     dest = storage.work_dir(spark, "copy")
     half = targets.join(starts.withColumnRenamed("offset", "s"), ["topic", "partition"]).agg(
@@ -294,6 +294,59 @@ def reconcile_tables(spark, sf):
     return backups.reconcile(left, right, bucket=100)
 
 
+def printed_pair(spark, sf):
+    """Two stored tables of the log in three batches; the right one lost and changed rows in the last."""
+    sides = [target(spark, name) for name in ("left", "right")]
+    pieces, _ = parted(spark, sf, 10, 20)
+    touched = F.col("partition") == 1
+    lost = touched & (F.col("offset") % 1500 == 3)
+    changed = F.when(touched & (F.col("offset") % 1000 == 7), F.lit(b'{"k": -1}')).otherwise(F.col("value"))
+    for number, piece in enumerate(pieces):
+        other = piece.filter(~lost).withColumn("value", changed) if number == 2 else piece
+        for to, rows in zip(sides, (piece, other), strict=True):
+            delivery.append_decoded(rows, to, f"e-{number}")
+            if number < 2:
+                prints.update_prints(spark, to.path, fx.PAYLOAD, 100)
+    return sides
+
+
+# Rows that the third batch has on one side only; a broken payload that is replaced becomes a row.
+PRINTED = """, third AS (
+         SELECT l.*, g.k FROM log l JOIN cuts c ON c.topic = l.topic AND c.part = l.part AND c.d = 20
+         LEFT JOIN good g ON g.topic = l.topic AND g.part = l.part AND g.off = l.off
+         WHERE l.off >= c.off AND l.part = 1),
+       sides AS (
+         SELECT 'left' AS side, topic, part, off, k FROM third
+         WHERE k IS NOT NULL AND (off % 1000 = 7 OR off % 1500 = 3)
+         UNION ALL
+         SELECT 'right', topic, part, off, -1 FROM third WHERE off % 1000 = 7 AND NOT off % 1500 = 3)
+"""
+
+
+@check("fingerprint_diff", PRINTED + """SELECT side, topic, part AS "partition", off AS "offset", k, 1 AS copies FROM sides""")
+def fingerprint_diff(spark, sf):
+    """Row differences by the stored trees; the third batch has no stored leaves yet."""
+    left, right = printed_pair(spark, sf)
+    return prints.diff_tables(spark, left.path, right.path, fx.PAYLOAD, 100)
+
+
+@check(
+    "fingerprint_slots",
+    PRINTED
+    + """, slots AS (
+         SELECT topic, part, off // 100 AS slot, count(*) FILTER (WHERE side = 'left') AS a, count(*) FILTER (WHERE side = 'right') AS b
+         FROM sides GROUP BY topic, part, off // 100),
+       held AS (SELECT topic, part, off // 100 AS slot, count(*) AS n FROM good GROUP BY ALL)
+       SELECT s.topic, s.part AS "partition", s.slot, CAST(coalesce(n, 0) AS BIGINT) AS left_rows,
+              CAST(coalesce(n, 0) - a + b AS BIGINT) AS right_rows
+       FROM slots s LEFT JOIN held h ON h.topic = s.topic AND h.part = s.part AND h.slot = s.slot""",
+)
+def fingerprint_slots(spark, sf):
+    """Buckets of 100 offsets whose sums differ, found from the table downwards."""
+    left, right = printed_pair(spark, sf)
+    return prints.differing(*(prints.leaves(spark, to.path, fx.PAYLOAD, 100) for to in (left, right)))
+
+
 @check("stream_delivery", ALL_GOOD)
 def stream_delivery(spark, sf):
     """A growing journal, a restart from the checkpoint, and a replay after the checkpoint is lost."""
