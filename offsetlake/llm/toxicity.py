@@ -63,7 +63,8 @@ LOOK_ALIKES = {
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g"}
 SIGNS = {"@": "a", "$": "s", "!": "i", "|": "i", "€": "e"}
 _INNER = re.compile(r"(?<=\w)[@$!|€](?=\w)")
-_TOKEN = re.compile(r"[\w@$!|€]+")
+# Possessive from the start of a word, so that words without signs cost one look and no call.
+_TOKEN = re.compile(r"(?<![\w@$!|€])\w*+[@$!|€][\w@$!|€]*")
 _INVISIBLE = re.compile("[­​-‏⁠﻿]")
 
 
@@ -100,7 +101,7 @@ def folded(text: str, known: Callable[[str], bool] | None = None) -> list[str]:
 
 def _spelled(token: str, known: Callable[[str], bool] | None) -> str:
     """A run of letters and signs, with the signs that stand for letters replaced."""
-    if not any(sign in token for sign in SIGNS):
+    if not token.strip("".join(SIGNS)):
         return token
     plain = _INNER.sub(lambda m: SIGNS[m.group()], token)
     if known is not None and any(sign in plain for sign in SIGNS):
