@@ -14,7 +14,7 @@ from offsetlake.plans import copy
 from offsetlake.plans import recover as recovery
 from offsetlake.sources import backup as backups
 from offsetlake.sources import log as logs
-from offsetlake.sources import prints, storage
+from offsetlake.sources import prints, storage, zones
 from offsetlake.sources import sweep as sweeping
 from offsetlake.sources import table as tables
 from offsetlake.streaming import dedup as dedup_stream
@@ -376,6 +376,24 @@ def stream_follow(spark, sf):
     return tables.read_table(spark, to.path, fx.PAYLOAD).select(*ROWS)
 
 
+@check("stream_from_vector", ALL_GOOD)
+def stream_from_vector(spark, sf):
+    """A restored table follows a mapped journal by vectors: once, then after the journal grew, from the checkpoint."""
+    _, archive, names, vector = backed_up(spark, sf)
+    to = target(spark, "followed")
+    recovery.restore(spark, archive, names, "records", fx.PAYLOAD, to, "r-1")
+    journal, checkpoint = storage.work_dir(spark, "journal"), storage.work_dir(spark, "checkpoint")
+    limits = bounds.log_bounds(fx.wide_log(spark, sf))
+    (first, second), _ = parted(spark, sf, 28)
+    logs.write_segments(first, journal, 10_000)
+    zones.update_zones(spark, journal)
+    following.follow_journal(journal, vector, limits, to, checkpoint).awaitTermination()
+    logs.write_segments(second, journal, 10_000)
+    zones.update_zones(spark, journal)
+    following.follow_journal(journal, vector, limits, to, checkpoint).awaitTermination()
+    return tables.read_table(spark, to.path, fx.PAYLOAD).select(*ROWS)
+
+
 @check("stream_replay", good_until(28))
 def stream_replay(spark, sf):
     """A restored table is replayed to its target in splits and stops there; a second run adds nothing."""

@@ -123,9 +123,13 @@ def deliver(
     context: bool = True,
     dead_letters: bool = True,
     interval: str | None = None,
+    exact: bool = False,
 ) -> StreamingQuery:
     """Start delivery of a log stream. Without ``interval`` it stops when the log is consumed.
 
+    An ``exact`` stream begins where all targets stand, so nothing is looked up to drop what other checkpoints
+    delivered; a batch that goes back is refused as ever.
+
     Records of topics that no target names are dropped. Each table is its own unit: a crash
     between two tables of one batch leaves the first committed and skips it on the retry. A
     batch that feeds several tables is kept while they are written.
@@ -136,7 +140,7 @@ def deliver(
     for target in targets:
         tables.table_schema(target.schema)
         target.ends = tables.folded_ends(spark, target.path)
-        floors[target.path] = _floors(spark, target, epoch)
+        floors[target.path] = None if exact else _floors(spark, target, epoch)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         key = f"{epoch_of(batch.sparkSession, checkpoint)}-{batch_id}"

@@ -23,6 +23,7 @@ from offsetlake.operators.splits import Vector, plan_splits, waves
 from offsetlake.schemas import INT, LONG, OFFSETS, STRING, struct
 from offsetlake.sources import storage
 from offsetlake.sources import table as tables
+from offsetlake.sources.vector_stream import read_from_vector
 from offsetlake.streaming.deliver import Target, append_decoded, deliver
 
 Bounds = DataFrame | Callable[[], DataFrame]
@@ -136,7 +137,33 @@ def follow(
     only moved forward. Records below the ledger are dropped, and a log that no longer reaches
     back to where the table stands is an error, never a silent gap.
     """
-    spark = stream.sparkSession
+    standing_at(starts, bounds, target)
+    return deliver(stream, [target], checkpoint, tolerance, interval=interval)
+
+
+def follow_journal(
+    journal: str,
+    starts: DataFrame,
+    bounds: DataFrame,
+    target: Target,
+    checkpoint: str,
+    tolerance: str = "all",
+    interval: str | None = None,
+    max_offsets: int | None = None,
+) -> StreamingQuery:
+    """``follow`` a journal by its zone map and vectors; nothing from before where the table stands is read.
+
+    Once there is a checkpoint, the stream goes on from its vector. A table that was moved by something else since
+    then refuses the next batch.
+    """
+    standing = standing_at(starts, bounds, target)
+    stream = read_from_vector(starts.sparkSession, journal, standing, topics=target.topics, max_offsets=max_offsets)
+    return deliver(stream, [target], checkpoint, tolerance, interval=interval, exact=True)
+
+
+def standing_at(starts: DataFrame, bounds: DataFrame, target: Target) -> DataFrame:
+    """The vector at which a table can be followed on from ``starts``; an empty ledger is initialised to it."""
+    spark = starts.sparkSession
     initial = vector_to_ledger(starts)
     actual = state_rows(target, spark)
     if actual.isEmpty():
@@ -156,6 +183,6 @@ def follow(
     ]
     standing = spark.createDataFrame(now, OFFSETS)
     require(audit_ranges(standing, standing, bounds))
-    return deliver(stream, [target], checkpoint, tolerance, interval=interval)
+    return standing
 
 
