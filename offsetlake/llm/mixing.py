@@ -10,7 +10,7 @@ form, so no row per block ever exists.
 
 Only DataFrame operations are used. Documents are reduced to narrow rows before any shuffle, equal
 rows to one row with a count, and a source of any size is split into shards of about
-``shard_words`` words.
+``shard_words`` words. Documents without a word go round shards and windows.
 """
 
 from __future__ import annotations
@@ -132,8 +132,9 @@ def mix(
     ``copies`` rounds taken / size up or down by a seeded draw, so that whole documents have
     the same expectation. A null text has no words, a null source is the last source, and a
     null key a key like others. Rows equal in key, source and size are dealt with as one and share
-    what it takes evenly, rounded down; an empty table gives an empty result. The result depends on
-    the rows and the seed alone, not on their order or partitioning.
+    what it takes evenly, rounded down; an empty table gives an empty result. A very long text is one row
+    with its word count, and columns besides the three named ones are not read, whatever their names.
+    The result depends on the rows and the seed alone, not on their order or partitioning.
     """
     work = Work(documents.sparkSession, "mix")
     size = F.coalesce(F.col("_size"), F.lit(0))
@@ -165,11 +166,9 @@ def mix(
         .withColumn("_draw", draw)
         .withColumn("_shard", F.pmod(F.xxhash64(F.lit(seed + 1), F.col("key"), F.col("size")), F.col("_shards")))
     )
-    shards = (
-        units.groupBy("_source", "_shard")
-        .agg(F.sum("_size").alias("_words"), F.max("_quota").alias("_quota"))
-        .filter(F.col("_words") > 0)
-    )
+    # However many documents of a source have no word, they are in no shard: the mix takes nothing of them.
+    worded, bare = units.filter("_size > 0"), units.filter("_size = 0")
+    shards = worded.groupBy("_source", "_shard").agg(F.sum("_size").alias("_words"), F.max("_quota").alias("_quota"))
     shards = apportion(shards, ["_source"], "_shard", "_words", "_quota").select(
         F.col("_source").alias("_s"),
         F.col("_shard").alias("_n"),
@@ -191,10 +190,14 @@ def mix(
     per_row = F.least(F.coalesce(F.floor(F.col("_taken") / F.col("rows")), F.lit(0)), cap * F.col("size"))
     chance = F.pmod(F.xxhash64(F.lit(seed + 3), F.col("key"), F.col("size")), F.lit(1 << 20)) / float(1 << 20)
     copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + chance)).otherwise(0)
-    return (
-        units.withColumn("_end", F.sum("_size").over(line))
+    lined = (
+        worded.withColumn("_end", F.sum("_size").over(line))
         .join(shards, (F.col("_source") == F.col("_s")) & (F.col("_shard") == F.col("_n")), "left")
         .withColumn("_taken", taken)
+        .select(*units.columns, "_taken")
+    )
+    return (
+        lined.unionByName(bare, allowMissingColumns=True)
         .withColumn("taken", per_row.cast("long"))
         .withColumn("copies", copies.cast("int"))
         .withColumn("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))

@@ -103,3 +103,18 @@ def test_empty(spark):
     frame = documents(spark, [])
     assert mixing.mix(frame).collect() == []
     assert mixing.mixed_documents(frame).collect() == []
+
+
+def test_documents_without_words_are_in_no_window(spark):
+    """A source that is nearly all empty texts: one row of its few shards' windows per text with words."""
+    full = [(i, "some words of a text " * (1 + i % 5), "en", "abc"[i % 3]) for i in range(60)]
+    bare = [(1000 + i, None if i % 2 else " \n", "en", "a") for i in range(3000)]
+    want = {r.doc_id: r.asDict() for r in mixing.mix(documents(spark, full)).collect()}
+    mixed = mixing.mix(documents(spark, full + bare))
+    got = {r.doc_id: r.asDict() for r in mixed.collect()}
+    assert {k: v for k, v in got.items() if k < 1000} == want
+    assert all((v["taken"], v["copies"], v["size"]) == (0, 0, 0) for k, v in got.items() if k >= 1000) and len(got) == 3060
+    assert all(v["source_size"] == want[0]["source_size"] for k, v in got.items() if k >= 1000)
+    plan = mixed._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("Window [sum(") :].split("Union")[0]
+    assert "(_size" in below and "> 0)" in below
