@@ -374,20 +374,27 @@ def write_flat(
 def scan_flat(files: DataFrame, separator: int, block_bytes: int = SCAN_BYTES) -> DataFrame:
     """Documents of flat files ``path, ids, width``: ``path, document, start, n_tokens, closed``.
 
-    Blocks of all files are searched on their own. A prefix scan over the blocks of each file, which
-    carries the separators counted so far and the place of the last one, numbers the documents and joins
-    those that cross blocks. ``n_tokens`` leaves out the separator; ids after the last one are a
-    document that is not ``closed``. A file without ids has no document.
+    Blocks of all files are searched on their own, and what they find is written once. A prefix scan over the
+    blocks of each file, one narrow row a block, carries the separators counted so far and the place of
+    the last one; joined back to the blocks it numbers the documents and closes those that cross blocks, so
+    a file of any size is spread over tasks. ``n_tokens`` leaves out the separator; ids after the last one are a
+    document that is not ``closed``. A file without ids has no document, an empty table gives an empty
+    result, a document may span any number of blocks, and a file that is listed twice is read once.
+    Other columns are not read, whatever their names.
     """
+    work = Work(files.sparkSession, "flat-scan")
     per_block = F.floor(F.lit(block_bytes) / F.col("width"))
     blocks = (
         files.filter("ids > 0")
+        .select("path", "ids", "width")
+        .distinct()
         .select("path", "ids", "width", F.explode(F.sequence(F.lit(0), F.ceil(F.col("ids") / per_block) - 1)).alias("block"))
         .withColumn("first", F.col("block") * per_block)
         .withColumn("count", F.least(per_block, F.col("ids") - F.col("first")))
         .repartition("path", "block")
     )
-    schema = pa.schema([("path", pa.string()), ("ids", pa.int64()), ("block", pa.int64()), ("places", pa.list_(pa.int64()))])
+    numbers = [("n", pa.int64()), ("top", pa.int64()), ("places", pa.list_(pa.int64()))]
+    schema = pa.schema([("path", pa.string()), ("ids", pa.int64()), ("block", pa.int64()), ("final", pa.bool_()), *numbers])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -396,22 +403,27 @@ def scan_flat(files: DataFrame, separator: int, block_bytes: int = SCAN_BYTES) -
                 with fs.open_input_file(name) as source:
                     data = source.read_at(one["count"] * one["width"], one["first"] * one["width"])
                 found = np.flatnonzero(np.frombuffer(data, f"<u{one['width']}") == separator) + one["first"]
-                yield record_batch(schema, [[one["path"]], [one["ids"]], [one["block"]], pa.array([found], pa.list_(pa.int64()))])
+                final = one["first"] + one["count"] == one["ids"]
+                top = int(found[-1]) if len(found) else None
+                places = pa.array([found], pa.list_(pa.int64()))
+                yield record_batch(schema, [[one["path"]], [one["ids"]], [one["block"]], [final], [len(found)], [top], places])
 
-    found = blocks.mapInArrow(search, "path string, ids long, block long, places array<long>")
+    found = work.keep(
+        blocks.mapInArrow(search, "path string, ids long, block long, final boolean, n long, top long, places array<long>"), "blocks"
+    )
     earlier = W.partitionBy("path").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    last_block = F.col("block") == F.max("block").over(W.partitionBy("path"))
-    scanned = (
-        found.withColumn("n", F.size("places"))
-        .withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
-        .withColumn("last", F.coalesce(F.max(F.array_max("places")).over(earlier), F.lit(-1)))
-        .withColumn("final", last_block)
+    carried = found.select(
+        "path",
+        "block",
+        F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"),
+        F.coalesce(F.max("top").over(earlier), F.lit(-1)).alias("last"),
     )
+    scanned = found.hint("merge").join(carried.hint("merge"), ["path", "block"])
     # The rest after a file's last separator ends where the file does.
-    rest = F.greatest(F.col("last"), F.coalesce(F.array_max("places"), F.lit(-1))) + 1
+    rest = F.greatest(F.col("last"), F.coalesce("top", F.lit(-1))) + 1
     ends = F.when(F.col("final") & (rest < F.col("ids")), F.concat("places", F.array("ids"))).otherwise(F.col("places"))
     each = scanned.withColumn("ends", ends).select(
-        "path", "ids", "before", "last", "n", "ends", F.posexplode("ends").alias("place", "end")
+        "path", "ids", "before", "last", "ends", F.posexplode("ends").alias("place", "end")
     )
     start = F.when(F.col("place") > 0, F.get("ends", F.col("place") - 1)).otherwise(F.col("last")) + 1
     return each.select(

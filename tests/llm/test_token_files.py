@@ -114,6 +114,13 @@ def test_separator_scan_over_block_boundaries(spark, path):
     for block_bytes in (2, 6, 14, 1 << 20):
         got = token_files.scan_flat(files, separator, block_bytes).collect()
         assert sorted(map(tuple, got)) == sorted(wanted)
+    listed = files.union(files).selectExpr("*", "1 AS n", "2 AS block", "'x' AS places", "true AS final")
+    found = token_files.scan_flat(listed, separator, 14)
+    assert sorted(map(tuple, found.collect())) == sorted(wanted)
+    # The scan over a file's blocks sees no places of separators.
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<path:string,block:bigint,n:bigint,top:bigint>" in plan
+    assert token_files.scan_flat(files.limit(0), separator).collect() == []
 
 
 def test_scanned_documents(spark, tokenizer):
