@@ -65,6 +65,13 @@ def test_join_control_is_the_same_beyond_the_bound(spark, hot, how):
     assert sorted(map(tuple, large.collect()), key=repr) == want
 
 
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_a_repeated_control_table_is_never_broadcast(spark, hot, how):
+    control = spark.createDataFrame([("hot",), ("k1",), ("zz",)], "key STRING")
+    plan = skew.join_control(hot[1], control, ["key"], how, max_rows=2)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_pin_is_bounded(spark):
     assert skew.pin(spark.range(10), 9) is None
     assert skew.pin(spark.range(10), 10).count() == 10
