@@ -113,6 +113,38 @@ def test_segments_change_nothing_that_is_read(spark, path):
         catalogs.commit_catalog(spark, place, {"backup_id": "x"}, {"generation": 11}, 10)
 
 
+def test_a_long_tail_of_commits_is_listed_and_not_named(spark, path, monkeypatch):
+    place = path("catalog")
+    history(spark, place, 0, 4)
+    catalogs.write_delta(spark, place)
+    history(spark, place, 4, 9)
+    whole = latest(spark, place)
+    monkeypatch.setattr(catalogs, "NAMED", 2)
+    assert latest(spark, place) == whole
+    tail = catalogs.read_catalog(spark, place).filter("log_offset > 9").select("log_offset").collect()
+    assert sorted(r.log_offset for r in tail) == list(range(10, 20))
+    assert catalogs.write_delta(spark, place) == 9 and latest(spark, place) == whole
+
+
+def test_commits_on_a_mounted_folder_start_no_shells(spark, path, monkeypatch):
+    place = path("catalog")
+    monkeypatch.setattr(storage, "_fs", lambda *_: pytest.fail("went through Hadoop's local file system"))
+    history(spark, place, 0, 3)
+    with pytest.raises(ViolationError, match="catalog-stale-generation"):
+        history(spark, place, 2, 3)
+    assert sorted(os.listdir(f"{place}/commits")) == [f"{n:020d}.json" for n in (1, 2, 3)]
+
+
+def test_a_folder_without_links_is_published_to_by_renames(spark, path, monkeypatch):
+    def refused(*_):
+        raise PermissionError("no links here")
+
+    monkeypatch.setattr(os, "link", refused)
+    where = f"{path('dir')}/file"
+    assert storage.publish_text(spark, where, "first") and not storage.publish_text(spark, where, "second")
+    assert storage.read_text(spark, where) == "first" and storage.children(spark, where.rsplit("/", 1)[0]) == ["file"]
+
+
 def test_unfinished_segments_are_not_read(spark, path):
     place = path("catalog")
     history(spark, place, 0, 5)
