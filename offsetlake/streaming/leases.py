@@ -1,7 +1,7 @@
 """Leases over an unbounded event stream: each token's life is emitted when it ends.
 
-A token's state is its life so far, one value, and its undecided slots of one TTL, a map; an event touches
-its own slot only. A timer in event time wakes the token up when a slot or the life may be decided.
+A token's state is its life so far and its undecided slots of one TTL, a value each: one call of the store a
+token and micro-batch, not one an event or slot, as the slots are few and calls cost more than they do. A timer in event time wakes the token up when a slot or the life may be decided.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from collections.abc import Iterable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from offsetlake import schemas
@@ -26,8 +27,11 @@ SESSIONS = schemas.struct(
 )
 CONNECTORS = schemas.LEASE_EVENTS["connectors"].dataType
 LIFE = schemas.struct(start=schemas.LONG, last=schemas.LONG, connectors=CONNECTORS)
-SLOT = schemas.struct(slot=schemas.LONG)
-SEEN = schemas.struct(first=schemas.LONG, last=schemas.LONG, pause=schemas.LONG, resume=schemas.LONG, connectors=CONNECTORS)
+SEEN = T.StructType([
+    *schemas.struct(slot=schemas.LONG, first=schemas.LONG, last=schemas.LONG, pause=schemas.LONG, resume=schemas.LONG).fields,
+    T.StructField("connectors", CONNECTORS),
+])
+SLOTS = T.StructType([T.StructField("slots", T.ArrayType(SEEN))])
 
 
 def _fold(batches: Iterable[pd.DataFrame], ttl: int) -> list[dict]:
@@ -35,22 +39,19 @@ def _fold(batches: Iterable[pd.DataFrame], ttl: int) -> list[dict]:
     slots: dict[int, dict] = {}
     for events in batches:
         micros = events["ts"].astype("int64") // (1000 if "ns" in str(events["ts"].dtype) else 1)
-        for slot, part in events.assign(us=micros).groupby(micros // ttl):
-            seen = slots.setdefault(
-                int(slot), {"slot": int(slot), "first": None, "last": None, "pause": None, "resume": None, "connectors": None}
-            )
-            first, last = int(part["us"].min()), int(part["us"].max())
-            seen["first"] = first if seen["first"] is None else min(first, seen["first"])
-            seen["last"] = last if seen["last"] is None else max(last, seen["last"])
-            for event in ("pause", "resume"):
-                rows = part[part["event"] == event]
-                if rows.empty:
-                    continue
-                at = int(rows["us"].min())
-                if seen[event] is None or at < seen[event]:
-                    seen[event] = at
-                    if event == "pause":
-                        seen["connectors"] = list(rows.loc[rows["us"].idxmin(), "connectors"])
+        for us, event, connectors in zip(micros.tolist(), events["event"].tolist(), events["connectors"].tolist(), strict=True):
+            slot = us // ttl
+            seen = slots.get(slot)
+            if seen is None:
+                seen = slots[slot] = {"slot": slot, "first": us, "last": us, "pause": None, "resume": None, "connectors": None}
+            elif us < seen["first"]:
+                seen["first"] = us
+            elif us > seen["last"]:
+                seen["last"] = us
+            if event in ("pause", "resume") and (seen[event] is None or us < seen[event]):
+                seen[event] = us
+                if event == "pause":
+                    seen["connectors"] = list(connectors)
     return [slots[slot] for slot in sorted(slots)]
 
 
@@ -75,6 +76,7 @@ def _merge(slots: list[dict], new: list[dict]) -> list[dict]:
         old = merged.setdefault(slot["slot"], slot)
         if old is slot:
             continue
+        old = merged[slot["slot"]] = dict(old)
         old["first"], old["last"] = min(old["first"], slot["first"]), max(old["last"], slot["last"])
         for event in ("pause", "resume"):
             if slot[event] is not None and (old[event] is None or slot[event] < old[event]):
@@ -115,33 +117,39 @@ class LeaseLives(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.life = handle.getValueState("life", LIFE)
-        self.slots = handle.getMapState("slots", SLOT, SEEN)
+        self.slots = handle.getValueState("open", SLOTS)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        for slot in _fold(rows, self.ttl):
-            at = (slot["slot"],)
-            old = [_named(slot["slot"], self.slots.getValue(at))] if self.slots.containsKey(at) else []
-            self.slots.updateValue(at, _plain(_merge(old, [slot])[0]))
-        return self._advance(key, timerValues)
+        held = self._held()
+        return self._advance(key, timerValues, held, _merge(held, _fold(rows, self.ttl)))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        return self._advance(key, timerValues)
+        held = self._held()
+        return self._advance(key, timerValues, held, held)
+
+    def _held(self) -> list[dict]:
+        """The undecided slots of the token, ascending: one call of the store, however many there are."""
+        found = self.slots.get()[0] if self.slots.exists() else []
+        return [dict(zip(SEEN.names, seen, strict=True)) for seen in found]
 
-    def _advance(self, key, timerValues) -> Iterator[pd.DataFrame]:
-        before = sorted((_named(at[0], seen) for at, seen in self.slots.iterator()), key=lambda s: s["slot"])
+    def _advance(self, key, timerValues, held, slots) -> Iterator[pd.DataFrame]:
         life = self.life.get() if self.life.exists() else None
-        life = (life[0], life[1], list(life[2])) if life is not None else None
-        life, left, ended = _decide(life, before, self.ttl, timerValues.getCurrentWatermarkInMs() * 1000)
+        before = life = (life[0], life[1], list(life[2])) if life is not None else None
+        life, left, ended = _decide(life, slots, self.ttl, timerValues.getCurrentWatermarkInMs() * 1000)
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
         if ended is not None:
-            self.life.clear()
-            self.slots.clear()
+            if before is not None:
+                self.life.clear()
+            if held:
+                self.slots.clear()
             yield _life(key[0], life, *ended)
             return
-        for slot in before[: len(before) - len(left)]:
-            self.slots.removeKey((slot["slot"],))
-        if life is not None:
+        if left and left is not held:
+            self.slots.update(([tuple(seen[name] for name in SEEN.names) for seen in left],))
+        elif held and not left:
+            self.slots.clear()
+        if life is not None and life != before:
             self.life.update(life)
         wake = [(left[0]["slot"] + 1) * self.ttl] if left else []
         if life is not None and (not left or left[0]["first"] - life[1] >= self.ttl):
@@ -153,14 +161,6 @@ class LeaseLives(StatefulProcessor):
         pass
 
 
-def _plain(slot: dict) -> tuple:
-    return tuple(slot[name] for name in SEEN.names)
-
-
-def _named(slot: int, seen: tuple) -> dict:
-    return {"slot": int(slot), **dict(zip(SEEN.names, seen, strict=True))}
-
-
 def stream_sessions(events: DataFrame, ttl_seconds: float, delay: str) -> DataFrame:
     """``lease_sessions`` for a stream: (token, connectors, start, end, ended_by), in append mode.
 

@@ -158,3 +158,41 @@ def test_events_may_arrive_in_any_order_within_the_delay(spark, path, seed):
 def test_a_renewal_in_time_is_not_beaten_by_a_later_event(spark, path):
     parts = [[("t", ["u"], "pause", 0), ("t", ["u"], "renew", TTL + 20)], [("t", ["u"], "renew", TTL - 5)]]
     assert streamed(spark, path, parts, "1 hour") == simulate([r for part in parts for r in part])
+
+
+def test_calls_of_the_store_do_not_grow_with_events():
+    """A token with 2 or 200 slots in a micro-batch costs the same calls."""
+    import pandas as pd
+
+    from offsetlake.streaming.leases import LeaseLives
+
+    calls = []
+
+    class Store:
+        def __init__(self, *_):
+            self.held = {}
+
+        def __getattr__(self, name):
+            def call(*given):
+                calls.append(name)
+                if name == "update":
+                    self.held["value"] = given[0]
+                return {"exists": "value" in self.held, "get": self.held.get("value"), "listTimers": []}.get(name)
+
+            return call
+
+    class Handle(Store):
+        getValueState = getMapState = lambda self, *_: Store()
+
+    class Timers:
+        getCurrentWatermarkInMs = lambda self: 0
+
+    def cost(slots):
+        lives = LeaseLives(1_000_000)
+        lives.init(Handle())
+        calls.clear()
+        rows = pd.DataFrame({"ts": pd.to_datetime(range(slots), unit="s"), "event": "renew", "connectors": [["u"]] * slots})
+        assert list(lives.handleInputRows(("t",), iter([rows]), Timers())) == []
+        return len(calls)
+
+    assert cost(2) == cost(200) <= 6
