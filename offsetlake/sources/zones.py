@@ -7,6 +7,9 @@ that came since. A range read joins it with the ranges and opens only the files
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,13 +25,27 @@ ZONES = schemas.struct(
     file=schemas.STRING, topic=schemas.STRING, partition=schemas.INT, low=schemas.LONG, high=schemas.LONG, rows=schemas.LONG, bytes=schemas.LONG
 )
 LISTED = 100_000  # files that a read names one by one
+LISTING = 4  # tasks a core that list folders
+
+
+@contextmanager
+def few_listing_tasks(spark: SparkSession) -> Iterator[None]:
+    """While files are listed: a few tasks a core. Spark takes one for each folder or named file, up to 10,000."""
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(LISTING * spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def list_files(spark: SparkSession, path: str) -> DataFrame:
     """``file, bytes, modified`` of all data files below a path; nothing is opened."""
     if not storage.has_children(spark, path):
         return spark.createDataFrame([], "file STRING, bytes LONG, modified TIMESTAMP")
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path)
+    with few_listing_tasks(spark):
+        listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path)
     return listed.select(F.col("path").alias("file"), F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
 
 
@@ -50,7 +67,8 @@ def update_zones(spark: SparkSession, path: str) -> int | None:
     if not some:
         return None
     rows = _positions(spark, path, some if len(some) <= LISTED else None)
-    if len(some) > LISTED:
+    if len(some) > LISTED and complete(spark, f"{path}/_zones"):
+        # Without a map so far, every file is fresh.
         rows = join_control(rows, fresh, ["file"], "left_semi")
     zones = rows.groupBy("file", *TP).agg(
         F.min("offset").alias("low"), (F.max("offset") + 1).alias("high"), F.count(F.lit(1)).alias("rows"), F.max("bytes").alias("bytes")
@@ -64,7 +82,8 @@ def update_zones(spark: SparkSession, path: str) -> int | None:
 def _reader(spark: SparkSession, path: str, schema: T.StructType, files: list[str] | None) -> DataFrame:
     """All files below the path, or some of them; partition columns come from their directories either way."""
     reader = spark.read.schema(schema).option("basePath", path)
-    return reader.parquet(*files) if files is not None else reader.parquet(path)
+    with few_listing_tasks(spark):
+        return reader.parquet(*files) if files is not None else reader.parquet(path)
 
 
 def _positions(spark: SparkSession, path: str, files: list[str] | None) -> DataFrame:

@@ -71,6 +71,22 @@ def test_many_files_fall_back_to_the_whole_scan(spark, path, monkeypatch):
     assert len(places(found)) == 67
 
 
+def test_listing_takes_a_few_tasks_a_core(spark, path, monkeypatch):
+    monkeypatch.setattr(zones, "LISTING", 1, raising=False)
+    journal, context = path("journal"), spark.sparkContext
+    logs.write_segments(records(spark, 0, 400), journal, 2)
+    most = max(32, context.defaultParallelism)
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(name)
+    context.setJobGroup("listing", "listing")
+    found = zones.list_files(spark, journal)
+    tracker = context.statusTracker()
+    stages = [s for job in tracker.getJobIdsForGroup("listing") for s in tracker.getJobInfo(job).stageIds]
+    assert stages and max(tracker.getStageInfo(s).numTasks for s in stages) <= most
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert found.count() > most and spark.conf.get(name) == before
+
+
 def test_empty_journals_and_ranges(spark, path):
     journal = path("journal")
     assert zones.update_zones(spark, journal) is None
