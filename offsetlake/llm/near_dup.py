@@ -12,6 +12,8 @@ classes is compared in tiles: its largest class needs no comparison with itself,
 and blocks of that class. A tile holds each text once, multiplies sparse weights as dense columns, and returns
 no pairs but a spanning forest of its links. Members of buckets beyond ``TILED`` texts get longer bands
 first, which part texts that are merely alike.
+
+Document frequencies count a large group of near copies once, by a sketch over all texts (``large_groups``).
 """
 
 from __future__ import annotations
@@ -32,11 +34,17 @@ SHINGLE = 5
 SIMILARITY = 0.8
 SHORT = (12, 3)  # bands and rows: 0.9998 of the pairs at 0.8 share a band
 LONG = (100, 12)  # 0.9992 of the pairs at 0.8, 0.07 of those at 0.55
-# The inverse document frequency saturates below one document in 2 ** IDF_BITS. Far beyond, the
-# shingles that a large group of near copies shares would weigh so little against their few
-# edits that the group would fall apart.
-IDF_BITS = 2
-CELL_BITS = 16
+# The inverse document frequency saturates below one text in 2 ** RARE_BITS, or SUPPORT texts in a smaller table (fewer
+# give a frequency that is off by more than an eighth). Where SUPPORT texts are a quarter of the table or more, each
+# text counts, and one in 2 ** IDF_BITS is the bound: beyond it, the shingles that a large group of near copies
+# shares would weigh so little against their few edits that the group would fall apart.
+IDF_BITS, RARE_BITS = 2, 8
+SUPPORT = 64
+# Keys and least hashes a key: 0.99 of the texts at 0.8 share a key, 0.02 of those at a third.
+GROUP = (16, 6)
+GROUP_BITS = 12  # groups of up to one text in 2 ** GROUP_BITS count as they are
+UNIT = 1 << 30  # one text, in counts that shares of a text add up to
+CELL_BITS = 18
 SMALL_BUCKET = 16  # texts
 TILED = 4096
 BLOCK_TEXTS, BLOCK_WEIGHT = 512, 1_000_000.0  # of one side of a tile
@@ -177,62 +185,121 @@ def signature(distinct: np.ndarray, weights: np.ndarray, shape: tuple[int, int]
     return band
 
 
-def inverse_frequencies(texts: DataFrame, rows: int) -> Weights:
-    """Exact document frequencies of all shingles that occur in more than ``rows / 2 ** IDF_BITS`` texts.
+@cache
+def _edges() -> np.ndarray:
+    n = GROUP[0] * GROUP[1]
+    return np.arange(n, dtype=_U) * _U((1 << 64) // n)
+
+
+def group_keys(texts: list[np.ndarray]) -> np.ndarray:
+    """Keys of each text, a row a text, of the least hashes in some of the equal ranges; an empty range takes that of the next.
+
+    ``texts`` are distinct shingles, ascending.
+    """
+    least = np.zeros((len(texts), GROUP[1], GROUP[0]), _U)
+    for i, distinct in enumerate(texts):
+        least[i].flat = distinct.take(distinct.searchsorted(_edges()), mode="wrap")
+    keys = np.arange(1, GROUP[0] + 1, dtype=_U)
+    for n in range(GROUP[1]):
+        keys = mixed(keys * _U(0x9E3779B97F4A7C15) + least[:, n])
+    return keys
+
+
+@dataclass(frozen=True)
+class Groups:
+    """Keys that many texts share, and how many each."""
+
+    keys: np.ndarray  # sorted
+    sizes: np.ndarray
+
+    def shares(self, texts: list[np.ndarray]) -> np.ndarray:
+        """What each text counts: ``UNIT``, or its share of that in the largest group which it has a key of."""
+        if not len(self.keys) or not texts:
+            return np.full(len(texts), UNIT)
+        keys = group_keys(texts)
+        at = np.searchsorted(self.keys, keys).clip(max=len(self.keys) - 1)
+        return np.maximum(1, UNIT // np.where(self.keys[at] == keys, self.sizes[at], 1).max(1))
 
-    First, all shingles of all texts are counted in 2 ** CELL_BITS cells, one row per cell and task.
-    A cell below the bound holds no frequent shingle. Shingles of the others are then counted
-    one by one. A text of n shingles has n of them, so at most 2 ** IDF_BITS times the mean
-    length of a text are frequent: the result is bounded whatever the size of the corpus.
+
+def large_groups(texts: DataFrame, rows: int) -> Groups:
+    """The groups of near copies among all texts that are large enough to make their own shingles frequent.
+
+    Copies agree in most ranges of hashes, so nearly all of a group share some key with its most. The result has at most
+    ``GROUP[0] * 2 ** GROUP_BITS`` keys, whatever the size of the corpus.
     """
-    least = rows / (1 << IDF_BITS)
-    rest = float(np.log2(1 + (1 << IDF_BITS)))
-    nothing = Weights(np.zeros(0, _U), np.zeros(0, np.float32), rest)
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("key", pa.int64()), ("n", pa.int64())])
+        for _, part in text_slices(batches, "text", 1_000_000):
+            found, n = np.unique(group_keys([np.unique(h) for h in shingles(part) if len(h)]), return_counts=True)
+            yield record_batch(schema, [found.view(np.int64), n])
+
+    counted = texts.mapInArrow(keyed, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    found = counted.filter(F.col("n") > max(1, rows / (1 << GROUP_BITS))).toArrow()
+    keys, sizes = found.column("key").to_numpy().view(_U), found.column("n").to_numpy()
+    order = np.argsort(keys)
+    return Groups(keys[order], sizes[order])
+
+
+def inverse_frequencies(texts: DataFrame, rows: int, bits: int = IDF_BITS, groups: Groups | None = None) -> Weights:
+    """Exact document frequencies of all shingles that occur in more than ``rows / 2 ** bits`` texts.
+
+    With ``groups`` a text counts its share in them, in the number of all texts too. First, the shingles of all texts are
+    counted in 2 ** CELL_BITS cells, one row per cell and task. A cell below the bound holds no
+    frequent shingle. Shingles of the others are then counted one by one. A text of n
+    shingles has n of them, so at most 2 ** bits times the mean length of a text are frequent: the
+    result is bounded whatever the size of the corpus.
+    """
+    held = groups or Groups(np.zeros(0, _U), np.zeros(0, np.int64))
+    schema = pa.schema([("at", pa.int64()), ("n", pa.int64())])
+
+    def weighed(part: list[str]) -> tuple[np.ndarray, np.ndarray, int]:
+        """Distinct shingles of each text one after the other, what each counts, and what the texts count."""
+        distinct = [np.unique(h) for h in shingles(part) if len(h)]
+        shares = held.shares(distinct)
+        each = np.repeat(shares, np.array([len(d) for d in distinct], np.int64))
+        return np.concatenate([np.zeros(0, _U), *distinct]), each, int(shares.sum())
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << CELL_BITS, np.int64)
+        counts, total = np.zeros(1 << CELL_BITS, np.int64), 0
         for _, part in text_slices(batches, "text", 1_000_000):
-            cell = (np.concatenate(shingles(part)) >> _U(64 - CELL_BITS)).astype(np.int64)
-            counts += np.bincount(cell, minlength=len(counts))
+            found, n, of = weighed(part)
+            # Sums of integers below 2 ** 53.
+            counts += np.bincount((found >> _U(64 - CELL_BITS)).astype(np.int64), n, len(counts)).astype(np.int64)
+            total += of
         at = np.flatnonzero(counts)
-        schema = pa.schema([("cell", pa.int64()), ("n", pa.int64())])
-        yield record_batch(schema, [at, counts[at]])
+        yield record_batch(schema, [np.append(at, -1), np.append(counts[at], total)])
 
-    full = texts.mapInArrow(cells, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).filter(F.col("n") > least)
+    full = texts.mapInArrow(cells, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    at, n = full.column("at").to_numpy(), full.column("n").to_numpy()
+    total = rows * UNIT if groups is None else max(UNIT, int(n[at < 0].sum()))
+    least = min(max(total / (1 << bits), SUPPORT * UNIT), total / (1 << IDF_BITS))
+    rest = float(np.log2(1 + total / least))
     wanted = np.zeros(1 << CELL_BITS, bool)
-    wanted[[row.cell for row in full.select("cell").collect()]] = True
+    wanted[at[(at >= 0) & (n > least)]] = True
     if not wanted.any():
-        return nothing
+        return Weights(np.zeros(0, _U), np.zeros(0, np.float32), rest)
     shared = texts.sparkSession.sparkContext.broadcast(wanted)
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, counts = shared.value, {}
-        schema = pa.schema([("shingle", pa.int64()), ("n", pa.int64())])
-
-        def flush():
-            hashes = np.fromiter(counts.keys(), np.int64, len(counts))
-            out = record_batch(schema, [hashes, np.fromiter(counts.values(), np.int64, len(counts))])
-            counts.clear()
-            return out
-
+        wanted = shared.value
         for _, part in text_slices(batches, "text", 1_000_000):
-            for h in shingles(part):
-                for one in np.unique(h[wanted[(h >> _U(64 - CELL_BITS)).astype(np.int64)]]).view(np.int64).tolist():
-                    counts[one] = counts.get(one, 0) + 1
-            if len(counts) > 200_000:
-                yield flush()
-        yield flush()
-
-    exact = (
-        texts.mapInArrow(frequencies, "shingle long, n long")
-        .groupBy("shingle")
-        .agg(F.sum("n").alias("n"))
-        .filter(F.col("n") > least)
-        .toArrow()
-    )
-    hashes, counts = exact.column("shingle").to_numpy().view(_U), exact.column("n").to_numpy()
+            found, n, _ = weighed(part)
+            some = wanted[(found >> _U(64 - CELL_BITS)).astype(np.int64)]
+            one, place = np.unique(found[some], return_inverse=True)
+            yield record_batch(schema, [one.view(np.int64), np.bincount(place, n[some], len(one)).astype(np.int64)])
+
+    exact = texts.mapInArrow(frequencies, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).filter(F.col("n") > least).toArrow()
+    hashes, counts = exact.column("at").to_numpy().view(_U), exact.column("n").to_numpy()
     order = np.argsort(hashes)
-    return Weights(hashes[order], np.log2(1 + rows / counts[order]).astype(np.float32), rest)
+    return Weights(hashes[order], np.log2(1 + total / counts[order]).astype(np.float32), rest)
+
+
+def corpus_weights(texts: DataFrame, rows: int) -> Weights:
+    """Inverse document frequencies in which a large group of near copies counts once; see ``RARE_BITS``."""
+    if rows <= SUPPORT << IDF_BITS:
+        return inverse_frequencies(texts, rows)
+    return inverse_frequencies(texts, rows, RARE_BITS, large_groups(texts, rows))
 
 
 def bands(texts: DataFrame, weights: Weights, shape: tuple[int, int] = SHORT) -> DataFrame:
@@ -399,7 +466,7 @@ def link_texts(texts: DataFrame, work: Work, similarity: float = SIMILARITY) ->
     than ``TILED`` texts, tiles of the longer bands of their members, which tell 0.8 apart from smaller similarities more
     sharply.
     """
-    weights = inverse_frequencies(texts, max(1, texts.count()))
+    weights = corpus_weights(texts, max(1, texts.count()))
 
     def bucketed(of: DataFrame, shape: tuple[int, int]) -> DataFrame:
         """Members of buckets of two and more: band, bucket, id, total weight and size."""

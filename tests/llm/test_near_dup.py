@@ -235,3 +235,23 @@ def test_forest_of_links_equals_all_pairs():
         if name == "got":
             found, count = root, len(pairs)
     assert found == root and count == len(texts) - len(set(root)) and len(set(root)) < 35
+
+
+def test_copies_count_once_and_common_passages_little(spark):
+    """A footer in a tenth of the texts weighs less than own text; the shingles of a large group of copies do not."""
+    draw = random.Random(12)
+    words = lambda name, n: [f"{name}{i}" for i in range(n)]
+    footers = [words("first", 14), words("second", 14)]
+    base = words("base", 120)
+    texts = [" ".join(words(f"own{k}x", 80) + footers[k % 2] * (k % 5 < 2)) for k in range(1500)]
+    texts += [" ".join(words("body", 100) + footer) for footer in footers]
+    texts += [edited(draw, base, draw.choice([0, 1, 2])) for _ in range(300)]
+    frame = documents(spark, [(k, t, "en", "s") for k, t in enumerate(texts)]).repartition(3)
+    rows = frame.selectExpr("md5(text) AS id", "text")
+    weights = near_dup.corpus_weights(rows, len(texts))
+    of = lambda text: weights.each(near_dup.shingles([text])[0])
+    assert of(" ".join(base)) == pytest.approx(weights.rest)
+    common = of(" ".join(footers[0]))
+    assert common == pytest.approx(np.log2(1 + 1503 / 301), abs=0.1) and common.max() < 0.6 * weights.rest
+    got = {r.doc_id: r.class_id for r in near_dup.classes(frame).collect()}
+    assert got == {k: k if k < 1500 else 1500 if k < 1502 else 1502 for k in range(len(texts))}
