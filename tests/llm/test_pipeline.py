@@ -65,3 +65,14 @@ def test_each_stage_on_what_the_one_before_it_kept(spark, sf_dir):
 def test_run(spark, sf_dir):
     rows = corpus_pipeline.run(spark, sf_dir).collect()
     assert rows and all(r.length <= r.capacity for r in rows)
+
+
+def test_near_dup_stage_weighs_common_passages_little(spark):
+    """Two texts that differ in footers which a fifth of the texts have are one document; those with the footers alone stay."""
+    named = lambda name, n: [f"{name}{i}" for i in range(n)]
+    footers = [named("first", 14), named("second", 14)]
+    texts = [" ".join(named(f"own{k}x", 20) + footers[k % 2] * (k % 5 < 2)) for k in range(1000)]
+    texts += [" ".join(named("body", 100) + footer) for footer in footers]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.minhash_near_dedup(spark, docs, "")
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == list(range(1001))
