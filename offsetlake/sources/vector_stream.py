@@ -7,7 +7,7 @@ at a vector has to read and drop all before it. Here the stream's own offset is
 The zone map of the journal is its list of finished files: Spark publishes the files of one append one after the other,
 so a file that is there may still lack those before it. Whoever appends calls ``zones.update_zones`` afterwards; what is
 not in the map is not in the stream yet. The driver holds one row of the map per file; the records go from the files
-to Spark as Arrow batches, in tasks of bounded offset ranges.
+to Spark as Arrow batches, in tasks of bounded offset ranges that read several small files each.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ from offsetlake.sources import storage
 from offsetlake.sources.log import kafka_offsets
 
 TASK_OFFSETS = 1_000_000
+LEAST_TASK_OFFSETS = 20_000
+TASKS = 4  # a core, unless that makes tasks too small or too large
 BATCH_ROWS = 4_096
 
 TopicPartition = tuple[str, int]
@@ -141,11 +143,52 @@ class JournalFiles:
         return [i.path for i in self.source.get_file_info(list(files)) if not i.is_file]
 
 
-class Piece(InputPartition):
-    """Offsets ``[low, high)`` of one file."""
-
-    def __init__(self, file: str, topic: str, partition: int, low: int, high: int):
-        super().__init__((file, topic, partition, low, high))
+def _records(source: pafs.FileSystem, piece: Zone) -> Iterator[pa.RecordBatch]:
+    """The records of a piece of a file; only row groups that meet it are read."""
+    import pyarrow.compute as pc
+    import pyarrow.parquet as pq
+
+    schema = to_arrow_schema(schemas.LOG)
+    stored = [n for n in schemas.LOG.names if n not in ("topic", "partition")]
+    with source.open_input_file(piece.file) as opened:
+        parquet = pq.ParquetFile(opened, coerce_int96_timestamp_unit="us")
+        held = [(g, _range(parquet, g)) for g in range(parquet.num_row_groups)]
+        groups = [g for g, r in held if r is not None and r[0] < piece.high and r[1] > piece.low]
+        for batch in parquet.iter_batches(BATCH_ROWS, groups, stored) if groups else ():
+            offset = batch.column("offset")
+            batch = batch.filter(pc.and_(pc.greater_equal(offset, piece.low), pc.less(offset, piece.high)))
+            if batch.num_rows:
+                fixed = {
+                    "topic": pa.array([piece.topic] * batch.num_rows, pa.string()),
+                    "partition": pa.array([piece.partition] * batch.num_rows, pa.int32()),
+                }
+                columns = [fixed[f.name] if f.name in fixed else batch.column(f.name).cast(f.type) for f in schema]
+                yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
+
+class Pieces(InputPartition):
+    """Zones of some files, cut to the offsets that one task reads."""
+
+    def __init__(self, zones: Sequence[Zone]):
+        super().__init__([tuple(z) for z in zones])
+
+
+def dealt(zones: Sequence[Zone], most: int, tasks: int) -> list[list[Zone]]:
+    """The zones in tasks of up to ``most`` offsets, and about as many tasks as wanted."""
+    total = sum(z.high - z.low for z in zones)
+    size = min(most, max(LEAST_TASK_OFFSETS, -(-total // tasks)))
+    found: list[list[Zone]] = []
+    room = 0
+    for zone in zones:
+        for cut in range(zone.low, zone.high, most):
+            piece = zone._replace(low=cut, high=min(zone.high, cut + most))
+            n = piece.high - piece.low
+            if n > room:
+                found.append([])
+                room = size
+            found[-1].append(piece)
+            room -= n
+    return found
 
 
 class VectorReader(DataSourceStreamReader):
@@ -155,6 +198,7 @@ class VectorReader(DataSourceStreamReader):
         self.targets = parsed(json.loads(options["targets"])) if options.get("targets") else None
         self.limit = int(options["max_offsets"]) if options.get("max_offsets") else None
         self.task_offsets = int(options.get("task_offsets") or TASK_OFFSETS)
+        self.tasks = int(options.get("tasks") or 1)
         self.topics = set(options["topics"].split(",")) if options.get("topics") else None
         self.at: Vector | None = None
         self.files: JournalFiles | None = None
@@ -198,39 +242,17 @@ class VectorReader(DataSourceStreamReader):
         gone = self.files.gone([z.file for z in met])
         if gone:
             raise RuntimeError("the journal has lost files: " + "; ".join(gone[:10]))
-        pieces = []
+        wanted = []
         for zone in met:
             tp = (zone.topic, zone.partition)
-            low, high = max(zone.low, first.get(tp, 0)), min(zone.high, last.get(tp, 0))
-            for cut in range(low, high, self.task_offsets):
-                pieces.append(Piece(zone.file, *tp, cut, min(high, cut + self.task_offsets)))
-        return pieces
+            wanted.append(zone._replace(low=max(zone.low, first.get(tp, 0)), high=min(zone.high, last.get(tp, 0))))
+        return [Pieces(some) for some in dealt(wanted, self.task_offsets, self.tasks)]
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
-        """The records of a piece; only row groups that meet it are read."""
-        import pyarrow.compute as pc
-        import pyarrow.parquet as pq
-
-        file, topic, number, low, high = partition.value
+        """The records of a task's pieces, file by file."""
         source, _ = file_system(self.path)
-        schema = to_arrow_schema(schemas.LOG)
-        stored = [n for n in schemas.LOG.names if n not in ("topic", "partition")]
-        with source.open_input_file(file) as opened:
-            parquet = pq.ParquetFile(opened, coerce_int96_timestamp_unit="us")
-            held = [(g, _range(parquet, g)) for g in range(parquet.num_row_groups)]
-            groups = [g for g, r in held if r is not None and r[0] < high and r[1] > low]
-            for batch in parquet.iter_batches(BATCH_ROWS, groups, stored) if groups else ():
-                offset = batch.column("offset")
-                batch = batch.filter(pc.and_(pc.greater_equal(offset, low), pc.less(offset, high)))
-                if batch.num_rows:
-                    fixed = {
-                        "topic": pa.array([topic] * batch.num_rows, pa.string()),
-                        "partition": pa.array([number] * batch.num_rows, pa.int32()),
-                    }
-                    columns = [
-                        fixed[f.name] if f.name in fixed else batch.column(f.name).cast(f.type) for f in schema
-                    ]
-                    yield pa.RecordBatch.from_arrays(columns, schema=schema)
+        for piece in partition.value:
+            yield from _records(source, Zone(*piece))
 
     def commit(self, end: dict) -> None:
         """Nothing to do: the checkpoint holds the vector."""
@@ -273,6 +295,7 @@ def read_from_vector(
         return kafka_offsets([(r.topic, r.partition, r.offset) for r in rows.collect()])
 
     reader = spark.readStream.format("offset_journal").option("starts", vector(starts)).option("task_offsets", task_offsets)
+    reader = reader.option("tasks", TASKS * spark.sparkContext.defaultParallelism)
     if targets is not None:
         reader = reader.option("targets", vector(targets))
     if topics is not None:

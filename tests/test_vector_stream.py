@@ -15,7 +15,7 @@ from offsetlake.operators.audit import ViolationError
 from offsetlake.sources import log as logs
 from offsetlake.sources import table as tables
 from offsetlake.sources import zones
-from offsetlake.sources.vector_stream import Zone, admitted, lost, read_from_vector
+from offsetlake.sources.vector_stream import LEAST_TASK_OFFSETS, Zone, admitted, dealt, lost, read_from_vector
 from offsetlake.streaming import follow as following
 from tests.test_delivery import USER, records, target
 
@@ -77,6 +77,18 @@ def test_lost_ranges():
     assert len(lost(held, {}, {("t", 1): 1})) == 1
 
 
+def test_small_files_share_a_task_and_large_ones_are_cut():
+    """As many files of 10,000 offsets as there may be make few tasks; each offset is in one of them."""
+    zones = [Zone(f"f{n}", "t", n % 5, n // 5 * 10_000, n // 5 * 10_000 + 10_000) for n in range(9_000)]
+    tasks = dealt(zones, 1_000_000, 32)
+    assert len(tasks) == 90 and [z for one in tasks for z in one] == zones
+    assert 32 <= len(dealt(zones[:200], 1_000_000, 32)) <= 40
+    assert len(dealt(zones[:10], 1_000_000, 32)) == 10 * 10_000 // LEAST_TASK_OFFSETS
+    cut = dealt([Zone("a", "t", 0, 5, 30), Zone("b", "t", 0, 30, 33)], 10, 1)
+    assert [[(z.low, z.high) for z in one] for one in cut] == [[(5, 15)], [(15, 25)], [(25, 30), (30, 33)]]
+    assert dealt([], 10, 4) == []
+
+
 def test_a_stream_is_its_range_record_by_record(spark, path):
     journal = path("journal")
     rows = records(spark, 0, 300).withColumn(
