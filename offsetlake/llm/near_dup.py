@@ -34,17 +34,18 @@ SHINGLE = 5
 SIMILARITY = 0.8
 SHORT = (12, 3)  # bands and rows: 0.9998 of the pairs at 0.8 share a band
 LONG = (100, 12)  # 0.9992 of the pairs at 0.8, 0.07 of those at 0.55
-# The inverse document frequency saturates below one text in 2 ** RARE_BITS, or SUPPORT texts in a smaller table (fewer
-# give a frequency that is off by more than an eighth). Where SUPPORT texts are a quarter of the table or more, each
-# text counts, and one in 2 ** IDF_BITS is the bound: beyond it, the shingles that a large group of near copies
-# shares would weigh so little against their few edits that the group would fall apart.
-IDF_BITS, RARE_BITS = 2, 8
-SUPPORT = 64
+# The inverse document frequency saturates below one text in 2 ** RARE_BITS, or SUPPORT texts in a smaller table (as few
+# can be edits of one text that share no key with most of them). Where the texts count up to FEW,
+# one in 2 ** IDF_BITS is the bound, and up to FEW texts count each: beyond it, the shingles that a large group of near
+# copies shares would weigh so little against their few edits that the group would fall apart.
+IDF_BITS, RARE_BITS = 2, 12
+SUPPORT, FEW = 8, 256
 # Keys and least hashes a key: 0.99 of the texts at 0.8 share a key, 0.02 of those at a third.
 GROUP = (16, 6)
-GROUP_BITS = 12  # groups of up to one text in 2 ** GROUP_BITS count as they are
+GROUP_BITS = RARE_BITS  # groups of up to one text in 2 ** GROUP_BITS count as they are: their shingles are rare
 UNIT = 1 << 30  # one text, in counts that shares of a text add up to
-CELL_BITS = 18
+# Cells a text that a frequent shingle is in at least; cells of a row, and bits of a count that its cell rounds up.
+CELL_BITS, PLACE_BITS, ROUND_BITS = 10, 14, 24
 SMALL_BUCKET = 16  # texts
 TILED = 4096
 BLOCK_TEXTS, BLOCK_WEIGHT = 512, 1_000_000.0  # of one side of a tile
@@ -245,13 +246,14 @@ def inverse_frequencies(texts: DataFrame, rows: int, bits: int = IDF_BITS, group
     """Exact document frequencies of all shingles that occur in more than ``rows / 2 ** bits`` texts.
 
     With ``groups`` a text counts its share in them, in the number of all texts too. First, the shingles of all texts are
-    counted in 2 ** CELL_BITS cells, one row per cell and task. A cell below the bound holds no
-    frequent shingle. Shingles of the others are then counted one by one. A text of n
+    counted in 2 ** (bits + CELL_BITS) cells, rounded up, one row per task and range of cells. A cell below the bound holds
+    no frequent shingle. Shingles of the others are then counted one by one. A text of n
     shingles has n of them, so at most 2 ** bits times the mean length of a text are frequent: the
     result is bounded whatever the size of the corpus.
     """
     held = groups or Groups(np.zeros(0, _U), np.zeros(0, np.int64))
-    schema = pa.schema([("at", pa.int64()), ("n", pa.int64())])
+    cell_bits = bits + CELL_BITS
+    size = 1 << min(PLACE_BITS, cell_bits)
 
     def weighed(part: list[str]) -> tuple[np.ndarray, np.ndarray, int]:
         """Distinct shingles of each text one after the other, what each counts, and what the texts count."""
@@ -260,32 +262,52 @@ def inverse_frequencies(texts: DataFrame, rows: int, bits: int = IDF_BITS, group
         each = np.repeat(shares, np.array([len(d) for d in distinct], np.int64))
         return np.concatenate([np.zeros(0, _U), *distinct]), each, int(shares.sum())
 
+    def cell_of(found: np.ndarray) -> np.ndarray:
+        return (found >> _U(64 - cell_bits)).astype(np.int64)
+
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, total = np.zeros(1 << CELL_BITS, np.int64), 0
+        schema = pa.schema([("at", pa.int64()), ("n", pa.int64()), ("places", pa.binary()), ("counts", pa.binary())])
+        counts, total = np.zeros(1 << cell_bits, np.int64), 0
         for _, part in text_slices(batches, "text", 1_000_000):
             found, n, of = weighed(part)
-            # Sums of integers below 2 ** 53.
-            counts += np.bincount((found >> _U(64 - CELL_BITS)).astype(np.int64), n, len(counts)).astype(np.int64)
+            np.add.at(counts, cell_of(found), n)
             total += of
-        at = np.flatnonzero(counts)
-        yield record_batch(schema, [np.append(at, -1), np.append(counts[at], total)])
-
-    full = texts.mapInArrow(cells, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
-    at, n = full.column("at").to_numpy(), full.column("n").to_numpy()
-    total = rows * UNIT if groups is None else max(UNIT, int(n[at < 0].sum()))
-    least = min(max(total / (1 << bits), SUPPORT * UNIT), total / (1 << IDF_BITS))
+        yield record_batch(schema, [[-1], [total], [b""], [b""]])
+        for start in range(0, len(counts), size):
+            places = np.flatnonzero(counts[start : start + size])
+            if len(places):
+                some = -(-counts[start + places] >> ROUND_BITS)
+                yield record_batch(schema, [[start], [0], [places.astype(np.uint16).tobytes()], [some.astype(np.uint32).tobytes()]])
+
+    def summed(rows: pa.Table) -> pa.Table:
+        """The sum of a range of cells, each as eight times its binary logarithm, rounded up."""
+        sums = np.zeros(size, np.int64)
+        for places, counts in zip(rows.column("places").to_pylist(), rows.column("counts").to_pylist(), strict=True):
+            sums[np.frombuffer(places, np.uint16)] += np.frombuffer(counts, np.uint32)
+        levels = np.ceil(8 * np.log2(np.maximum(sums, 1))).clip(max=255).astype(np.uint8)
+        return pa.table({"at": rows.column("at")[:1], "n": [sum(rows.column("n").to_pylist())], "levels": [levels.tobytes()]})
+
+    full = texts.mapInArrow(cells, "at long, n long, places binary, counts binary").groupBy("at")
+    full = full.applyInArrow(lambda rows: summed(rows), "at long, n long, levels binary").toArrow().to_pylist()
+    total = rows * UNIT if groups is None else max(UNIT, sum(r["n"] for r in full))
+    least = total / (1 << IDF_BITS) if total <= FEW * UNIT else max(total / (1 << bits), SUPPORT * UNIT)
     rest = float(np.log2(1 + total / least))
-    wanted = np.zeros(1 << CELL_BITS, bool)
-    wanted[at[(at >= 0) & (n > least)]] = True
+    wanted = np.zeros(1 << cell_bits, bool)
+    for r in full:
+        if r["at"] >= 0:
+            level = np.frombuffer(r["levels"], np.uint8)
+            # The highest level stands for all counts beyond it.
+            wanted[r["at"] : r["at"] + size] = (level == 255) | (np.exp2(level / 8) * (1 + 1e-9) > least / (1 << ROUND_BITS))
     if not wanted.any():
         return Weights(np.zeros(0, _U), np.zeros(0, np.float32), rest)
-    shared = texts.sparkSession.sparkContext.broadcast(wanted)
+    shared = texts.sparkSession.sparkContext.broadcast(np.packbits(wanted))
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = shared.value
+        schema = pa.schema([("at", pa.int64()), ("n", pa.int64())])
+        wanted = np.unpackbits(shared.value).view(bool)
         for _, part in text_slices(batches, "text", 1_000_000):
             found, n, _ = weighed(part)
-            some = wanted[(found >> _U(64 - CELL_BITS)).astype(np.int64)]
+            some = wanted[cell_of(found)]
             one, place = np.unique(found[some], return_inverse=True)
             yield record_batch(schema, [one.view(np.int64), np.bincount(place, n[some], len(one)).astype(np.int64)])
 
@@ -296,8 +318,8 @@ def inverse_frequencies(texts: DataFrame, rows: int, bits: int = IDF_BITS, group
 
 
 def corpus_weights(texts: DataFrame, rows: int) -> Weights:
-    """Inverse document frequencies in which a large group of near copies counts once; see ``RARE_BITS``."""
-    if rows <= SUPPORT << IDF_BITS:
+    """Inverse document frequencies in which a large group of near copies counts once; see ``RARE_BITS`` and ``FEW``."""
+    if rows <= FEW:
         return inverse_frequencies(texts, rows)
     return inverse_frequencies(texts, rows, RARE_BITS, large_groups(texts, rows))
 

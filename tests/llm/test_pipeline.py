@@ -1,9 +1,10 @@
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
-from offsetlake.llm import mixing, packing, quality
+from offsetlake.llm import mixing, near_dup, packing, quality
 from tests.llm.test_mixing import words
 from tests.llm.test_near_dup import brute_classes, edited
 from tests.llm.test_packing import check
@@ -76,3 +77,16 @@ def test_near_dup_stage_weighs_common_passages_little(spark):
     docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
     kept = corpus_pipeline.minhash_near_dedup(spark, docs, "")
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == list(range(1001))
+
+
+def test_near_dup_stage_weighs_passages_of_few_texts_by_their_frequency(spark):
+    """Two texts that differ in footers which one text in 67 has are one document; each passage weighs by its own frequency."""
+    named = lambda name, n: [f"{name}{i}" for i in range(n)]
+    footers = [named("first", 13), named("second", 13)]
+    texts = [" ".join(named(f"own{k}x", 20) + (footers[k % 2] if k % 67 < 2 else [])) for k in range(2010)]
+    texts += [" ".join(named("body", 100) + footer) for footer in footers]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    weights = near_dup.corpus_weights(docs.selectExpr("md5(text) AS id", "text"), len(texts))
+    assert weights.each(near_dup.shingles([" ".join(footers[0])])[0]) == pytest.approx(np.log2(1 + 2011 / 31), abs=0.1)
+    kept = corpus_pipeline.minhash_near_dedup(spark, docs, "")
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == list(range(2011))
