@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import functions as F
 
@@ -38,9 +39,9 @@ def target(spark, name="table", order_by=()):
 def parted(spark, sf, *days):
     """The log cut at the vectors of some days: the pieces, the last one open, and the vectors."""
     log, wide = fx.log(spark, sf), fx.wide_log(spark, sf)
-    vectors = [fx.vector(wide, f"2024-01-{day:02d}") for day in days]
+    *vectors, high = fx.vectors(wide, [*[f"2024-01-{day:02d}" for day in days], None])
     pieces = [snapshot.snapshot_at(log, vectors[0])]
-    for start, end in zip(vectors, [*vectors[1:], fx.vector(wide)], strict=True):
+    for start, end in zip(vectors, [*vectors[1:], high], strict=True):
         pieces.append(snapshot.read_range(log, start, end))
     return pieces, vectors
 
@@ -301,12 +302,17 @@ def printed_pair(spark, sf):
     touched = F.col("partition") == 1
     lost = touched & (F.col("offset") % 1500 == 3)
     changed = F.when(touched & (F.col("offset") % 1000 == 7), F.lit(b'{"k": -1}')).otherwise(F.col("value"))
-    for number, piece in enumerate(pieces):
-        other = piece.filter(~lost).withColumn("value", changed) if number == 2 else piece
-        for to, rows in zip(sides, (piece, other), strict=True):
+    others = [*pieces[:2], pieces[2].filter(~lost).withColumn("value", changed)]
+
+    def append(to, batches):
+        for number, rows in enumerate(batches):
             delivery.append_decoded(rows, to, f"e-{number}")
             if number < 2:
                 prints.update_prints(spark, to.path, fx.PAYLOAD, 100)
+
+    # A piece is a stretch of the source's files, so few of their tasks have rows: the tables share the cores.
+    with ThreadPoolExecutor(2) as pool:
+        list(pool.map(append, sides, (pieces, others)))
     return sides
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,18 +12,28 @@ from offsetlake.operators.bounds import TP
 from offsetlake.operators.ledger import exact_offsets, fold_ledger
 from offsetlake.operators.skew import join_control, pin
 
+HULLS = 32  # topics with a filter of their own
+
 
 def _coarse_bounds(ranges: DataFrame) -> Column:
-    """A literal filter that every row of the held ranges passes: the topics, and the hull of all offsets.
+    """A literal filter that every row of the held ranges passes: the topics, the hull of all offsets, and that of each topic.
 
     Literals reach the Parquet scan, where they prune topic directories and row groups; the join
-    that follows is exact.
+    that follows is exact. The hulls of topics spare rows outside them the work before the join.
     """
     rows = ranges.collect()
     if not rows:
         return F.lit(False)
     low, high = min(r._start for r in rows), max(r._target for r in rows)
-    return F.col("topic").isin(sorted({r.topic for r in rows})) & (F.col("offset") >= low) & (F.col("offset") < high)
+    whole = F.col("topic").isin(sorted({r.topic for r in rows})) & (F.col("offset") >= low) & (F.col("offset") < high)
+    hulls: dict[str, tuple[int, int]] = {}
+    for r in rows:
+        start, end = hulls.get(r.topic, (r._start, r._target))
+        hulls[r.topic] = min(start, r._start), max(end, r._target)
+    if not 1 < len(hulls) <= HULLS:
+        return whole
+    own = [(F.col("topic") == t) & (F.col("offset") >= start) & (F.col("offset") < end) for t, (start, end) in sorted(hulls.items())]
+    return whole & reduce(or_, own)
 
 
 def read_range(records: DataFrame, starts: DataFrame, targets: DataFrame) -> DataFrame:

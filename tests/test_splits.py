@@ -5,9 +5,10 @@ import os
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from offsetlake import schemas
-from offsetlake.operators import bounds, splits
+from offsetlake import fixtures, schemas
+from offsetlake.operators import bounds, snapshot, splits
 from offsetlake.operators.audit import ViolationError
 from offsetlake.sources import table as tables
 from offsetlake.streaming import follow as following
@@ -130,3 +131,21 @@ def test_a_range_without_records_moves_the_vector(spark, path):
     replay(spark, log.filter("offset < 5"), to, bounds.log_bounds(log), starts=(10, 10, 10), ends=(30, 30, 30))
     following.require_at(to, vector(spark, 30, 30, 30))
     assert tables.read_table(spark, to.path, USER).count() == 0
+
+
+def test_ranges_filter_each_topic_by_its_own_offsets(spark):
+    """Rows outside the range of their own topic are dropped before the join, not by the hull of all topics alone."""
+    ranges = spark.createDataFrame([("a", 0, 0, 10), ("a", 1, 5, 20), ("b", 0, 90, 100)], "topic string, partition int, _start long, _target long")
+    records = spark.createDataFrame([(t, 0, o) for t in "abc" for o in (0, 19, 20, 89, 90, 99, 100)], "topic string, partition int, offset long")
+    found = records.filter(snapshot._coarse_bounds(ranges)).collect()
+    assert sorted((r.topic, r.offset) for r in found) == [("a", 0), ("a", 19), ("b", 90), ("b", 99)]
+
+
+def test_vectors_of_one_pass_are_those_of_each_cut(spark):
+    days = [f"2024-01-{day:02d} 00:00:00" for day in (5, 12, 25)]
+    rows = [(t, p, o, days[o % 3] if p else days[2]) for t in (fixtures.EVENTS, fixtures.ORDERS) for p in (0, 1) for o in range(31)]
+    records = spark.createDataFrame(rows, "topic string, partition int, offset long, ts string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    cuts = ["2024-01-10", None, "2024-01-20"]
+    for cut, got in zip(cuts, fixtures.vectors(records, cuts), strict=True):
+        wanted = fixtures.vector(records, cut)
+        assert got.dtypes == wanted.dtypes and sorted(got.collect()) == sorted(wanted.collect())
