@@ -201,13 +201,17 @@ def predict(documents: DataFrame, model: Model, text: str = "text", lang_pred: s
     return documents.mapInArrow(decided, T.StructType(fields))
 
 
-def known_documents(documents: DataFrame, model: Model, text: str = "text", least_score: float = 0.0) -> DataFrame:
+def known_documents(documents: DataFrame, model: Model, text: str = "text", least_score: float = 0.0, lang: str | None = None) -> DataFrame:
     """The documents whose text has a language: not ``und``, and a score of at least ``least_score``.
 
-    They keep their columns, whatever these are called; null, empty and letterless texts go, repeated rows stay.
+    They keep their columns, whatever these are called; null, empty and letterless texts go, repeated rows stay. A column
+    named by ``lang`` holds the language of the text instead of what it held before.
     """
     columns = documents.columns
+    if lang is not None and lang not in columns:
+        raise ValueError(f"the documents have no column {lang}")
     free = lambda name: name if name not in {c.lower() for c in columns} else free(name + "_")
     lang_pred, score = free("_lang_pred"), free("_score")
     named = predict(documents, model, text, lang_pred, score)
-    return named.filter((F.col(lang_pred) != UNKNOWN) & (F.col(score) >= least_score)).select(*columns)
+    known = named.filter((F.col(lang_pred) != UNKNOWN) & (F.col(score) >= least_score))
+    return known.select(*[F.col(lang_pred).alias(c) if c == lang else F.col(c) for c in columns])

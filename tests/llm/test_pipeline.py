@@ -2,9 +2,10 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from offsetlake.llm import mixing, near_dup, packing, quality
+from offsetlake.llm import langid, mixing, near_dup, packing, quality
 from tests.llm.test_mixing import words
 from tests.llm.test_near_dup import brute_classes, edited
 from tests.llm.test_packing import check
@@ -63,6 +64,19 @@ def test_each_stage_on_what_the_one_before_it_kept(spark, sf_dir):
         before = after
 
 
+def test_language_stage_hands_on_the_language_that_it_found(spark, sf_dir):
+    """Documents without a label, or with a wrong one, go on with the language of their text, by which the rules after it group them."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    truth = {r.doc_id: r.lang for r in docs.collect() if any(c.isalpha() for c in r.text or "")}
+    for label in (None, "en", "xx"):
+        frame = corpus_pipeline.language_id(spark, docs.withColumn("lang", F.lit(label).cast("string")), sf_dir)
+        found = {r.doc_id: r.lang for r in frame.collect()}
+        assert frame.schema.names == docs.columns and found.keys() == truth.keys()
+        assert np.mean([found[k] == truth[k] for k in truth]) > 0.95
+    with pytest.raises(ValueError, match="no column"):
+        langid.known_documents(docs.drop("lang"), langid.fit(docs), lang="lang")
+
+
 def test_run(spark, sf_dir):
     rows = corpus_pipeline.run(spark, sf_dir).collect()
     assert rows and all(r.length <= r.capacity for r in rows)
