@@ -83,8 +83,8 @@ def file_pruning(spark, sf):
     segment = F.expr("offset div 200").alias("segment")
     taken = read.groupBy("topic", "partition", segment).agg(F.count(F.lit(1)).alias("taken"))
     # What the plan opens, and not what it might have opened.
-    opened = spark.createDataFrame([(f.replace("file:///", "file:/"),) for f in read.inputFiles()], "file STRING")
-    listed = zones.read_zones(spark, path).join(opened, "file").withColumn("segment", F.expr("low div 200"))
+    opened = zones.opened_files(read)
+    listed = zones.read_zones(spark, path).join(opened.hint("merge"), "file").withColumn("segment", F.expr("low div 200"))
     found = listed.join(taken, ["topic", "partition", "segment"], "left")
     return found.select("topic", "partition", "low", "high", F.coalesce("taken", F.lit(0)).alias("rows"))
 

@@ -71,6 +71,48 @@ def test_many_files_fall_back_to_the_whole_scan(spark, path, monkeypatch):
     assert len(places(found)) == 67
 
 
+def test_many_files_are_mapped_and_read_by_tasks_that_open_no_others(spark, path, monkeypatch):
+    """The same map and records as from a scan that names its files; the driver gets no names beyond ``LISTED``."""
+    journal = path("journal")
+    logs.write_segments(records(spark, 0, 300), journal, 10)
+    starts, targets = vector(spark, 85, 3, 50), vector(spark, 100, 12, 50)
+    zones.update_zones(spark, journal)
+    mapped = sorted(map(tuple, zones.read_zones(spark, journal).collect()))
+    named = zones.read_pruned(spark, journal, starts, targets)
+    wanted, files = sorted(map(str, named.collect())), sorted(r.file for r in zones.opened_files(named).collect())
+    assert len(wanted) == 15 + 9 and len(files) == len(named.inputFiles()) == 4
+    storage.remove(spark, f"{journal}/_zones")
+    monkeypatch.setattr(zones, "LISTED", 3)
+    assert zones.update_zones(spark, journal) == 0
+    assert sorted(map(tuple, zones.read_zones(spark, journal).collect())) == mapped
+    for file in {r[0] for r in mapped} - set(files):
+        with open(file.removeprefix("file:"), "wb") as out:
+            out.write(b"no one reads this")
+    many = zones.read_pruned(spark, journal, starts, targets)
+    assert sorted(map(str, many.collect())) == wanted
+    assert sorted(r.file for r in zones.opened_files(many).collect()) == files
+    assert not [f for f in many.inputFiles() if f.startswith("file://" + journal)]
+
+
+def test_files_of_several_partitions_are_mapped_and_read_alike(spark, path, monkeypatch):
+    """A table's files have positions as columns, gaps and more records than a task's range of offsets."""
+    place = path("table")
+    rows = records(spark, 0, 300).filter("offset % 7 <> 3")
+    rows.coalesce(2).sortWithinPartitions("offset").write.parquet(place)
+    ranges = vector(spark, 20, 0, 50), vector(spark, 55, 12, 50)
+    zones.update_zones(spark, place)
+    mapped = sorted(map(tuple, zones.read_zones(spark, place).collect()))
+    wanted = sorted(map(str, zones.read_pruned(spark, place, *ranges).collect()))
+    storage.remove(spark, f"{place}/_zones")
+    monkeypatch.setattr(zones, "LISTED", 0)
+    monkeypatch.setattr(zones.many_files, "TASK_OFFSETS", 9)
+    fresh = zones.read_pruned(spark, place, *ranges)
+    assert len(wanted) > 30 and sorted(map(str, fresh.collect())) == wanted
+    assert zones.update_zones(spark, place) == 0 and zones.update_zones(spark, place) is None
+    assert sorted(map(tuple, zones.read_zones(spark, place).collect())) == mapped
+    assert sorted(map(str, zones.read_pruned(spark, place, *ranges).collect())) == wanted
+
+
 def test_listing_takes_a_few_tasks_a_core(spark, path, monkeypatch):
     monkeypatch.setattr(zones, "LISTING", 1, raising=False)
     journal, context = path("journal"), spark.sparkContext
